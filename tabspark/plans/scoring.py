@@ -52,9 +52,12 @@ class Scorer:
             rows = validate(rows, self.rules, malformed=malformed)
         else:
             rows = rows.withColumn("errors", F.array().cast("array<string>"))
-        if not lenient:
-            rows = coerce(rows, self.rules)
         ok = F.size("errors") == 0
+        if not lenient:
+            # an out-of-range value of a rejected row must not reach a cast
+            rows = coerce(rows, self.rules).withColumns(
+                {c: F.when(ok, F.col(c)) for c in fields}
+            )
         features = self.spec.derive(encoded_columns(self.spec, not lenient, "zeros"))
         # Rejected rows take zeros through the model so that one pass serves both.
         ready = {
