@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabspark.operators.quantiles import ROW_LIMIT, percentiles
+from tabspark.operators.quantiles import ROW_LIMIT, fits_one_task, percentile_array, percentiles
 
 # Absolute and relative tolerance of a prediction parity check.
 ABS_TOL, REL_TOL = 1e-8, 1e-5
@@ -81,15 +81,16 @@ def residual_summary(df: DataFrame, by: Sequence[str] = ("model",), actual: str
     by = list(by)
     res = df.select(*by, (F.col(actual) - F.col(prediction)).alias("residual"))
     res = res.where("residual IS NOT NULL")
-    moments = res.groupBy(*by).agg(
-        F.avg("residual").alias("mean"), F.stddev_pop("residual").alias("std")
-    )
+    moments = [F.avg("residual").alias("mean"), F.stddev_pop("residual").alias("std")]
+    if fits_one_task(res, row_limit):
+        median = percentile_array("residual", [0.5])[0].alias("median")
+        return res.groupBy(*by).agg(*moments, median)
     middle = percentiles(res, ["residual"], [0.5], by, row_limit=row_limit)
     middle = middle.select(*by, F.col("residual")[0].alias("median"))
+    summary = res.groupBy(*by).agg(*moments)
     if not by:
-        median = middle.first()
-        return moments.withColumn("median", F.lit(median and median["median"]).cast("double"))
-    return moments.join(middle, by)
+        return summary.withColumn("median", F.lit(middle.first()["median"]))
+    return summary.join(middle, by)
 
 
 def ensemble_mean(df: DataFrame, key: Sequence[str], prediction: str = "prediction") -> DataFrame:

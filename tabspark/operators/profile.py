@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabspark.functions import guarded_corr, nan_to_null
-from tabspark.operators.quantiles import ROW_LIMIT, percentile_array, percentiles
+from tabspark.operators.quantiles import ROW_LIMIT, fits_one_task, percentile_array, percentiles
 from tabspark.operators.relational import lookup_join, small_table
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -59,7 +59,7 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, digits: int |
     aggs = [a for i, c in enumerate(columns) for a in _moments(c, i)]
     names = ["p25", "p50", "p75"]
     stats = ["count", "mean", "std", "min", *names, "max"]
-    if df.count() <= row_limit:
+    if fits_one_task(df, row_limit):
         aggs += [percentile_array(c, QUARTILES).alias(f"q_{i}") for i, c in enumerate(columns)]
         row = df.agg(*aggs)
     else:

@@ -1,11 +1,13 @@
 """Exact percentiles (linear interpolation) at any row count.
 
 ``percentile`` keeps every distinct value of a group in one task. Up to
-``ROW_LIMIT`` rows that is the fastest way. Beyond it the wanted order
-statistics are bracketed: sketch two values around each rank, count exactly how
-many rows lie below them, repeat inside the bracket until few rows are left,
-and rank only those. Each step is a map-side combined aggregate, so neither a
-large group nor a value that fills a third of the table lands in one task.
+``ROW_LIMIT`` rows that is the fastest way. Beyond it each wanted rank is
+bracketed: a sketch proposes a value on either side, exact counts accept or
+refuse them, and the rows strictly between are written out (about half a percent
+of the table per percentile) and narrowed further until few enough are left to
+rank. The sketch only steers; the result rests on counts. Sketches are merged
+per source partition first, so that no single task receives one from every
+map task.
 """
 
 from __future__ import annotations
@@ -22,19 +24,30 @@ from tabspark.session import checkpointed
 
 ROW_LIMIT = 2_000_000
 KEEP_ROWS = 200_000
-ACCURACY = 10_000
+SKETCH_K = 4_096
+MARGIN = 0.0026  # twice the rank error of a sketch of that size
+MERGERS = 512
 GRID = 200
 
 
 def percentiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
                 by: Sequence[str] = (), row_limit: int = ROW_LIMIT,
                 keep_rows: int = KEEP_ROWS) -> DataFrame:
-    """One row per group: the ``by`` columns and, per column, an array of percentiles."""
-    if df.select(*by, *columns).count() <= row_limit:
+    """One row per group: the ``by`` columns and, per column, an array of percentiles.
+
+    Rows without a group are left out.
+    """
+    df = df.dropna(subset=list(by)) if by else df
+    if fits_one_task(df.select(*by, *columns), row_limit):
         return df.groupBy(*by).agg(*[percentile_array(c, probs).alias(c) for c in columns])
     return _bracketed(df, columns, probs, by, keep_rows)
 
 
+def fits_one_task(df: DataFrame, row_limit: int = ROW_LIMIT) -> bool:
+    """Is the whole frame, and so every group of it, small enough for ``percentile``?"""
+    return df.count() <= row_limit
+
+
 def percentile_array(column: str, probs: Sequence[float]) -> Column:
     """The one-task form, for inputs of checked size only."""
     return F.percentile(nan_to_null(F.col(column)), F.array(*[F.lit(float(p)) for p in probs]))
@@ -46,6 +59,28 @@ def _hold(df: DataFrame) -> DataFrame:
     return checkpointed(df) if small is None else small
 
 
+def _sketches(rows: DataFrame, keys: Sequence[str], inputs: Sequence[Column]) -> DataFrame:
+    """One sketch ``s_i`` per key and input, merged in two steps."""
+    names = [f"s_{i}" for i in range(len(inputs))]
+    partial = (
+        rows.withColumn("_merger", F.spark_partition_id() % MERGERS)
+        .groupBy(*keys, "_merger")
+        .agg(
+            F.count("*").alias("n_rows"),
+            *[F.kll_sketch_agg_double(x, SKETCH_K).alias(s) for s, x in zip(names, inputs)],
+        )
+    )
+    merged = [F.kll_merge_agg_double(s, SKETCH_K).alias(s) for s in names]
+    return partial.groupBy(*keys).agg(F.sum("n_rows").alias("n_rows"), *merged)
+
+
+def _at(sketch: Column, shares: Sequence[float]) -> Column:
+    """Array of the values near some relative ranks."""
+    return F.kll_sketch_get_quantile_double(
+        sketch, F.array(*[F.lit(min(max(x, 0.0), 1.0)) for x in shares])
+    )
+
+
 def _bracketed(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
                by: Sequence[str], keep_rows: int) -> DataFrame:
     group = [*by, "column"]
@@ -53,85 +88,80 @@ def _bracketed(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
         F.struct(F.lit(c).alias("column"), nan_to_null(F.col(c)).alias("value")) for c in columns
     ]
     values = df.select(*by, F.inline(F.array(*cells))).where("value IS NOT NULL")
-    v = F.col("value")
+    v, n = F.col("value"), F.col("n")
     js = range(len(probs))
 
-    def low_rank(j: int) -> Column:
-        return F.floor(F.lit(float(probs[j])) * (F.col("n") - 1))
+    def c(name: str, j: int) -> Column:
+        return F.col(f"{name}_{j}")
 
-    def high_rank(j: int) -> Column:
-        return F.ceil(F.lit(float(probs[j])) * (F.col("n") - 1))
+    def inside(j: int) -> Column:
+        return (v > c("lo", j)) & (v < c("hi", j))
+
+    low_rank = [F.floor(F.lit(float(p)) * (n - 1)) for p in probs]
+    high_rank = [F.ceil(F.lit(float(p)) * (n - 1)) for p in probs]
 
     # Bracket j is [lo_j, hi_j]; *_lt / *_le count the rows below / up to a bound,
     # and (a_j, b_j) is a narrower bracket still to be checked by counting.
-    margin = 2 / ACCURACY
-    around = [min(max(p + s * margin, 0.0), 1.0) for p in probs for s in (-1, 1)]
-    sketch = values.groupBy(*group).agg(
-        F.count("*").alias("n"), F.percentile_approx("value", around, ACCURACY).alias("s")
-    )
-    start = [F.col("n")]
-    for j in js:
-        start += [
-            F.lit(float("-inf")).alias(f"lo_{j}"),
-            F.lit(0).cast("long").alias(f"lo_lt_{j}"),
-            F.lit(0).cast("long").alias(f"lo_le_{j}"),
-            F.lit(float("inf")).alias(f"hi_{j}"),
-            F.col("n").alias(f"hi_lt_{j}"),
-            F.col("n").alias(f"hi_le_{j}"),
-            F.col("s")[2 * j].alias(f"a_{j}"),
-            F.col("s")[2 * j + 1].alias(f"b_{j}"),
-        ]
+    sketch = _sketches(values, group, [v]).withColumn("n", F.col("n_rows"))
+    start = [n]
+    for j, p in zip(js, probs):
+        pair = _at(F.col("s_0"), [p - MARGIN, p + MARGIN])
+        ends = {"lo": float("-inf"), "hi": float("inf")}
+        start += [F.lit(x).alias(f"{name}_{j}") for name, x in ends.items()]
+        start += [F.lit(0).cast("long").alias(f"lo_{part}_{j}") for part in ("lt", "le")]
+        start += [n.alias(f"hi_{part}_{j}") for part in ("lt", "le")]
+        start += [pair[0].alias(f"a_{j}"), pair[1].alias(f"b_{j}")]
     state = _hold(sketch.select(*group, *start))
+    whole = True  # values still holds rows outside the brackets
 
     while True:
-        counts = []
-        for j in js:
-            for x in "ab":
-                bound = F.col(f"{x}_{j}")
-                counts += [
-                    F.count_if(v < bound).alias(f"{x}_lt_{j}"),
-                    F.count_if(v <= bound).alias(f"{x}_le_{j}"),
-                ]
-        counted = lookup_join(values, state, group).groupBy(*state.columns).agg(*counts)
-        accepted = [F.col("n")]
+        counts = [
+            F.count_if(test & (v > c("lo", j))).alias(f"{x}_{part}_{j}")
+            for j in js
+            for x in "ab"
+            for part, test in (("lt", v < c(x, j)), ("le", v <= c(x, j)))
+        ]
+        counted = lookup_join(values, state, group).groupBy(*group).agg(*counts)
+        accepted = [n]
         for j in js:
-            low_ok = F.col(f"a_lt_{j}") <= low_rank(j)
-            high_ok = F.col(f"b_le_{j}") > high_rank(j)
-            for part in ("", "lt_", "le_"):
-                lo, hi = F.col(f"lo_{part}{j}"), F.col(f"hi_{part}{j}")
-                a, b = F.col(f"a_{part}{j}"), F.col(f"b_{part}{j}")
-                accepted.append(F.when(low_ok, a).otherwise(lo).alias(f"lo_{part}{j}"))
-                accepted.append(F.when(high_ok, b).otherwise(hi).alias(f"hi_{part}{j}"))
-        state = _hold(counted.select(*group, *accepted))
-        # rows strictly inside; rows equal to a bound collapse to one when ranked
-        inside = [F.col(f"hi_lt_{j}") - F.col(f"lo_le_{j}") for j in js]
-        widest = state.agg(*[F.max(x).alias(f"w_{j}") for j, x in zip(js, inside)]).first()
-        if widest is None or all((w or 0) <= keep_rows for w in widest):
+            below = {
+                x: F.coalesce(c(x, j), F.lit(0)) + c("lo_le", j)
+                for x in ("a_lt", "a_le", "b_lt", "b_le")
+            }
+            bounds = {"a": c("a", j), "b": c("b", j), **below}
+            low_ok = below["a_lt"] <= low_rank[j]
+            high_ok = below["b_le"] > high_rank[j]
+            for part in ("", "_lt", "_le"):
+                lo = F.when(low_ok, bounds[f"a{part}"]).otherwise(c(f"lo{part}", j))
+                hi = F.when(high_ok, bounds[f"b{part}"]).otherwise(c(f"hi{part}", j))
+                accepted += [lo.alias(f"lo{part}_{j}"), hi.alias(f"hi{part}_{j}")]
+        # groups without a row left keep their bounds
+        state = _hold(state.join(counted, group, "left").select(*group, *accepted))
+        # rows equal to a bound are known by its counts; only those between remain
+        between = [F.greatest(c("hi_lt", j) - c("lo_le", j), F.lit(0)) for j in js]
+        widest = state.agg(*[F.max(x) for x in between]).first()
+        if all((w or 0) <= keep_rows for w in widest):
             break
+        if whole:
+            near = lookup_join(values, state, group).where(_any_of([inside(j) for j in js]))
+            values, whole = checkpointed(near.select(*group, "value")), False
+        rows = lookup_join(values, state, group)
+        sketch = _sketches(rows, group, [F.when(inside(j), v) for j in js])
         grid = [i / GRID for i in range(GRID + 1)]
-        sketches = [
-            F.percentile_approx(
-                F.when((v > F.col(f"lo_{j}")) & (v < F.col(f"hi_{j}")), v), grid, ACCURACY
-            ).alias(f"s_{j}")
-            for j in js
-        ]
-        narrowed = lookup_join(values, state, group).groupBy(*state.columns).agg(*sketches)
-        proposals = []
-        for j, size in zip(js, inside):
-            def at(rank: Column, step: int) -> Column:
-                share = (rank - F.col(f"lo_le_{j}")) * GRID / F.greatest(size, F.lit(1))
+        proposed = []
+        for j in js:
+            def pick(rank: Column, step: int) -> Column:
+                share = (rank - c("lo_le", j)) * GRID / F.nullif(between[j], F.lit(0))
                 place = (F.floor(share) if step < 0 else F.ceil(share)) + step
                 place = F.greatest(F.least(place, F.lit(GRID)), F.lit(0)).cast("int")
-                return F.col(f"s_{j}")[place]
+                return F.when(between[j] > 0, _at(c("s", j), grid)[place])
 
-            a = F.coalesce(at(low_rank(j), -1), F.col(f"lo_{j}"))
-            b = F.coalesce(at(high_rank(j), 1), F.col(f"hi_{j}"))
-            proposals += [a.alias(f"a_{j}"), b.alias(f"b_{j}")]
-        state = _hold(narrowed.select(*state.columns, *proposals))
+            a = F.coalesce(pick(low_rank[j], -1), c("lo", j))
+            b = F.coalesce(pick(high_rank[j], 1), c("hi", j))
+            proposed += [a.alias(f"a_{j}"), b.alias(f"b_{j}")]
+        state = _hold(state.join(sketch, group, "left").select(*state.columns, *proposed))
 
-    within = F.array_compact(
-        F.array(*[F.when(v.between(F.col(f"lo_{j}"), F.col(f"hi_{j}")), F.lit(j)) for j in js])
-    )
+    within = F.array_compact(F.array(*[F.when(inside(j), F.lit(j)) for j in js]))
     near = (
         lookup_join(values, state, group)
         .select(*group, "value", F.explode(within).alias("j"))
@@ -139,24 +169,52 @@ def _bracketed(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
         .agg(F.count("*").alias("rows"))
     )
     w = W.partitionBy(*group, "j").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    base = F.array(*[F.col(f"lo_lt_{j}") for j in js])[F.col("j")]
-    share = F.array(*[F.lit(float(p)) for p in probs])[F.col("j")] * (F.col("n") - 1)
-    ranked = (
-        lookup_join(near.withColumn("upto", F.sum("rows").over(w)), state, group)
-        .select(*group, "j", "value", (F.col("upto") + base).alias("upto"), share.alias("place"))
-        .groupBy(*group, "j", "place")
+    ranks = F.inline(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(j).alias("j"), F.lit(float(p)).alias("p"), c("lo", j).alias("lo"),
+                    c("lo_le", j).alias("lo_le"), c("hi", j).alias("hi"), c("hi_lt", j).alias("hi_lt"),
+                )
+                for j, p in zip(js, probs)
+            ]
+        )
+    )
+    wanted = state.select(*group, "n", ranks)
+    place = F.col("p") * (n - 1)
+    ranked = near.withColumn("upto", F.sum("rows").over(w))
+    picked = (
+        wanted.join(ranked, [*group, "j"], "left")
+        .groupBy(*wanted.columns)
         .agg(
-            F.min(F.when(F.col("upto") > F.floor("place"), F.col("value"))).alias("v0"),
-            F.min(F.when(F.col("upto") > F.ceil("place"), F.col("value"))).alias("v1"),
+            *[
+                F.min(F.when(F.col("upto") + F.col("lo_le") > rank, v)).alias(name)
+                for name, rank in (("v0", F.floor(place)), ("v1", F.ceil(place)))
+            ]
         )
     )
-    part = F.col("place") - F.floor("place")
-    value = F.col("v0") * (1 - part) + F.col("v1") * part
-    out = ranked.withColumn("p", value).groupBy(*by)
+
+    def at(rank: Column, between: str) -> Column:
+        return (
+            F.when(rank < F.col("lo_le"), F.col("lo"))
+            .when(rank >= F.col("hi_lt"), F.col("hi"))
+            .otherwise(F.col(between))
+        )
+
+    part = place - F.floor(place)
+    value = at(F.floor(place), "v0") * (1 - part) + at(F.ceil(place), "v1") * part
+    out = picked.withColumn("value", value).groupBy(*by)
     return out.agg(
         *[
-            F.array(*[F.max(F.when((F.col("column") == c) & (F.col("j") == j), F.col("p"))) for j in js])
-            .alias(c)
-            for c in columns
+            F.array(*[F.max(F.when((F.col("column") == x) & (F.col("j") == j), v)) for j in js])
+            .alias(x)
+            for x in columns
         ]
     )
+
+
+def _any_of(tests: Sequence[Column]) -> Column:
+    out, *rest = tests
+    for test in rest:
+        out = out | test
+    return out

@@ -153,12 +153,33 @@ def ladder_small(spark, sf_dir):
     return ladder.metrics(encoded.where("split = 'test'"), by=["segment"])
 
 
-@query("ladder_changes")
+@query(
+    "ladder_changes",
+    """WITH k AS (SELECT 1 + count(DISTINCT o_orderstatus) + count(DISTINCT o_orderpriority)
+    + count(DISTINCT c_mktsegment) AS n FROM orders JOIN customer ON o_custkey = c_custkey)
+  SELECT CAST(0 AS INTEGER) AS step, 'L0: encoded' AS model, n AS n_features, '' AS changed FROM k
+  UNION ALL SELECT 1, 'L1: encoded scaled', n, 'scale' FROM k
+  UNION ALL SELECT 2, 'L2: all features scaled', n + 2, 'features' FROM k
+  UNION ALL SELECT 3, 'L3: all features ridge', n + 2, 'regParam, scale' FROM k""",
+)
 def ladder_changes(spark, sf_dir):
-    """What each rung of the small ladder changes, for the vocabulary of the data."""
+    """What each rung changes from the one before, over the learned encoding."""
     _, spec = encoded_orders(spark, sf_dir)
-    steps = small_ladder(spec).config_changes(spark)
-    return steps.select("step", "model", F.concat_ws(", ", "changed").alias("changed"))
+    base, full = tuple(spec.encoded_names), tuple(spec.names)
+    ladder = Ladder(
+        [
+            Experiment("L0: encoded", base, LinearRegression()),
+            Experiment("L1: encoded scaled", base, LinearRegression(), scale=True),
+            Experiment("L2: all features scaled", full, LinearRegression(), scale=True),
+            Experiment("L3: all features ridge", full, LinearRegression(regParam=0.1)),
+        ],
+        TARGET,
+    )
+    steps = ladder.config_changes(spark)
+    n = F.size(F.split(F.col("config")["features"], ", ")).cast("bigint")
+    return steps.select(
+        "step", "model", n.alias("n_features"), F.concat_ws(", ", "changed").alias("changed")
+    )
 
 
 @query("seed_ensemble")
@@ -182,3 +203,105 @@ def gbt_history(spark, sf_dir):
     out = loss_history(model, fit, held)
     train.unpersist()
     return out
+
+
+# Over one category's indicators trees fit the group means exactly, which SQL can check.
+
+
+def status_frame(spark, sf_dir):
+    frame = split_orders(spark, sf_dir).select(
+        "o_orderkey", TARGET, "split", "is_validation", "o_orderstatus"
+    )
+    spec = learn_spec(frame.select("o_orderstatus"))
+    kept = ["o_orderkey", TARGET, "split", "is_validation"]
+    return encode(frame, spec, keep=kept, fold=False), spec
+
+
+def status_boosting(**params) -> GBTRegressor:
+    return GBTRegressor(maxIter=2, maxDepth=3, seed=SEED, **params)
+
+
+STATUS_SQL = ORDER_FRAME_SQL + """,
+  means AS (SELECT o_orderstatus, avg(o_totalprice) AS m FROM frame WHERE {rows}
+            GROUP BY o_orderstatus),
+  p AS (SELECT split, is_validation, o_totalprice AS actual, m AS prediction
+        FROM frame JOIN means USING (o_orderstatus))"""
+
+
+def _status_metrics_sql(names: list[str]) -> str:
+    rows = " UNION ALL ".join(
+        f"SELECT '{n}' AS model, actual, prediction FROM p WHERE split = 'test'" for n in names
+    )
+    ctes = STATUS_SQL.format(rows="split = 'train'")
+    return f"WITH {ctes}, long AS ({rows}) {metrics_sql('model', 'long')}"
+
+
+@query("tree_baselines", _status_metrics_sql(["BL: Forest", "BL: Boosting"]))
+def tree_baselines(spark, sf_dir):
+    """A one-tree forest and boosting over the order status."""
+    frame, spec = status_frame(spark, sf_dir)
+    features = tuple(spec.names)
+    forest = RandomForestRegressor(
+        numTrees=1, maxDepth=5, featureSubsetStrategy="all", bootstrap=False, seed=SEED
+    )
+    ladder = Ladder(
+        [
+            Experiment("BL: Forest", features, forest),
+            Experiment("BL: Boosting", features, status_boosting()),
+        ],
+        TARGET,
+    )
+    ladder.fit(frame.where("split = 'train'"), parallelism=2)
+    return ladder.metrics(frame.where("split = 'test'"))
+
+
+ENSEMBLE_NAMES = ["M6 seed 29", "M6 seed 42", "M6 seed 7", "M6 Ensemble"]
+
+
+@query("seed_ensemble_status", _status_metrics_sql(ENSEMBLE_NAMES))
+def seed_ensemble_status(spark, sf_dir):
+    """Members without subsampling agree, and so does their mean."""
+    frame, spec = status_frame(spark, sf_dir)
+    ladder = seed_ensemble("M6", spec.names, status_boosting(), TARGET)
+    ladder.fit(frame.where("split = 'train'"), parallelism=3)
+    return ladder.metrics(frame.where("split = 'test'"))
+
+
+LOSS_SQL = """SELECT CAST(i AS INTEGER) AS iteration,
+    CASE WHEN is_validation THEN 'validation' ELSE 'train' END AS split, """
+
+
+@query(
+    "loss_history_status",
+    f"""WITH {STATUS_SQL.format(rows="split = 'train' AND NOT is_validation")}
+  {LOSS_SQL}{rnd('avg(abs(actual - prediction))', 4)} AS loss
+  FROM p, range(1, 3) t(i) WHERE split = 'train' GROUP BY i, is_validation""",
+)
+def loss_history_status(spark, sf_dir):
+    """Absolute error per boosting round on fitted and held-out training rows."""
+    frame, spec = status_frame(spark, sf_dir)
+    train = assembled(frame.where("split = 'train'"), spec.names, TARGET)
+    fit, held = train.where("NOT is_validation"), train.where("is_validation")
+    history = loss_history(status_boosting().fit(fit), fit, held)
+    return history.withColumn("loss", F.round("loss", 4))
+
+
+@query(
+    "early_stop_status",
+    f"""WITH {STATUS_SQL.format(rows="split = 'train' AND NOT is_validation")}
+  SELECT 1 AS n_trees, {rnd('avg(abs(actual - prediction))', 4)} AS validation_mae
+  FROM p WHERE is_validation""",
+)
+def early_stop_status(spark, sf_dir):
+    """A second round brings nothing on the held-out rows, so the first one is kept."""
+    frame, spec = status_frame(spark, sf_dir)
+    train = frame.where("split = 'train'")
+    rung = Experiment(
+        "early stop", tuple(spec.names), status_boosting(validationIndicatorCol="is_validation")
+    )
+    fitted = fit_experiment(rung, train, TARGET)
+    held = fitted.predict(train.where("is_validation"), "p")
+    error = F.round(F.avg(F.abs(F.col(TARGET) - F.col("p"))), 4)
+    return held.agg(
+        F.lit(len(fitted.model.stages[-1].trees)).alias("n_trees"), error.alias("validation_mae")
+    )
