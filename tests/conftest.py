@@ -13,7 +13,7 @@ def spark():
     session = get_session(
         "tests", "local[4]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false"
     )
-    session.sparkContext.setLogLevel("ERROR")
+    session.sparkContext.setLogLevel("FATAL")
     yield session
     session.stop()
 
