@@ -1,5 +1,6 @@
 from tabspark.functions.scalar import (
     abs_dev,
+    any_of,
     guarded_corr,
     hinge,
     interact,
@@ -12,6 +13,7 @@ from tabspark.functions.scalar import (
 
 __all__ = [
     "abs_dev",
+    "any_of",
     "guarded_corr",
     "hinge",
     "interact",

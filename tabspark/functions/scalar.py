@@ -6,10 +6,18 @@ differences stay missing, 0/1 flags of a missing value are 0.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def any_of(tests: Sequence[Column]) -> Column:
+    return reduce(or_, tests)
+
+
 def nan_to_null(x: Column) -> Column:
     return F.nanvl(x.cast("double"), F.lit(None).cast("double"))
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabspark.functions import nan_to_null
+from tabspark.functions import any_of, nan_to_null
 from tabspark.operators.relational import lookup_join, small_table
 from tabspark.session import checkpointed
 
@@ -143,7 +143,7 @@ def _bracketed(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
         if all((w or 0) <= keep_rows for w in widest):
             break
         if whole:
-            near = lookup_join(values, state, group).where(_any_of([inside(j) for j in js]))
+            near = lookup_join(values, state, group).where(any_of([inside(j) for j in js]))
             values, whole = checkpointed(near.select(*group, "value")), False
         rows = lookup_join(values, state, group)
         sketch = _sketches(rows, group, [F.when(inside(j), v) for j in js])
@@ -211,10 +211,3 @@ def _bracketed(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
             for x in columns
         ]
     )
-
-
-def _any_of(tests: Sequence[Column]) -> Column:
-    out, *rest = tests
-    for test in rest:
-        out = out | test
-    return out

@@ -74,12 +74,15 @@ def between_half_open(x: Column, low: float | None = None, high: float | None =
 
 
 def where_in(df: DataFrame, column: str, values: Iterable) -> DataFrame:
-    """Rows whose value is listed; a long list becomes a semi join."""
+    """Rows whose value is listed; a list too long for the plan becomes a semi join.
+
+    The driver holds the list, so every executor can.
+    """
     values = list(dict.fromkeys(values))
     if len(values) <= INLINE_VALUES:
         return df.where(F.col(column).isin(values))
     listed = df.sparkSession.createDataFrame([(v,) for v in values], df.select(column).schema)
-    return df.join(listed, column, "left_semi")
+    return df.join(F.broadcast(listed), column, "left_semi")
 
 
 def map_values(df: DataFrame, column: str, mapping: Mapping, out: str) -> DataFrame:
@@ -88,7 +91,7 @@ def map_values(df: DataFrame, column: str, mapping: Mapping, out: str) -> DataFr
         pairs = F.create_map(*[F.lit(v) for v in chain.from_iterable(mapping.items())])
         return df.withColumn(out, F.try_element_at(pairs, F.col(column)))
     table = df.sparkSession.createDataFrame(list(mapping.items()), [column, out])
-    return df.join(table, column, "left")
+    return df.join(F.broadcast(table), column, "left")
 
 
 def segment_by(rules: Sequence[tuple[Column, str]], default: str | None = None) -> Column:
@@ -101,8 +104,11 @@ def segment_by(rules: Sequence[tuple[Column, str]], default: str | None = None)
 
 
 def restrict_to_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows whose id is in ``ids``. Prefer a ``split`` column where one exists."""
-    return df.join(ids.select(key), key, "left_semi")
+    """Rows whose id is in ``ids``. Prefer a ``split`` column where one exists.
+
+    Repeated ids are merged before the shuffle: a semi join cannot split them.
+    """
+    return df.join(ids.select(key).distinct(), key, "left_semi")
 
 
 def column_for_ids(df: DataFrame, ids: DataFrame, key: str, column: str) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tabspark.functions import any_of
+
 PREFIX = 3  # hex digits per level: 4,096 counters
 BUCKET_ROWS = 200_000
 
@@ -78,7 +80,7 @@ def _hash_at(hashes: DataFrame, found: list[tuple[str, int, int]], level: int) -
             .withColumn("rank", F.row_number().over(W.partitionBy("p").orderBy("h")))
         )
         wanted = [(F.col("p") == found[i][0]) & (F.col("rank") == found[i][1]) for i in ready]
-        rows = ranked.where(_any(wanted)).collect()
+        rows = ranked.where(any_of(wanted)).collect()
         by_place = {(r["p"], r["rank"]): r["h"] for r in rows}
         out = {i: by_place[found[i][0], found[i][1]] for i in ready}
     for i, (prefix, rank, _) in enumerate(found):
@@ -89,13 +91,6 @@ def _hash_at(hashes: DataFrame, found: list[tuple[str, int, int]], level: int) -
     return [out[i] for i in range(len(found))]
 
 
-def _any(tests: list[Column]) -> Column:
-    out, *rest = tests
-    for test in rest:
-        out = out | test
-    return out
-
-
 def fit_split(df: DataFrame, key: str, test_fraction: float = 0.333, seed: int = 29,
               validation_fraction: float = 0.15) -> HashSplit:
     """Exact-size split over unique ids: ceil(n·f) test rows, and the tail of

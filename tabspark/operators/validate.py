@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabspark.functions import any_of
 from tabspark.spec import Rule
 
 FRACTIONAL = (T.DoubleType, T.FloatType, T.DecimalType)
@@ -40,6 +41,14 @@ def _failure(rule: Rule, dtype: T.DataType, strict: bool) -> Column:
     )
 
 
+def _present(messages: Sequence[Column]) -> Column:
+    """The messages that are not NULL, in order.
+
+    ``array_except`` stays inside generated code, ``array_compact`` does not.
+    """
+    return F.array_except(F.array(*messages), F.array(F.lit(None).cast("string")))
+
+
 def validate(df: DataFrame, rules: Sequence[Rule], mode: str = "full",
              malformed: str | None = None, out: str = "errors") -> DataFrame:
     """Add the array of failures of each row.
@@ -53,11 +62,10 @@ def validate(df: DataFrame, rules: Sequence[Rule], mode: str = "full",
     strict = mode == "ingress"
     types = {f.name: f.dataType for f in df.schema.fields}
     tested = [r for r in rules if not (strict and r.kind == "category")]
-    missing = F.array_compact(
-        F.array(*[F.when(F.col(r.column).isNull(), F.lit(f"{r.column}: missing")) for r in rules])
-    )
-    failed = F.array_compact(F.array(*[_failure(r, types[r.column], strict) for r in tested]))
-    errors = F.when(F.size(missing) > 0, missing).otherwise(failed)
+    absent = [F.col(r.column).isNull() for r in rules]
+    missing = [F.when(a, F.lit(f"{r.column}: missing")) for a, r in zip(absent, rules)]
+    failed = [_failure(r, types[r.column], strict) for r in tested]
+    errors = F.when(any_of(absent), _present(missing)).otherwise(_present(failed))
     if malformed:
         errors = F.when(F.col(malformed).isNotNull(), F.array(F.lit(MALFORMED))).otherwise(errors)
     return df.withColumn(out, errors)

@@ -8,6 +8,7 @@ from tabspark.plans.ladder import (
     seed_ensemble,
 )
 from tabspark.plans.scoring import Scorer
+from tabspark.plans.study import Study, ingest_csv, run_study
 
 __all__ = [
     "DenseNet",
@@ -15,8 +16,11 @@ __all__ = [
     "Ladder",
     "Layer",
     "Scorer",
+    "Study",
     "absolute_error_ladder",
     "baselines",
+    "ingest_csv",
     "loss_history",
+    "run_study",
     "seed_ensemble",
 ]

@@ -1,4 +1,4 @@
-from tabspark.sources.records import parse_json, read_csv, read_parquet, records
+from tabspark.sources.records import parse_json, read_csv, read_keyed, read_parquet, records
 from tabspark.sources.store import (
     append_metrics,
     load_model,
@@ -16,6 +16,7 @@ __all__ = [
     "load_spec",
     "parse_json",
     "read_csv",
+    "read_keyed",
     "read_parquet",
     "records",
     "save_model",
