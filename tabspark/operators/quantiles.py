@@ -59,19 +59,26 @@ def _hold(df: DataFrame) -> DataFrame:
     return checkpointed(df) if small is None else small
 
 
-def _sketches(rows: DataFrame, keys: Sequence[str], inputs: Sequence[Column]) -> DataFrame:
-    """One sketch ``s_i`` per key and input, merged in two steps."""
-    names = [f"s_{i}" for i in range(len(inputs))]
-    partial = (
-        rows.withColumn("_merger", F.spark_partition_id() % MERGERS)
-        .groupBy(*keys, "_merger")
-        .agg(
-            F.count("*").alias("n_rows"),
-            *[F.kll_sketch_agg_double(x, SKETCH_K).alias(s) for s, x in zip(names, inputs)],
-        )
-    )
-    merged = [F.kll_merge_agg_double(s, SKETCH_K).alias(s) for s in names]
-    return partial.groupBy(*keys).agg(F.sum("n_rows").alias("n_rows"), *merged)
+def _bind(rows: DataFrame, table: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Attach each group's parameters; the only row of an ungrouped table as literals."""
+    if by:
+        return lookup_join(rows, table, by)
+    row = table.first()
+    literals = {f.name: F.lit(row[f.name]).cast(f.dataType) for f in table.schema.fields}
+    return rows.withColumns(literals)
+
+
+def _sketches(rows: DataFrame, keys: Sequence[str], inputs: Sequence[str]) -> DataFrame:
+    """Per key, the count ``n_i`` and sketch ``s_i`` of each input, merged in two steps."""
+    parts, merged = [], []
+    for i, x in enumerate(inputs):
+        parts += [F.count(x).alias(f"n_{i}"), F.kll_sketch_agg_double(x, SKETCH_K).alias(f"s_{i}")]
+        merged += [
+            F.sum(f"n_{i}").alias(f"n_{i}"),
+            F.kll_merge_agg_double(f"s_{i}", SKETCH_K).alias(f"s_{i}"),
+        ]
+    partial = rows.withColumn("_merger", F.spark_partition_id() % MERGERS)
+    return partial.groupBy(*keys, "_merger").agg(*parts).groupBy(*keys).agg(*merged)
 
 
 def _at(sketch: Column, shares: Sequence[float]) -> Column:
@@ -81,116 +88,143 @@ def _at(sketch: Column, shares: Sequence[float]) -> Column:
     )
 
 
-def _bracketed(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-               by: Sequence[str], keep_rows: int) -> DataFrame:
-    group = [*by, "column"]
-    cells = [
-        F.struct(F.lit(c).alias("column"), nan_to_null(F.col(c)).alias("value")) for c in columns
+def _counts(x: Column, t: str = "") -> list[Column]:
+    """Rows below and up to each proposed bound."""
+    return [
+        F.count_if(test).alias(f"{bound}_{part}{t}")
+        for bound in "ab"
+        for part, test in (("lt", x < F.col(f"{bound}{t}")), ("le", x <= F.col(f"{bound}{t}")))
     ]
-    values = df.select(*by, F.inline(F.array(*cells))).where("value IS NOT NULL")
-    v, n = F.col("value"), F.col("n")
-    js = range(len(probs))
-
-    def c(name: str, j: int) -> Column:
-        return F.col(f"{name}_{j}")
-
-    def inside(j: int) -> Column:
-        return (v > c("lo", j)) & (v < c("hi", j))
-
-    low_rank = [F.floor(F.lit(float(p)) * (n - 1)) for p in probs]
-    high_rank = [F.ceil(F.lit(float(p)) * (n - 1)) for p in probs]
-
-    # Bracket j is [lo_j, hi_j]; *_lt / *_le count the rows below / up to a bound,
-    # and (a_j, b_j) is a narrower bracket still to be checked by counting.
-    sketch = _sketches(values, group, [v]).withColumn("n", F.col("n_rows"))
-    start = [n]
-    for j, p in zip(js, probs):
-        pair = _at(F.col("s_0"), [p - MARGIN, p + MARGIN])
-        ends = {"lo": float("-inf"), "hi": float("inf")}
-        start += [F.lit(x).alias(f"{name}_{j}") for name, x in ends.items()]
-        start += [F.lit(0).cast("long").alias(f"lo_{part}_{j}") for part in ("lt", "le")]
-        start += [n.alias(f"hi_{part}_{j}") for part in ("lt", "le")]
-        start += [pair[0].alias(f"a_{j}"), pair[1].alias(f"b_{j}")]
-    state = _hold(sketch.select(*group, *start))
-    whole = True  # values still holds rows outside the brackets
-
-    while True:
-        counts = [
-            F.count_if(test & (v > c("lo", j))).alias(f"{x}_{part}_{j}")
-            for j in js
-            for x in "ab"
-            for part, test in (("lt", v < c(x, j)), ("le", v <= c(x, j)))
+
+
+def _first_brackets(rows: DataFrame, inputs: Sequence[str], probs: Sequence[float],
+                    by: Sequence[str]) -> DataFrame:
+    """(by…, t, p, n, lo…, hi…), one row per group, input and percentile.
+
+    [lo, hi] holds the ranks floor(p·(n−1)) and ceil(p·(n−1)); *_lt and *_le
+    count the rows below and up to a bound. Two passes over the table.
+    """
+    targets = [(i, p) for i in range(len(inputs)) for p in probs]
+    proposed = [F.col(f"n_{i}") for i in range(len(inputs))]
+    for t, (i, p) in enumerate(targets):
+        pair = _at(F.col(f"s_{i}"), [p - MARGIN, p + MARGIN])
+        for k, bound in enumerate("ab"):
+            proposed.append(F.when(F.col(f"n_{i}") > 0, pair[k]).alias(f"{bound}{t}"))
+    first = _hold(_sketches(rows, by, inputs).select(*by, *proposed))
+    counts = [c for t, (i, _) in enumerate(targets) for c in _counts(F.col(inputs[i]), str(t))]
+    counted = _bind(_bind(rows, first, by).groupBy(*by).agg(*counts), first, by)
+    brackets = []
+    for t, (i, p) in enumerate(targets):
+        n = F.col(f"n_{i}")
+        got = {name: F.col(f"{name}{t}") for name in ("a", "a_lt", "a_le", "b", "b_lt", "b_le")}
+        brackets.append(
+            F.struct(
+                F.lit(t).alias("t"), F.lit(float(p)).alias("p"), n.alias("n"),
+                F.lit(float("-inf")).alias("lo"), F.lit(0).cast("long").alias("lo_lt"),
+                F.lit(0).cast("long").alias("lo_le"), F.lit(float("inf")).alias("hi"),
+                n.alias("hi_lt"), n.alias("hi_le"), *[c.alias(name) for name, c in got.items()],
+            )
+        )
+    state = counted.select(*by, F.inline(F.array(*brackets))).where("n > 0")
+    return _hold(_accepted(state, by))
+
+
+def _place() -> Column:
+    return F.col("p") * (F.col("n") - 1)
+
+
+def _accepted(state: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Take over a proposed bound where the counts show that the ranks stay inside."""
+    low_ok = F.col("a_lt") <= F.floor(_place())
+    high_ok = F.col("b_le") > F.ceil(_place())
+    bounds = []
+    for part in ("", "_lt", "_le"):
+        bounds.append(F.when(low_ok, F.col(f"a{part}")).otherwise(F.col(f"lo{part}")).alias(f"lo{part}"))
+        bounds.append(F.when(high_ok, F.col(f"b{part}")).otherwise(F.col(f"hi{part}")).alias(f"hi{part}"))
+    return state.select(*by, "t", "p", "n", *bounds)
+
+
+INSIDE = "value > lo AND value < hi"
+# rows equal to a bound are known by its counts; only those between remain
+BETWEEN = "greatest(hi_lt - lo_le, 0)"
+
+
+def _between(rows: DataFrame, state: DataFrame, inputs: Sequence[str], m: int,
+             by: Sequence[str]) -> DataFrame:
+    """(by…, t, value) of the rows strictly inside a bracket. One pass."""
+    n_targets = len(inputs) * m
+    wide = state.groupBy(*by).agg(
+        *[
+            F.max(F.when(F.col("t") == t, F.col(end))).alias(f"{end}{t}")
+            for t in range(n_targets)
+            for end in ("lo", "hi")
         ]
-        counted = lookup_join(values, state, group).groupBy(*group).agg(*counts)
-        accepted = [n]
-        for j in js:
-            below = {
-                x: F.coalesce(c(x, j), F.lit(0)) + c("lo_le", j)
-                for x in ("a_lt", "a_le", "b_lt", "b_le")
-            }
-            bounds = {"a": c("a", j), "b": c("b", j), **below}
-            low_ok = below["a_lt"] <= low_rank[j]
-            high_ok = below["b_le"] > high_rank[j]
-            for part in ("", "_lt", "_le"):
-                lo = F.when(low_ok, bounds[f"a{part}"]).otherwise(c(f"lo{part}", j))
-                hi = F.when(high_ok, bounds[f"b{part}"]).otherwise(c(f"hi{part}", j))
-                accepted += [lo.alias(f"lo{part}_{j}"), hi.alias(f"hi{part}_{j}")]
-        # groups without a row left keep their bounds
-        state = _hold(state.join(counted, group, "left").select(*group, *accepted))
-        # rows equal to a bound are known by its counts; only those between remain
-        between = [F.greatest(c("hi_lt", j) - c("lo_le", j), F.lit(0)) for j in js]
-        widest = state.agg(*[F.max(x) for x in between]).first()
-        if all((w or 0) <= keep_rows for w in widest):
-            break
-        if whole:
-            near = lookup_join(values, state, group).where(any_of([inside(j) for j in js]))
-            values, whole = checkpointed(near.select(*group, "value")), False
-        rows = lookup_join(values, state, group)
-        sketch = _sketches(rows, group, [F.when(inside(j), v) for j in js])
-        grid = [i / GRID for i in range(GRID + 1)]
-        proposed = []
-        for j in js:
-            def pick(rank: Column, step: int) -> Column:
-                share = (rank - c("lo_le", j)) * GRID / F.nullif(between[j], F.lit(0))
-                place = (F.floor(share) if step < 0 else F.ceil(share)) + step
-                place = F.greatest(F.least(place, F.lit(GRID)), F.lit(0)).cast("int")
-                return F.when(between[j] > 0, _at(c("s", j), grid)[place])
-
-            a = F.coalesce(pick(low_rank[j], -1), c("lo", j))
-            b = F.coalesce(pick(high_rank[j], 1), c("hi", j))
-            proposed += [a.alias(f"a_{j}"), b.alias(f"b_{j}")]
-        state = _hold(state.join(sketch, group, "left").select(*state.columns, *proposed))
-
-    within = F.array_compact(F.array(*[F.when(inside(j), F.lit(j)) for j in js]))
-    near = (
-        lookup_join(values, state, group)
-        .select(*group, "value", F.explode(within).alias("j"))
-        .groupBy(*group, "j", "value")
+    )
+    tests, cells = [], []
+    for t in range(n_targets):
+        x = F.col(inputs[t // m])
+        test = (x > F.col(f"lo{t}")) & (x < F.col(f"hi{t}"))
+        tests.append(test)
+        cells.append(F.when(test, F.struct(F.lit(t).alias("t"), x.alias("value"))))
+    near = _bind(rows, _hold(wide), by).where(any_of(tests))
+    return near.select(*by, F.inline(F.array_compact(F.array(*cells))))
+
+
+def _narrowed(near: DataFrame, state: DataFrame, key: Sequence[str]) -> DataFrame:
+    """One more round on the kept rows: propose closer bounds, count, accept."""
+    inside = lookup_join(near, state, key).where(INSIDE).select(*key, "value")
+    grid = _at(F.col("s_0"), [i / GRID for i in range(GRID + 1)])
+
+    def pick(rank: Column, step: int) -> Column:
+        share = (rank - F.col("lo_le")) * GRID / F.col("n_0")
+        place = (F.floor(share) if step < 0 else F.ceil(share)) + step
+        return grid[F.greatest(F.least(place, F.lit(GRID)), F.lit(0)).cast("int")]
+
+    some = F.col("n_0") > 0
+    proposed = state.join(_sketches(inside, key, ["value"]), list(key), "left").select(
+        *state.columns,
+        F.when(some, pick(F.floor(_place()), -1)).otherwise(F.col("lo")).alias("a"),
+        F.when(some, pick(F.ceil(_place()), 1)).otherwise(F.col("hi")).alias("b"),
+    )
+    proposed = _hold(proposed)
+    counts = (
+        lookup_join(near, proposed, key).where(INSIDE).groupBy(*key).agg(*_counts(F.col("value")))
+    )
+    full = {
+        c: F.coalesce(F.col(c), F.lit(0)) + F.col("lo_le") for c in ("a_lt", "a_le", "b_lt", "b_le")
+    }
+    counted = proposed.join(counts, list(key), "left").withColumns(full)
+    return _hold(_accepted(counted, key[:-1]))
+
+
+def _bracketed(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
+               by: Sequence[str], keep_rows: int) -> DataFrame:
+    inputs = [f"x_{i}" for i in range(len(columns))]
+    rows = df.select(*by, *[nan_to_null(F.col(c)).alias(x) for c, x in zip(columns, inputs)])
+    key, m = [*by, "t"], len(probs)
+
+    state = _first_brackets(rows, inputs, probs, by)
+    near = _between(rows, state, inputs, m, by)
+    if (state.agg(F.max(F.expr(BETWEEN))).first()[0] or 0) > keep_rows:
+        near = checkpointed(near)
+        while state.agg(F.max(F.expr(BETWEEN))).first()[0] > keep_rows:
+            state = _narrowed(near, state, key)
+
+    w = W.partitionBy(*key).orderBy("value").rowsBetween(W.unboundedPreceding, 0)
+    ranked = (
+        lookup_join(near, state, key)
+        .where(INSIDE)
+        .groupBy(*key, "value")
         .agg(F.count("*").alias("rows"))
+        .withColumn("upto", F.sum("rows").over(w))
     )
-    w = W.partitionBy(*group, "j").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    ranks = F.inline(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(j).alias("j"), F.lit(float(p)).alias("p"), c("lo", j).alias("lo"),
-                    c("lo_le", j).alias("lo_le"), c("hi", j).alias("hi"), c("hi_lt", j).alias("hi_lt"),
-                )
-                for j, p in zip(js, probs)
-            ]
-        )
-    )
-    wanted = state.select(*group, "n", ranks)
-    place = F.col("p") * (n - 1)
-    ranked = near.withColumn("upto", F.sum("rows").over(w))
+    upto = F.col("upto") + F.col("lo_le")
     picked = (
-        wanted.join(ranked, [*group, "j"], "left")
-        .groupBy(*wanted.columns)
+        state.join(ranked, key, "left")
+        .groupBy(*state.columns)
         .agg(
-            *[
-                F.min(F.when(F.col("upto") + F.col("lo_le") > rank, v)).alias(name)
-                for name, rank in (("v0", F.floor(place)), ("v1", F.ceil(place)))
-            ]
+            F.min(F.when(upto > F.floor(_place()), F.col("value"))).alias("v0"),
+            F.min(F.when(upto > F.ceil(_place()), F.col("value"))).alias("v1"),
         )
     )
 
@@ -201,13 +235,14 @@ def _bracketed(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
             .otherwise(F.col(between))
         )
 
-    part = place - F.floor(place)
-    value = at(F.floor(place), "v0") * (1 - part) + at(F.ceil(place), "v1") * part
-    out = picked.withColumn("value", value).groupBy(*by)
-    return out.agg(
-        *[
-            F.array(*[F.max(F.when((F.col("column") == x) & (F.col("j") == j), v)) for j in js])
-            .alias(x)
-            for x in columns
-        ]
-    )
+    low, high = F.floor(_place()), F.ceil(_place())
+    part = _place() - low
+    value = at(low, "v0") * (1 - part) + at(high, "v1") * part
+    found = picked.withColumn("found", value)
+
+    def cell(t: int) -> Column:
+        return F.max(F.when(F.col("t") == t, F.col("found")))
+
+    return found.groupBy(*by).agg(
+        *[F.array(*[cell(i * m + j) for j in range(m)]).alias(c) for i, c in enumerate(columns)]
+    )
