@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 # Above these sizes a literal list or map is replaced by a join.
 INLINE_VALUES = 1_000
-SMALL_ROWS = 100_000
+SMALL_ROWS = 20_000
 SALTS = 64
 
 

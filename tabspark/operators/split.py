@@ -20,6 +20,8 @@ from tabspark.functions import any_of
 
 PREFIX = 3  # hex digits per level: 4,096 counters
 BUCKET_ROWS = 200_000
+HASH_LENGTH = 32
+NOT_UNIQUE = "the split needs unique row ids"
 
 
 def row_hash(key: str, seed: int) -> Column:
@@ -74,17 +76,23 @@ def _hash_at(hashes: DataFrame, found: list[tuple[str, int, int]], level: int) -
     if ready:
         prefixes = [found[i][0] for i in ready]
         p = F.substring("h", 1, level * PREFIX)
+        w = W.partitionBy("p").orderBy("h")
+        twin = F.lag("h").over(w).eqNullSafe(F.col("h")) | F.lead("h").over(w).eqNullSafe(F.col("h"))
         ranked = (
             hashes.where(p.isin(prefixes))
             .select("h", p.alias("p"))
-            .withColumn("rank", F.row_number().over(W.partitionBy("p").orderBy("h")))
+            .withColumns({"rank": F.row_number().over(w), "twin": twin})
         )
         wanted = [(F.col("p") == found[i][0]) & (F.col("rank") == found[i][1]) for i in ready]
         rows = ranked.where(any_of(wanted)).collect()
+        if any(r["twin"] for r in rows):
+            raise ValueError(NOT_UNIQUE)
         by_place = {(r["p"], r["rank"]): r["h"] for r in rows}
         out = {i: by_place[found[i][0], found[i][1]] for i in ready}
     for i, (prefix, rank, _) in enumerate(found):
         if i not in out:
+            if level * PREFIX >= HASH_LENGTH:
+                raise ValueError(NOT_UNIQUE)
             inside = hashes.where(F.col("h").startswith(prefix))
             deeper = _locate(_prefix_counts(inside, (level + 1) * PREFIX), rank)
             out[i] = _hash_at(inside, [deeper], level + 1)[0]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel, inheritable_thread_target
@@ -14,9 +14,10 @@ from pyspark.ml.regression import (
     GBTRegressionModel,
     GBTRegressor,
     LinearRegression,
+    LinearRegressionModel,
     RandomForestRegressor,
 )
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabspark.operators.leaderboard import best_model
@@ -106,13 +107,16 @@ class Ladder:
         self.fitted: list[Fitted] = []
         self.ensembles: dict[str, tuple[str, ...]] = {}
 
-    def fit(self, train: DataFrame, parallelism: int = 1) -> "Ladder":
-        """Fit all rungs; independent fits may run side by side."""
+    def fit(self, train: DataFrame, parallelism: int = 1, keep: bool = True) -> "Ladder":
+        """Fit all rungs; independent fits may run side by side.
+
+        ``keep=False`` where the caller has persisted the rows already.
+        """
         def one(experiment: Experiment) -> Fitted:
             return fit_experiment(experiment, train, self.target)
 
-        with cached(train) as rows, ThreadPoolExecutor(parallelism) as pool:
-            train = rows
+        held = cached(train) if keep else nullcontext(train)
+        with held as train, ThreadPoolExecutor(parallelism) as pool:
             task = inheritable_thread_target(train.sparkSession)(one)
             self.fitted = list(pool.map(task, self.experiments))
         return self
@@ -227,14 +231,12 @@ def loss_history(model: GBTRegressionModel, train: DataFrame, validation: DataFr
     return train.sparkSession.createDataFrame(rows, schema)
 
 
+def objective_history(spark: SparkSession, model: LinearRegressionModel) -> DataFrame:
+    """(iteration, objective) of an iteratively fitted linear model."""
+    values = enumerate(model.summary.objectiveHistory)
+    return spark.createDataFrame([(i, float(v)) for i, v in values], "iteration int, objective double")
+
+
 def assembled(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     vector = VectorAssembler(inputCols=list(features), outputCol="features")
     return vector.transform(df).withColumn("label", F.col(target).cast("double"))
-
-
-def linear_prediction(coefficients: Mapping[str, float], intercept: float) -> Column:
-    """A fitted linear model as a plain expression."""
-    out = F.lit(intercept)
-    for name, weight in coefficients.items():
-        out = out + F.lit(weight) * F.col(name)
-    return out

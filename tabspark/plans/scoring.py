@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
@@ -13,6 +14,7 @@ from tabspark.operators.encode import encoded_columns
 from tabspark.operators.scale import Scaler
 from tabspark.operators.validate import coerce, validate
 from tabspark.plans.dense import DenseNet
+from tabspark.sources.records import parse_json
 from tabspark.sources.store import load_model, load_scaler, load_spec, save_model, save_scaler, save_spec
 from tabspark.spec import FeatureSpec, Rule, SegmentRule
 
@@ -103,6 +105,16 @@ class Scorer:
             F.when(~F.col("success"), F.col("errors")).alias("errors"),
         )
 
+    def predict(self, spark: SparkSession, requests: Sequence[Mapping]) -> DataFrame:
+        """Response records of a few requests given as dicts.
+
+        They take the way of JSON requests, so absent fields and wrong types are
+        reported as there.
+        """
+        lines = spark.createDataFrame([(json.dumps(r),) for r in requests], "payload string")
+        parsed = parse_json(lines, [r.column for r in self.rules], "payload")
+        return self.respond(self.score(parsed, malformed="malformed"))
+
     def save(self, spark: SparkSession, path: str) -> None:
         save_spec(spark, self.spec, f"{path}/spec")
         if self.scaler:

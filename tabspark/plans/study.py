@@ -105,7 +105,7 @@ def run_study(df: DataFrame, preset: Preset, experiments: Sequence[Experiment],
     else:
         ladder = Ladder(experiments, y)
     with cached(encoded) as rows:
-        ladder.fit(rows.where("split = 'train'"), parallelism)
+        ladder.fit(rows.where("split = 'train'"), parallelism, keep=False)
         predicted, columns = ladder.predict(rows)
         actual = F.col(y).alias("actual")
         with cached(predicted.select("split", "segment", actual, *columns.values())) as wide:

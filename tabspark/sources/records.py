@@ -43,10 +43,11 @@ def parse_json(df: DataFrame, fields: Sequence[str], value: str = "value",
     JSON object and is NULL otherwise.
     """
     schema = T.StructType([T.StructField(f, T.StringType()) for f in (*fields, malformed)])
+    text = F.col(value).cast("string")
     parsed = F.from_json(
-        F.col(value), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": malformed}
+        text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": malformed}
     )
-    bad = F.when(F.col("_r").isNull(), F.col(value)).otherwise(F.col(f"_r.{malformed}"))
+    bad = F.when(F.col("_r").isNull(), text).otherwise(F.col(f"_r.{malformed}"))
     return (
         df.withColumn("_r", parsed)
         .withColumns({**{f: F.col(f"_r.{f}") for f in fields}, malformed: bad})

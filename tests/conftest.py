@@ -11,7 +11,7 @@ from tabspark.session import get_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = get_session(
-        "tests", "local[4]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false"
+        "tests", "local[4]", {"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false"}
     )
     session.sparkContext.setLogLevel("FATAL")
     yield session

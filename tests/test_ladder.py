@@ -14,6 +14,7 @@ from tabspark.plans.ladder import (
     baselines,
     fit_experiment,
     loss_history,
+    objective_history,
     seed_ensemble,
 )
 from tabspark.sources import load_model, save_model
@@ -130,6 +131,13 @@ def test_early_stop_and_history(train):
     assert losses[-1] < losses[0] and len(history) == 16
 
 
+def test_linear_objective_history(spark, train):
+    rung = Experiment("m", SETS["base"], LinearRegression(loss="huber", maxIter=15))
+    model = fit_experiment(rung, train, "charges").model.stages[-1]
+    history = rows(objective_history(spark, model), "iteration")
+    assert len(history) > 2 and history[-1][1] < history[0][1]
+
+
 def test_absolute_error_ladder(train, test):
     ladder = Ladder(absolute_error_ladder(SETS, rounds=3), "charges").fit(train)
     got = maes(ladder, test)

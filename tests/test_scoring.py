@@ -155,6 +155,39 @@ def test_fitted_model_is_within_sane_bounds(spark, fitted_scorer):
     assert 15_000 < row["prediction"] < 35_000 and row["segment"] == "smoker_lt30"
 
 
+BASE = dict(age=30, sex="male", bmi=25.0, children=0, smoker="no", region="northwest")
+
+
+@pytest.mark.parametrize(
+    "change, low, high, segment",
+    [
+        (dict(age=25, bmi=22.0), 1_000, 15_000, "Non-smoker"),
+        (dict(age=55, sex="female", bmi=40.0, smoker="yes", region="southwest"), 30_000, 70_000, "Smoker (BMI≥30)"),
+        (dict(bmi=24.0, children=1, smoker="yes", region="northeast"), 15_000, 35_000, "Smoker (BMI<30)"),
+    ],
+)
+def test_accepted_requests(spark, fitted_scorer, change, low, high, segment):
+    row = fitted_scorer.predict(spark, [BASE | change]).first()
+    assert row["success"] and low < row["predicted_annual_charge"] < high
+    assert row["segment"] == segment and row["errors"] is None
+
+
+@pytest.mark.parametrize(
+    "request_, field",
+    [
+        ({k: v for k, v in BASE.items() if k != "age"}, "age"),
+        (BASE | dict(bmi=999), "bmi"),
+        (BASE | dict(smoker="maybe"), "smoker"),
+        (BASE | dict(smoker=None), "smoker"),
+        (BASE | dict(age=float("inf")), "age"),
+    ],
+)
+def test_rejected_requests(spark, fitted_scorer, request_, field):
+    row = fitted_scorer.predict(spark, [request_]).first()
+    assert not row["success"] and row["predicted_annual_charge"] is None
+    assert [e.split(":")[0] for e in row["errors"]] == [field]
+
+
 def json_lines(spark, n=200):
     df = synthetic(spark, n).withColumn("age", F.when(F.col("row_id") % 10 == 0, 7).otherwise(F.col("age")))
     text = F.when(F.col("row_id") % 17 == 1, "{broken").otherwise(F.to_json(F.struct(*FIELDS)))

@@ -69,6 +69,30 @@ def test_json_fields_are_raw_text(spark):
     assert row["malformed"] is None and row["value"].startswith("{")
 
 
+class NoFolderNamed:
+    """A session whose settings name no scratch folder."""
+
+    def __init__(self, master):
+        self.master, self.folder = master, None
+        self.conf = self.sparkContext = self
+
+    def get(self, key, default):
+        return default
+
+    def getCheckpointDir(self):  # noqa: N802
+        return self.folder
+
+    def setCheckpointDir(self, folder):  # noqa: N802
+        self.folder = folder
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_root(NoFolderNamed("spark://host:7077"))
+    local = NoFolderNamed("local[4]")
+    assert scratch_root(local) == scratch_root(local) == local.folder
+
+
 def test_scratch_folder_comes_from_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     root = scratch_root(spark)

@@ -42,6 +42,15 @@ def test_narrowing_finds_the_same_rows(spark, monkeypatch):
     assert fit_split(df, "k") == plain
 
 
+@pytest.mark.parametrize("bucket", [200_000, 5])
+def test_repeated_ids_are_refused(spark, monkeypatch, bucket):
+    """One id holds most rows, so it covers the boundary."""
+    monkeypatch.setattr(split_module, "BUCKET_ROWS", bucket)
+    df = spark.range(100).selectExpr("IF(id < 90, 1, id) AS k")
+    with pytest.raises(ValueError, match="unique"):
+        fit_split(df, "k")
+
+
 def test_same_rows_at_any_partitioning(spark):
     df = spark.range(500).withColumnRenamed("id", "k")
     shuffled = df.repartition(7).orderBy(F.desc("k"))

@@ -102,6 +102,21 @@ def residual_histogram(spark, sf_dir):
     return bars.withColumns({c: F.round(c, 4) for c in ("low", "high")})
 
 
+@query(
+    "residual_series",
+    f"""WITH {ORDER_WIDE_SQL}
+  SELECT {rnd('p_linear', 4)} AS predicted, {rnd('actual - p_linear', 4)} AS residual,
+    o_orderstatus AS class FROM wide WHERE {TEST}""",
+)
+def residual_series(spark, sf_dir):
+    rows = predicted_orders(spark, sf_dir).where(TEST)
+    return rows.select(
+        F.round("p_linear", 4).alias("predicted"),
+        F.round(F.col("actual") - F.col("p_linear"), 4).alias("residual"),
+        F.col("o_orderstatus").alias("class"),
+    )
+
+
 @query(
     "residual_scatter",
     f"""WITH {ORDER_WIDE_SQL},
