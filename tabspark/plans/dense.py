@@ -1,23 +1,24 @@
 """Forward pass of a dense network with given weights.
 
 Small networks become column expressions. Above ``EXPRESSION_LIMIT`` products
-the expressions get too long to compile, so batches go through one matrix
-product per layer in a vectorised function.
+the code Spark generates for them grows past the 8,000 bytes up to which the
+JVM compiles a method, and runs ten times slower; batches then go through one
+matrix product per layer in a vectorised function.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabspark.functions import swish
+from tabspark.functions import any_of, swish
 
-EXPRESSION_LIMIT = 256
+EXPRESSION_LIMIT = 60
 
 NET_SCHEMA = "layer int, unit int, weights array<double>, bias double, activation string"
 
@@ -39,6 +40,15 @@ class Layer:
 class DenseNet:
     layers: tuple[Layer, ...]
 
+    def over_raw(self, means: Sequence[float], scales: Sequence[float]) -> "DenseNet":
+        """The same function of unscaled inputs: scaling moves into the first layer."""
+        first, *rest = self.layers
+        weights = tuple(tuple(w / s for w, s in zip(row, scales)) for row in first.weights)
+        biases = tuple(
+            b - sum(w * m for w, m in zip(row, means)) for b, row in zip(first.biases, weights)
+        )
+        return DenseNet((replace(first, weights=weights, biases=biases), *rest))
+
     def predict(self, df: DataFrame, inputs: Sequence[str], out: str = "prediction") -> DataFrame:
         """Add the network's single output, by whichever route fits its size."""
         if sum(layer.products for layer in self.layers) <= EXPRESSION_LIMIT:
@@ -48,7 +58,13 @@ class DenseNet:
     def predict_by_expressions(self, df: DataFrame, inputs: Sequence[str],
                                out: str = "prediction") -> DataFrame:
         """One projection per layer, so that no hidden unit is computed twice."""
-        kept, names = df.columns, list(inputs)
+        # Without NULLs among its inputs the generated code of a layer is short enough
+        # to be compiled, so missing inputs are set aside as one flag.
+        kept, names = df.columns, [f"_x{i}" for i in range(len(inputs))]
+        known = [F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(x) for n, x in zip(inputs, names)]
+        absent = any_of([F.col(n).isNull() for n in inputs])
+        df = df.select(*kept, *known, absent.alias("_absent"))
+        kept.append("_absent")
         for k, layer in enumerate(self.layers):
             sums = {}
             for u, (weights, bias) in enumerate(zip(layer.weights, layer.biases)):
@@ -59,9 +75,11 @@ class DenseNet:
             df = df.select(*kept, *[z.alias(n) for n, z in sums.items()])
             names = list(sums)
             if layer.activation == "swish":
-                df = df.select(*kept, *[swish(F.col(n)).alias(n.replace("z", "a")) for n in names])
+                active = [F.coalesce(swish(F.col(n)), F.lit(0.0)) for n in names]
                 names = [n.replace("z", "a") for n in names]
-        return df.select(*kept, F.col(names[0]).alias(out))
+                df = df.select(*kept, *[a.alias(n) for n, a in zip(names, active)])
+        output = F.when(~F.col("_absent"), F.col(names[0]))
+        return df.select(*kept[:-1], output.alias(out))
 
     def batch_column(self, inputs: Sequence[str], batch_size: int = 8192) -> Column:
         """Vectorised scoring; weights reach each Python worker once."""

@@ -10,6 +10,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabspark.functions import any_of
 from tabspark.operators.encode import encoded_columns
 from tabspark.operators.scale import Scaler
 from tabspark.operators.validate import coerce, validate
@@ -54,30 +55,35 @@ class Scorer:
             rows = validate(rows, self.rules, malformed=malformed)
         else:
             rows = rows.withColumn("errors", F.array().cast("array<string>"))
-        ok = F.size("errors") == 0
+        rows = rows.withColumn("_ok", F.size("errors") == 0)
         if not lenient:
             # an out-of-range value of a rejected row must not reach a cast
             rows = coerce(rows, self.rules).withColumns(
-                {c: F.when(ok, F.col(c)) for c in fields}
+                {c: F.when(F.col("_ok"), F.col(c)) for c in fields}
             )
+        # Rejected rows take zeros through the model so that one pass serves both. Columns
+        # without NULLs also keep the generated code short enough to be compiled.
+        numerics = [x.name for x in self.spec.numerics]
+        rows = rows.withColumns(
+            {
+                **{n: F.coalesce(F.col(n), F.lit(0).cast(rows.schema[n].dataType)) for n in numerics},
+                "_segment": self.segments.column(not lenient),
+                "_known": ~any_of([F.col(n).isNull() for n in numerics]),
+            }
+        )
         features = self.spec.derive(encoded_columns(self.spec, not lenient, "zeros"))
-        # Rejected rows take zeros through the model so that one pass serves both.
-        ready = {
-            f"_f_{n}": F.when(ok, features[n].cast("double")).otherwise(0.0)
-            for n in self.spec.names
-        }
-        rows = rows.withColumns({**ready, "_segment": self.segments.column(not lenient)})
-        if self.scaler:
-            rows = rows.withColumns(
-                {f"_f_{n}": self.scaler.column(n, F.col(f"_f_{n}")) for n in self.spec.names}
-            )
-        rows = self._predict(rows)
-        valid = F.size("errors") == 0
+        ready = {n: features[n].cast("double") for n in self.spec.names}
+        if self.scaler and not isinstance(self.model, DenseNet):
+            ready = {n: self.scaler.column(n, x) for n, x in ready.items()}
+        rows = self._predict(
+            rows.withColumns({f"_f_{n}": F.coalesce(x, F.lit(0.0)) for n, x in ready.items()})
+        )
+        valid = F.col("_ok")
         originals = [F.col(f"_in_{c}").alias(c) if c in fields else F.col(c) for c in raw]
         return rows.select(
             *originals,
             valid.alias("success"),
-            F.when(valid, F.round("_prediction", 2)).alias("prediction"),
+            F.when(valid & F.col("_known"), F.round("_prediction", 2)).alias("prediction"),
             F.when(valid, F.col("_segment")).alias("segment"),
             "errors",
         )
@@ -85,7 +91,10 @@ class Scorer:
     def _predict(self, rows: DataFrame) -> DataFrame:
         inputs = [f"_f_{n}" for n in self.spec.names]
         if isinstance(self.model, DenseNet):
-            return self.model.predict(rows, inputs, "_prediction")
+            net = self.model
+            if self.scaler:
+                net = net.over_raw(self.scaler.means, self.scaler.scales)
+            return net.predict(rows, inputs, "_prediction")
         kept = rows.columns
         named = rows.withColumns({n: F.col(f"_f_{n}") for n in self.spec.names})
         return self.model.transform(named).select(*kept, F.col("prediction").alias("_prediction"))

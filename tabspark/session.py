@@ -19,6 +19,8 @@ def get_session(app: str = "tabspark", master: str | None = None,
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # the JVM does not compile longer methods; better to give up fusing stages
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         **(conf or {}),
     }
     builder = SparkSession.builder.appName(app)

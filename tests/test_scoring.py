@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.ml.regression import RandomForestRegressor
@@ -40,8 +42,8 @@ def forward(network, x):
 def scorer(spark):
     train = encode(synthetic(spark, 600), PRESET.features)
     scaler = fit_scaler(train, PRESET.features.names)
-    info = {"name": "demo", "architecture": "4 swish"}
-    return Scorer(PRESET.features, PRESET.rules, PRESET.segments, net(21, 4), scaler, info)
+    info = {"name": "demo", "architecture": "2 swish"}
+    return Scorer(PRESET.features, PRESET.rules, PRESET.segments, net(21, 2), scaler, info)
 
 
 @pytest.fixture(scope="module")
@@ -70,7 +72,28 @@ def test_route_depends_on_size(spark):
     def python_used(network):
         plan = network.predict(df, df.columns)._jdf.queryExecution().executedPlan().toString()
         return "ArrowEvalPython" in plan
-    assert not python_used(net(21, 4)) and python_used(net(21, 128, 64, 32))
+    assert not python_used(net(21, 2)) and python_used(net(21, 128, 64, 32))
+
+
+def test_generated_code_stays_compilable(spark, scorer, capfd):
+    """The JVM compiles no method beyond 8,000 bytes."""
+    scorer.score(patients(spark)).explain("codegen")
+    sizes = re.findall(r"maxMethodCodeSize:(\d+)", capfd.readouterr().out)
+    assert sizes and max(map(int, sizes)) <= 8000
+
+
+def test_missing_input_gives_no_output(spark):
+    df = spark.createDataFrame([(1.0, None), (1.0, 2.0)], "a double, b double")
+    network = net(2, 2)
+    got = [r[0] for r in network.predict(df, ["a", "b"]).select("prediction").collect()]
+    assert got[0] is None and got[1] == pytest.approx(forward(network, np.array([[1.0, 2.0]]))[0])
+
+
+def test_scaling_in_the_first_layer(scorer):
+    x = np.random.default_rng(3).normal(5, 2, (10, 21))
+    means, scales = np.array(scorer.scaler.means), np.array(scorer.scaler.scales)
+    want = forward(scorer.model, (x - means) / scales)
+    assert np.allclose(forward(scorer.model.over_raw(means, scales), x), want)
 
 
 def test_network_table_roundtrip(spark):
