@@ -27,6 +27,11 @@ class Scaler:
     means: tuple[float, ...]
     scales: tuple[float, ...]
 
+    @property
+    def fitted(self) -> bool:
+        """False if there was no row, or no value of some column, to fit on."""
+        return None not in self.means
+
     def column(self, name: str, x: Column | None = None) -> Column:
         i = self.columns.index(name)
         x = F.col(name) if x is None else x

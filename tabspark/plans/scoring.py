@@ -64,16 +64,17 @@ class Scorer:
         # Rejected rows take zeros through the model so that one pass serves both. Columns
         # without NULLs also keep the generated code short enough to be compiled.
         numerics = [x.name for x in self.spec.numerics]
+        trained = self.scaler is None or self.scaler.fitted  # else nothing can be predicted
         rows = rows.withColumns(
             {
                 **{n: F.coalesce(F.col(n), F.lit(0).cast(rows.schema[n].dataType)) for n in numerics},
                 "_segment": self.segments.column(not lenient),
-                "_known": ~any_of([F.col(n).isNull() for n in numerics]),
+                "_known": F.lit(trained) & ~any_of([F.col(n).isNull() for n in numerics]),
             }
         )
         features = self.spec.derive(encoded_columns(self.spec, not lenient, "zeros"))
         ready = {n: features[n].cast("double") for n in self.spec.names}
-        if self.scaler and not isinstance(self.model, DenseNet):
+        if self.scaler and trained and not isinstance(self.model, DenseNet):
             ready = {n: self.scaler.column(n, x) for n, x in ready.items()}
         rows = self._predict(
             rows.withColumns({f"_f_{n}": F.coalesce(x, F.lit(0.0)) for n, x in ready.items()})
@@ -92,7 +93,7 @@ class Scorer:
         inputs = [f"_f_{n}" for n in self.spec.names]
         if isinstance(self.model, DenseNet):
             net = self.model
-            if self.scaler:
+            if self.scaler and self.scaler.fitted:
                 net = net.over_raw(self.scaler.means, self.scaler.scales)
             return net.predict(rows, inputs, "_prediction")
         kept = rows.columns

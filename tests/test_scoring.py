@@ -163,6 +163,14 @@ def test_save_and_load(spark, which, request):
     assert rows(again.score(df), *order) == rows(scorer.score(df), *order)
 
 
+def test_scaler_without_rows_predicts_nothing(spark, scorer):
+    none = encode(synthetic(spark, 5), PRESET.features).where(F.lit(False))
+    unfitted = fit_scaler(none, PRESET.features.names)
+    blind = Scorer(PRESET.features, PRESET.rules, PRESET.segments, scorer.model, unfitted)
+    got = blind.score(patients(spark)).collect()
+    assert all(r["success"] and r["prediction"] is None and r["segment"] for r in got)
+
+
 def test_scaler_of_other_features_is_refused(spark, scorer):
     with pytest.raises(ValueError):
         Scorer(PRESET.feature_sets["base"], PRESET.rules, PRESET.segments, scorer.model, scorer.scaler)
