@@ -211,8 +211,9 @@ class Preset:
 def medical_charges() -> Preset:
     """Charges by patient attributes.
 
-    Fixed values: category domains, ranges, the obesity threshold 30 and the
-    upper healthy bound 24.9 must stay as they are for right results.
+    Fixed values: category domains, ranges, feature names, segment labels, the
+    obesity threshold 30 and the upper healthy bound 24.9 must stay as they are
+    for right results.
     """
     sex = ("female", "male")
     smoker = ("no", "yes")
