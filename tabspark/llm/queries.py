@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabspark.llm.common import read_table
 from tabspark.llm.kd_search import approximate_neighbours
+from tabspark.llm.jaccard_join import similar_documents
 from tabspark.llm.language import identify_languages, learn_languages
 from tabspark.llm.mixing import mix_sources
 from tabspark.llm.mtree import exact_top_k
@@ -109,3 +110,9 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """5 largest integer inner products of every 50th vector."""
     return exact_top_k(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_jaccard")
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's near-duplicate component over shingles of five words."""
+    return similar_documents(read_table(spark, sf_dir, "documents"))
