@@ -9,6 +9,7 @@ from tabspark.llm.common import read_table
 from tabspark.llm.kd_search import approximate_neighbours
 from tabspark.llm.jaccard_join import similar_documents
 from tabspark.llm.language import identify_languages, learn_languages
+from tabspark.llm.line_runs import delete_repeated_lines
 from tabspark.llm.mixing import mix_sources
 from tabspark.llm.mtree import exact_top_k
 from tabspark.llm.packing import pack_documents
@@ -116,3 +117,9 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's near-duplicate component over shingles of five words."""
     return similar_documents(read_table(spark, sf_dir, "documents"))
+
+
+@query("op6_line_dedup")
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its copies of earlier line runs of 50 words or more."""
+    return delete_repeated_lines(read_table(spark, sf_dir, "documents"))
