@@ -9,11 +9,13 @@ from tabspark.llm.common import read_table
 from tabspark.llm.kd_search import approximate_neighbours
 from tabspark.llm.jaccard_join import similar_documents
 from tabspark.llm.language import identify_languages, learn_languages
+from tabspark.llm.licences import learn_licences, scan_licences
 from tabspark.llm.line_runs import delete_repeated_lines
 from tabspark.llm.mixing import mix_sources
 from tabspark.llm.mtree import exact_top_k
 from tabspark.llm.packing import pack_documents
 from tabspark.llm.registry import query
+from tabspark.llm.toxicity import learn_toxicity, score_toxicity
 from tabspark.llm.warc import archive_folder, read_warc, write_warc
 
 
@@ -123,3 +125,21 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its copies of earlier line runs of 50 words or more."""
     return delete_repeated_lines(read_table(spark, sf_dir, "documents"))
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned on four folds of five."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    labelled = docs.where(fold(5) != 0).select("doc_id", "text").join(
+        labels.where("toxic IS NOT NULL").select("doc_id", "toxic"), "doc_id"
+    )
+    found = score_toxicity(docs, learn_toxicity(docs, labelled))
+    return found.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op2_licences")
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every licence notice in the documents."""
+    docs = read_table(spark, sf_dir, "documents")
+    return scan_licences(docs, learn_licences(docs))
