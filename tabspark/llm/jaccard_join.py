@@ -62,6 +62,10 @@ class JoinRule:
     def may_lack(self, n: np.ndarray) -> np.ndarray:
         return n - self.required(n)
 
+    def may_lack_of_larger(self, n: np.ndarray) -> np.ndarray:
+        """How many tokens a partner of at least the same size may lack."""
+        return n - -(-2 * self.percent * n // (100 + self.percent))
+
     def overlap(self, n: np.ndarray) -> np.ndarray:
         """Tokens that a partner shares at least with the first prefix, seen from ``n``."""
         return np.maximum(2, -(-n * self.extra // 100))
@@ -219,42 +223,46 @@ def shared_tokens(rows: DataFrame, frequent: int) -> DataFrame:
 # --- signatures --------------------------------------------------------------------
 
 
-def signatures(tokens: np.ndarray, df: np.ndarray, n: int, rule: JoinRule) -> np.ndarray:
-    """Signatures of a set of ``n`` tokens of which ``tokens`` occur elsewhere too.
+def signatures(tokens: np.ndarray, df: np.ndarray, n: int, rule: JoinRule) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, short) of a set of ``n`` tokens of which ``tokens`` occur elsewhere too.
 
-    A partner lacks at most ``may_lack(n)`` tokens. Tokens that occur nowhere else are
-    lacked by all; the rest of the prefix is filled with the rarest ones.
+    A partner lacks at most ``may_lack(n)`` tokens, one that is not smaller at most
+    ``may_lack_of_larger(n)``. Tokens that occur nowhere else are lacked by all; the
+    rest of the prefix is filled with the rarest ones. ``short`` marks what belongs to
+    the shorter prefix, for partners that are not smaller.
     """
-    need = int(rule.may_lack(n)) + 1 - (n - len(tokens))
+    alone = n - len(tokens)
+    need = int(rule.may_lack(n)) + 1 - alone
+    few = int(rule.may_lack_of_larger(n)) + 1 - alone
     if need <= 0:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, bool)
     order = np.lexsort((tokens, df))
     tokens, often = tokens[order], df[order] >= rule.frequent
-    rare = tokens[~often]
-    if len(rare) >= need:
-        return rare[:need]
-    need -= len(rare)
-    found = [int(x) for x in rare]
-    # a partner's size level is the same or a neighbour: both are indexed
-    level = int(np.floor(np.log(n) / np.log(100 / rule.percent)))
-    for now in (level, level - 1):
-        least = int(np.ceil((100 / rule.percent) ** max(now, 0)))
-        classes = max(1, min(least // 10, (int(rule.required(least)) - 1) // (rule.combination - 1)))
-        met: dict[int, list[int]] = {}
-        got = 0
-        for token in tokens[often].tolist():
-            others = met.setdefault(token % classes, [])
-            for combined in combinations(others, rule.combination - 1):
-                found.append(hash((now, *combined, token)))
-            got += len(others) >= rule.combination - 1
-            others.append(token)
-            if got >= need:
-                break
-    return np.unique(np.array(found, np.int64))
+    rare = tokens[~often][:need]
+    found = dict(zip(rare.tolist(), (np.arange(len(rare)) < few).tolist()))
+    need, few = need - len(rare), few - len(rare)
+    if need > 0:
+        # a partner's size level is the same or a neighbour: both are indexed
+        level = int(np.floor(np.log(n) / np.log(100 / rule.percent)))
+        for now in (level, level - 1):
+            least = int(np.ceil((100 / rule.percent) ** max(now, 0)))
+            slack = (int(rule.required(least)) - 1) // (rule.combination - 1)
+            classes = max(1, min(least // 10, slack))
+            met: dict[int, list[int]] = {}
+            got = 0
+            for token in tokens[often].tolist():
+                others = met.setdefault(token % classes, [])
+                for combined in combinations(others, rule.combination - 1):
+                    found[hash((now, *combined, token))] = got < few
+                got += len(others) >= rule.combination - 1
+                others.append(token)
+                if got >= need:
+                    break
+    return np.array(list(found), np.int64), np.array(list(found.values()), bool)
 
 
 def signature_rows(shared: DataFrame, sizes: DataFrame, rule: JoinRule) -> DataFrame:
-    """(signature, key, n). ``shared`` is grouped by set, so a list is at most a set long."""
+    """(signature, key, n, short). ``shared`` is grouped by set, so a list is at most a set long."""
     lists = (
         shared.groupBy("key")
         .agg(F.collect_list("token").alias("tokens"), F.collect_list("df").alias("dfs"))
@@ -263,29 +271,35 @@ def signature_rows(shared: DataFrame, sizes: DataFrame, rule: JoinRule) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, owner = [], []
+            found, short, owner = [], [], []
             for i in range(batch.num_rows):
                 tokens = batch.column(1)[i].values.to_numpy()
                 df = batch.column(2)[i].values.to_numpy()
-                found.append(signatures(tokens, df, batch.column(3)[i].as_py(), rule))
-                owner += [i] * len(found[-1])
+                made, marks = signatures(tokens, df, batch.column(3)[i].as_py(), rule)
+                found.append(made)
+                short.append(marks)
+                owner += [i] * len(made)
             at = pa.array(owner, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([*found, np.zeros(0, np.int64)])),
-                 batch.column(0).take(at), batch.column(3).take(at)],
-                names=["signature", "key", "n"],
+                 batch.column(0).take(at), batch.column(3).take(at),
+                 pa.array(np.concatenate([*short, np.zeros(0, bool)]))],
+                names=["signature", "key", "n", "short"],
             )
 
     ordered = lists.select("key", "tokens", "dfs", "n")
-    return ordered.mapInArrow(run, "signature long, key long, n long")
+    return ordered.mapInArrow(run, "signature long, key long, n long, short boolean")
 
 
 # --- candidates and verification ---------------------------------------------------
 
 
-def fits(a: str, b: str, rule: JoinRule) -> F.Column:
-    """Sets of these sizes can reach the similarity."""
-    return (F.least(a, b) * 100) >= (F.greatest(a, b) * rule.percent)
+def fits(n1: str, short1: str, n2: str, short2: str, rule: JoinRule) -> F.Column:
+    """Sets of these sizes can be similar enough, and the one that is not larger has the
+    common signature in its shorter prefix."""
+    sizes = (F.least(n1, n2) * 100) >= (F.greatest(n1, n2) * rule.percent)
+    first, second = F.col(short1) | (F.col(n1) > F.col(n2)), F.col(short2) | (F.col(n2) > F.col(n1))
+    return sizes & first & second
 
 
 def verified(pairs: DataFrame, tokens: DataFrame, rule: JoinRule) -> DataFrame:
@@ -307,14 +321,22 @@ def verified(pairs: DataFrame, tokens: DataFrame, rule: JoinRule) -> DataFrame:
 
 
 def pivot_pairs(index: DataFrame, rule: JoinRule) -> DataFrame:
-    """Each node with one node of every signature it has. The choice varies by signature."""
+    """Each node with one node of every signature it has. The choice varies by signature.
+
+    A pivot has the signature in its shorter prefix; without such a node, no two sets
+    of the signature are candidates.
+    """
     order = F.struct(F.xxhash64("signature", "key").alias("h"), "key", "n")
     pivots = (
-        index.groupBy("signature").agg(F.min(order).alias("p"), F.count("*").alias("size"))
-        .where("size > 1")
-        .select("signature", F.col("p.key").alias("p"), F.col("p.n").alias("pn"))
+        index.groupBy("signature")
+        .agg(F.min(F.when(F.col("short"), order)).alias("p"), F.count("*").alias("size"))
+        .where("size > 1 AND p IS NOT NULL")
+        .select("signature", F.col("p.key").alias("p"), F.col("p.n").alias("pn"),
+                F.lit(True).alias("pshort"))
     )
-    met = index.join(pivots, "signature").where((F.col("key") != F.col("p")) & fits("n", "pn", rule))
+    met = index.join(pivots, "signature").where(
+        (F.col("key") != F.col("p")) & fits("n", "short", "pn", "pshort", rule)
+    )
     return met.select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b")).distinct()
 
 
@@ -326,25 +348,29 @@ def crossing_pairs(index: DataFrame, components: DataFrame, rule: JoinRule) -> D
     """
     held = staged(
         index.join(components, index["key"] == components["node"], "left").select(
-            "signature", "key", "n", F.coalesce("component", "key").alias("c")
+            "signature", "key", "n", "short", F.coalesce("component", "key").alias("c")
         ),
         "labelled",
     )
-    parts = held.groupBy("signature", "c").agg(F.count("*").alias("rows"))
+    parts = held.groupBy("signature", "c").agg(
+        F.count("*").alias("rows"), F.max("short").alias("some")
+    )
     main = (
         parts.groupBy("signature")
-        .agg(F.max(F.struct("rows", "c")).alias("m"), F.count("*").alias("parts"))
-        .where("parts > 1")
+        .agg(F.max(F.struct("rows", "c")).alias("m"), F.count("*").alias("parts"),
+             F.max("some").alias("some"))
+        .where("parts > 1 AND some")
         .select("signature", F.col("m.c").alias("main"))
     )
     open_ = held.join(main, "signature")
     few = open_.where("c <> main").select(
-        "signature", F.col("key").alias("k2"), F.col("n").alias("n2"), F.col("c").alias("c2")
-    )
+        "signature", F.col("key").alias("k2"), F.col("n").alias("n2"), F.col("c").alias("c2"),
+        F.col("short").alias("short2"),
+    )
     met = open_.join(few, "signature").where(
         (F.col("c") != F.col("c2"))
         & ((F.col("c") == F.col("main")) | (F.col("key") < F.col("k2")))
-        & fits("n", "n2", rule)
+        & fits("n", "short", "n2", "short2", rule)
     )
     return met.select(F.least("key", "k2").alias("a"), F.greatest("key", "k2").alias("b")).distinct()
 
