@@ -10,8 +10,9 @@ many of a set's tokens a partner may lack. Three exact steps rest on that bound:
    where tokens are rare, a combination of k where they are frequent. Frequent tokens
    are dealt into classes, and a combination stays within a class.
 3. Nodes with a common signature are candidates and are verified on whole sets.
-   First each is compared with one pivot per signature; what that connects needs no
-   further comparison. All pairs of a signature that are still in different
+   First each is compared with one pivot per signature, then, if still outside its
+   largest component, with a few nodes of that; what is connected needs no further
+   comparison. All pairs of a signature that are still in different
    components are then verified, so no link that joins components is lost.
 
 A token's rows are gathered only while it is rare; a token that is frequent in one
@@ -36,6 +37,8 @@ from tabspark.llm.components import connected_components
 
 #: ids up to so many (8 bytes each) are broadcast to fetch their texts
 BROADCAST_IDS = 500_000
+#: nodes of a signature's main component that each row outside is compared with first
+LOOKS = 8
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -337,15 +340,12 @@ def pivot_pairs(index: DataFrame, rule: JoinRule) -> DataFrame:
     met = index.join(pivots, "signature").where(
         (F.col("key") != F.col("p")) & fits("n", "short", "pn", "pshort", rule)
     )
-    return met.select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b")).distinct()
+    return paired(met, "key", "p")
 
 
-def crossing_pairs(index: DataFrame, components: DataFrame, rule: JoinRule) -> DataFrame:
-    """All pairs of a signature whose components differ.
-
-    The rows outside a signature's largest component are met with all of its rows;
-    pairs within that component are never made.
-    """
+def open_rows(index: DataFrame, components: DataFrame) -> DataFrame:
+    """Rows of the signatures that meet in several components: with ``c``, the row's
+    component, and ``main``, the one with most rows."""
     held = staged(
         index.join(components, index["key"] == components["node"], "left").select(
             "signature", "key", "n", "short", F.coalesce("component", "key").alias("c")
@@ -361,18 +361,61 @@ def crossing_pairs(index: DataFrame, components: DataFrame, rule: JoinRule) -> D
              F.max("some").alias("some"))
         .where("parts > 1 AND some")
         .select("signature", F.col("m.c").alias("main"))
+    )
+    return staged(held.join(main, "signature"), "open")
+
+
+def paired(met: DataFrame, a: str, b: str) -> DataFrame:
+    return met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+def main_pairs(rows: DataFrame, rule: JoinRule) -> DataFrame:
+    """The rows outside a signature's main component with a few nodes of that.
+
+    This only saves work: most groups are connected after it, and what it leaves
+    apart is compared in full by ``crossing_pairs``.
+    """
+    orders = [
+        F.min(F.struct(F.xxhash64(F.lit(i), "signature", "key").alias("h"), "key", "n", "short"))
+        for i in range(LOOKS)
+    ]
+    nodes = (
+        rows.where("c = main").groupBy("signature").agg(F.array(*orders).alias("p"))
+        .select("signature", F.explode("p").alias("p"))
+        .select("signature", "p.key", "p.n", "p.short").distinct()
+    )
+    outer = rows.where("c <> main").select(
+        "signature", F.col("key").alias("k2"), F.col("n").alias("n2"), F.col("short").alias("short2")
+    )
+    met = outer.join(nodes, "signature").where(fits("n", "short", "n2", "short2", rule))
+    return paired(met, "key", "k2")
+
+
+def crossing_pairs(rows: DataFrame, rule: JoinRule) -> DataFrame:
+    """All pairs of a signature whose components differ.
+
+    The rows outside a signature's main component are met with all of its rows;
+    pairs within that component are never made. A pair with several signatures is
+    made at the least of those it is a candidate by.
+    """
+    lists = rows.groupBy("key").agg(
+        F.collect_list("signature").alias("all"),
+        F.collect_list(F.when(F.col("short"), F.col("signature"))).alias("few"),
     )
-    open_ = held.join(main, "signature")
-    few = open_.where("c <> main").select(
+    listed = staged(rows.join(lists, "key"), "open_lists")
+    outer = listed.where("c <> main").select(
         "signature", F.col("key").alias("k2"), F.col("n").alias("n2"), F.col("c").alias("c2"),
-        F.col("short").alias("short2"),
+        F.col("short").alias("short2"), F.col("all").alias("all2"), F.col("few").alias("few2"),
     )
-    met = open_.join(few, "signature").where(
+    own = F.when(F.col("n") > F.col("n2"), F.col("all")).otherwise(F.col("few"))
+    other = F.when(F.col("n2") > F.col("n"), F.col("all2")).otherwise(F.col("few2"))
+    met = listed.join(outer, "signature").where(
         (F.col("c") != F.col("c2"))
         & ((F.col("c") == F.col("main")) | (F.col("key") < F.col("k2")))
         & fits("n", "short", "n2", "short2", rule)
+        & (F.array_min(F.array_intersect(own, other)) == F.col("signature"))
     )
-    return met.select(F.least("key", "k2").alias("a"), F.greatest("key", "k2").alias("b")).distinct()
+    return paired(met, "key", "k2")
 
 
 def survivors(docs: DataFrame, text: str, sizes: DataFrame, rule: JoinRule) -> DataFrame:
@@ -440,9 +483,11 @@ def link_sets(docs: DataFrame, keyed: DataFrame, key: str, text: str, rule: Join
     shared = shared_tokens(tokens.select("key", "tokens").mapInArrow(rows, ROWS), rule.frequent)
     index = staged(signature_rows(shared, tokens.select("key", "n"), rule), "signatures")
     first = staged(verified(pivot_pairs(index, rule), tokens, rule), "links")
-    components = connected_components(first)
-    crossing = verified(crossing_pairs(index, components, rule), tokens, rule)
-    return connected_components(staged(crossing, "links").union(first))
+    rows = open_rows(index, connected_components(first))
+    second = staged(verified(main_pairs(rows, rule), tokens, rule).union(first), "links")
+    rows = open_rows(index, connected_components(second))
+    third = staged(verified(crossing_pairs(rows, rule), tokens, rule).union(second), "links")
+    return connected_components(third)
 
 
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
