@@ -216,7 +216,7 @@ def restored_words(docs: DataFrame, columns: list[str], text: str, logp: np.ndar
 
 
 def learn_toxicity(docs: DataFrame, labelled: DataFrame, text: str = "text", label: str = "toxic",
-                   sample_rows: int = 30_000, vocabulary: int = 2_000, min_docs: int = 5) -> ToxicityModel:
+                   sample_rows: int = 15_000, vocabulary: int = 2_000, min_docs: int = 5) -> ToxicityModel:
     """Character model from all ``docs``, weights from ``labelled`` (text and 0/1 label).
 
     At most about ``sample_rows`` labelled rows, chosen by a hash, are fitted. The
