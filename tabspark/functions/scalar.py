@@ -23,11 +23,12 @@ def nan_to_null(x: Column) -> Column:
 
 
 def interact(a: Column, b: Column) -> Column:
-    return a * b
+    """Product in the type of the inputs; NULL where that is an integer type too small for it."""
+    return F.try_multiply(a, b)
 
 
 def power2(x: Column) -> Column:
-    return x * x
+    return interact(x, x)
 
 
 def threshold(x: Column, t: float) -> Column:

@@ -76,7 +76,7 @@ def one_hot(df: DataFrame, vocab: Mapping[str, Sequence[str]], unknown: str = "e
 
 def encoded_columns(spec: FeatureSpec, fold: bool = True,
                     unknown: str = "error") -> dict[str, Column]:
-    out = {n.name: F.col(n.name).cast(n.dtype) for n in spec.numerics}
+    out = {n.name: F.col(n.name).try_cast(n.dtype) for n in spec.numerics}
     for category in spec.categories:
         out |= indicators(category.name, category.vocab, fold, unknown)
     return out

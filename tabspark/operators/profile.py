@@ -88,19 +88,23 @@ def feature_ranges(df: DataFrame, columns: Sequence[str] | None = None,
 
 
 def target_summary(df: DataFrame, target: str) -> DataFrame:
+    """NaN is missing, as everywhere."""
+    y = F.when(~F.isnan(target), F.col(target))
     return df.agg(
-        F.avg(target).alias("mean"),
-        F.stddev_samp(target).alias("std"),
-        F.min(target).alias("min"),
-        F.max(target).alias("max"),
+        F.avg(y).alias("mean"),
+        F.stddev_samp(y).alias("std"),
+        F.min(y).alias("min"),
+        F.max(y).alias("max"),
     )
 
 
 def segment_profile(df: DataFrame, segment: str, target: str) -> DataFrame:
+    """``count`` is the number of targets there are; NaN is missing."""
+    y = F.when(~F.isnan(target), F.col(target))
     return df.groupBy(segment).agg(
-        F.avg(target).alias("mean"),
-        F.stddev_samp(target).alias("std"),
-        F.count("*").alias("count"),
+        F.avg(y).alias("mean"),
+        F.stddev_samp(y).alias("std"),
+        F.count(y).alias("count"),
     )
 
 
@@ -126,8 +130,12 @@ def _bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
 
 
 def histogram(df: DataFrame, value: str, bins: int = 40, by: Sequence[str] = ()) -> DataFrame:
-    """(by…, bin, low, high, n), empty bins included; each group has its own range."""
+    """(by…, bin, low, high, n), empty bins included; each group has its own range.
+
+    Rows without a group are left out.
+    """
     by = list(by)
+    df = df.dropna(subset=by) if by else df
     rows = df.select(*by, nan_to_null(F.col(value)).alias("x")).where("x IS NOT NULL")
     lo, hi = F.col("lo"), F.col("hi")
     bounds = rows.groupBy(*by).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
@@ -212,4 +220,5 @@ def boxplot_outliers(df: DataFrame, value: str, by: Sequence[str],
 
 def axis_bound(df: DataFrame, a: str, b: str, stretch: float = 1.05) -> DataFrame:
     """Upper plot limit: the larger maximum of two columns, stretched."""
-    return df.agg((F.greatest(F.max(a), F.max(b)) * F.lit(stretch)).alias("bound"))
+    most = [F.max(F.when(~F.isnan(c), F.col(c))) for c in (a, b)]
+    return df.agg((F.greatest(*most) * F.lit(stretch)).alias("bound"))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabspark.functions import nan_to_null
+
 SCALER_SCHEMA = T.StructType(
     [
         T.StructField("pos", T.IntegerType(), False),
@@ -51,11 +53,12 @@ class Scaler:
 
 
 def fit_scaler(df: DataFrame, columns: Sequence[str]) -> Scaler:
-    """One aggregate over the training rows; a constant column gets scale 1."""
-    stats = [F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)]
+    """One aggregate over the training rows; a constant column gets scale 1. NaN is missing."""
+    known = [nan_to_null(F.col(c)) for c in columns]
+    stats = [F.avg(x).alias(f"m{i}") for i, x in enumerate(known)]
     stats += [
-        F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0)).alias(f"s{i}")
-        for i, c in enumerate(columns)
+        F.coalesce(F.nullif(F.stddev_pop(x), F.lit(0.0)), F.lit(1.0)).alias(f"s{i}")
+        for i, x in enumerate(known)
     ]
     row = df.agg(*stats).first()
     k = range(len(columns))

@@ -57,7 +57,10 @@ class HashSplit:
 def _prefix_counts(hashes: DataFrame, length: int) -> list[tuple[str, int]]:
     """(prefix, rows) of one level, at most 16**PREFIX entries per parent prefix."""
     counted = hashes.groupBy(F.substring("h", 1, length).alias("p")).agg(F.count("*").alias("n"))
-    return sorted((r["p"], r["n"]) for r in counted.collect())
+    rows = counted.collect()
+    if any(r["p"] is None for r in rows):
+        raise ValueError("the split needs an id in every row")
+    return sorted((r["p"], r["n"]) for r in rows)
 
 
 def _locate(counts: list[tuple[str, int]], rank: int) -> tuple[str, int, int]:

@@ -37,16 +37,23 @@ def _failure(rule: Rule, dtype: T.DataType, strict: bool) -> Column:
     if rule.kind == "category":
         return F.when(~value.isin(list(rule.domain)), F.lit(rule.domain_error))
     return F.when(value.isNull(), F.lit(rule.type_error)).when(
-        ~value.between(rule.low, rule.high), F.lit(rule.range_error)
+        ~_inside(value, rule), F.lit(rule.range_error)
     )
 
 
-def _present(messages: Sequence[Column]) -> Column:
-    """The messages that are not NULL, in order.
+def _inside(value: Column, rule: Rule) -> Column:
+    """Within the ends that are given."""
+    test = value.isNotNull()
+    if rule.low is not None:
+        test = test & (value >= rule.low)
+    if rule.high is not None:
+        test = test & (value <= rule.high)
+    return test
 
-    ``array_except`` stays inside generated code, ``array_compact`` does not.
-    """
-    return F.array_except(F.array(*messages), F.array(F.lit(None).cast("string")))
+
+def _present(messages: Sequence[Column]) -> Column:
+    """The messages that are not NULL, in order; equal messages are all listed."""
+    return F.array_compact(F.array(*messages))
 
 
 def validate(df: DataFrame, rules: Sequence[Rule], mode: str = "full",
@@ -60,6 +67,7 @@ def validate(df: DataFrame, rules: Sequence[Rule], mode: str = "full",
     if mode not in ("full", "ingress"):
         raise ValueError(f"unknown mode {mode!r}")
     strict = mode == "ingress"
+    df, added = _with_fields(df, rules)
     types = {f.name: f.dataType for f in df.schema.fields}
     tested = [r for r in rules if not (strict and r.kind == "category")]
     absent = [F.col(r.column).isNull() for r in rules]
@@ -68,7 +76,13 @@ def validate(df: DataFrame, rules: Sequence[Rule], mode: str = "full",
     errors = F.when(any_of(absent), _present(missing)).otherwise(_present(failed))
     if malformed:
         errors = F.when(F.col(malformed).isNotNull(), F.array(F.lit(MALFORMED))).otherwise(errors)
-    return df.withColumn(out, errors)
+    return df.withColumn(out, errors).drop(*added)
+
+
+def _with_fields(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, list[str]]:
+    """A ruled column that the table lacks is missing in every row."""
+    added = [r.column for r in rules if r.column not in df.columns]
+    return df.withColumns({c: F.lit(None).cast("string") for c in added}), added
 
 
 def coerce(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:

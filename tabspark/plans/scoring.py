@@ -72,7 +72,9 @@ class Scorer:
                 "_known": F.lit(trained) & ~any_of([F.col(n).isNull() for n in numerics]),
             }
         )
-        features = self.spec.derive(encoded_columns(self.spec, not lenient, "zeros"))
+        # as double, so that products of large integers do not overflow
+        inputs = encoded_columns(self.spec, not lenient, "zeros")
+        features = self.spec.derive({n: x.cast("double") for n, x in inputs.items()})
         ready = {n: features[n].cast("double") for n in self.spec.names}
         if self.scaler and trained and not isinstance(self.model, DenseNet):
             ready = {n: self.scaler.column(n, x) for n, x in ready.items()}

@@ -20,12 +20,12 @@ def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] = ()) ->
 
 
 def read_keyed(spark: SparkSession, path: str, key: str = "row_id") -> DataFrame:
-    """Parquet rows with an id made of file name and place in the file.
+    """Parquet rows with an id made of file path and place in the file.
 
     Stable as long as the files are, at any partitioning of the read, and found
     without moving a row. Use it where the table has no key of its own.
     """
-    place = F.concat_ws(":", F.col("_metadata.file_name"), F.col("_metadata.row_index"))
+    place = F.concat_ws(":", F.col("_metadata.file_path"), F.col("_metadata.row_index"))
     return spark.read.parquet(path).select("*", place.alias(key))
 
 

@@ -137,7 +137,8 @@ class Rule:
 
     @property
     def range_error(self) -> str:
-        return f"{self.column}: outside {self.low:g}..{self.high:g}"
+        low, high = ("" if end is None else f"{end:g}" for end in (self.low, self.high))
+        return f"{self.column}: outside {low}..{high}"
 
     @property
     def domain_error(self) -> str:

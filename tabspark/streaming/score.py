@@ -17,6 +17,7 @@ def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1
     """Stream of new parquet files. ``path`` may be one file, a folder or a glob."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     is_glob = any(mark in path for mark in "*?[{")
+    path = path.rstrip("/") or path
     # a path in glob form may name a file as well as a folder
     return reader.parquet(path if is_glob else f"{path[:-1]}[{path[-1]}]")
 
