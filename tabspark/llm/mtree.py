@@ -146,7 +146,7 @@ class Tree:
 
 
 def exact_top_k(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 50,
-                k: int = 5, scale: float = 256.0, page_rows: int = 128, fanout: int = 16,
+                k: int = 5, scale: float = 256.0, page_rows: int = 512, fanout: int = 16,
                 shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` largest integer inner products.
 
