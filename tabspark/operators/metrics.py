@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabspark.operators.quantiles import ROW_LIMIT, fits_one_task, percentile_array, percentiles
+from tabspark.functions import nan_to_null
+from tabspark.operators.quantiles import percentiles
 
 # Absolute and relative tolerance of a prediction parity check.
 ABS_TOL, REL_TOL = 1e-8, 1e-5
@@ -76,20 +77,20 @@ def segment_metrics(df: DataFrame, by: Sequence[str] = ("model", "segment"),
 
 
 def residual_summary(df: DataFrame, by: Sequence[str] = ("model",), actual: str = "actual",
-                     prediction: str = "prediction", row_limit: int = ROW_LIMIT) -> DataFrame:
-    """Mean, deviation (divisor n) and exact median of actual − prediction."""
+                     prediction: str = "prediction") -> DataFrame:
+    """Mean, deviation (divisor n) and exact median of actual − prediction.
+
+    Rows without a residual (NULL or NaN) or without a group are left out.
+    """
     by = list(by)
-    res = df.select(*by, (F.col(actual) - F.col(prediction)).alias("residual"))
-    res = res.where("residual IS NOT NULL")
+    residual = nan_to_null(F.col(actual) - F.col(prediction)).alias("residual")
+    res = df.select(*by, residual).where("residual IS NOT NULL")
     moments = [F.avg("residual").alias("mean"), F.stddev_pop("residual").alias("std")]
-    if fits_one_task(res, row_limit):
-        median = percentile_array("residual", [0.5])[0].alias("median")
-        return res.groupBy(*by).agg(*moments, median)
-    middle = percentiles(res, ["residual"], [0.5], by, row_limit=row_limit)
+    middle = percentiles(res, ["residual"], [0.5], by)
     middle = middle.select(*by, F.col("residual")[0].alias("median"))
     summary = res.groupBy(*by).agg(*moments)
     if not by:
-        return summary.withColumn("median", F.lit(middle.first()["median"]))
+        return summary.withColumn("median", F.lit(middle.first()["median"]).cast("double"))
     return summary.join(middle, by)
 
 

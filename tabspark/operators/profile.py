@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabspark.functions import guarded_corr, nan_to_null
-from tabspark.operators.quantiles import ROW_LIMIT, fits_one_task, percentile_array, percentiles
+from tabspark.operators.quantiles import percentiles
 from tabspark.operators.relational import lookup_join, small_table
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -48,32 +48,21 @@ def _moments(column: str, i: int) -> list[Column]:
     ]
 
 
-def describe(df: DataFrame, columns: Sequence[str] | None = None, digits: int | None = 2,
-             row_limit: int = ROW_LIMIT) -> DataFrame:
-    """count, mean, std (n−1), min, quartiles and max of each numeric column.
-
-    Up to ``row_limit`` rows everything is one aggregate.
-    """
+def describe(df: DataFrame, columns: Sequence[str] | None = None,
+             digits: int | None = 2) -> DataFrame:
+    """count, mean, std (n−1), min, quartiles and max of each numeric column."""
     columns = list(columns or numeric_columns(df))
     df = df.select(*columns)
-    aggs = [a for i, c in enumerate(columns) for a in _moments(c, i)]
     names = ["p25", "p50", "p75"]
-    stats = ["count", "mean", "std", "min", *names, "max"]
-    if fits_one_task(df, row_limit):
-        aggs += [percentile_array(c, QUARTILES).alias(f"q_{i}") for i, c in enumerate(columns)]
-        row = df.agg(*aggs)
-    else:
-        quartile_row = percentiles(df, columns, QUARTILES, row_limit=row_limit).first()
-        row = df.agg(*aggs).withColumns(
-            {
-                f"q_{i}": F.array(*[F.lit(q).cast("double") for q in quartile_row[c]])
-                for i, c in enumerate(columns)
-            }
-        )
-    row = row.withColumns(
-        {f"{n}_{i}": F.col(f"q_{i}")[k] for i in range(len(columns)) for k, n in enumerate(names)}
+    quartiles = percentiles(df, columns, QUARTILES).first()  # one row
+    row = df.agg(*[a for i, c in enumerate(columns) for a in _moments(c, i)]).withColumns(
+        {
+            f"{name}_{i}": F.lit(q).cast("double")
+            for i, c in enumerate(columns)
+            for name, q in zip(names, quartiles[c])
+        }
     )
-    return _long(row, columns, stats, digits)
+    return _long(row, columns, ["count", "mean", "std", "min", *names, "max"], digits)
 
 
 def feature_ranges(df: DataFrame, columns: Sequence[str] | None = None,
@@ -176,22 +165,21 @@ def scatter_bins(df: DataFrame, x: str, y: str, cls: str, bins: int = 50) -> Dat
     ).agg(F.count("*").alias("n"))
 
 
-def _fences(df: DataFrame, value: str, by: Sequence[str], row_limit: int) -> DataFrame:
-    q = percentiles(df, [value], QUARTILES, by, row_limit=row_limit)
+def _fences(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    q = percentiles(df, [value], QUARTILES, by)
     reach = (F.col("q3") - F.col("q1")) * 1.5
     return q.select(
         *by, *[F.col(value)[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))]
     ).withColumns({"low_fence": F.col("q1") - reach, "high_fence": F.col("q3") + reach})
 
 
-def boxplot(df: DataFrame, value: str, by: Sequence[str],
-            row_limit: int = ROW_LIMIT) -> DataFrame:
+def boxplot(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Quartiles, whiskers at the last value within 1.5·IQR, and the outlier count."""
     by = list(by)
     rows = df.select(*by, nan_to_null(F.col(value)).alias(value)).where(F.col(value).isNotNull())
     x = F.col(value)
-    fences = _fences(rows, value, by, row_limit)
-    box = ["q1", "median", "q3"]
+    fences = _fences(rows, value, by)
+    box =["q1", "median", "q3"]
     inside = (x >= F.col("low_fence")) & (x <= F.col("high_fence"))
     return (
         lookup_join(rows, fences, by)
@@ -205,12 +193,11 @@ def boxplot(df: DataFrame, value: str, by: Sequence[str],
     )
 
 
-def boxplot_outliers(df: DataFrame, value: str, by: Sequence[str],
-                     row_limit: int = ROW_LIMIT) -> DataFrame:
+def boxplot_outliers(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """The rows beyond the whiskers."""
     by = list(by)
     rows = df.where(~F.isnan(value) & F.col(value).isNotNull())
-    fences = _fences(rows.select(*by, value), value, by, row_limit)
+    fences = _fences(rows.select(*by, value), value, by)
     return (
         lookup_join(rows, fences, by)
         .where((F.col(value) < F.col("low_fence")) | (F.col(value) > F.col("high_fence")))

@@ -1,13 +1,15 @@
-"""Exact percentiles (linear interpolation) at any row count.
-
-``percentile`` keeps every distinct value of a group in one task. Up to
-``ROW_LIMIT`` rows that is the fastest way. Beyond it each wanted rank is
-bracketed: a sketch proposes a value on either side, exact counts accept or
-refuse them, and the rows strictly between are written out (about half a percent
-of the table per percentile) and narrowed further until few enough are left to
-rank. The sketch only steers; the result rests on counts. Sketches are merged
-per source partition first, so that no single task receives one from every
-map task.
+"""Exact percentiles (linear interpolation) at any row count, by one route.
+
+``percentile`` keeps every distinct value of a group in one task, so it is not
+used. Each wanted rank is bracketed: a sketch proposes a value on either side,
+exact counts accept or refuse them, and the rows strictly between (about half a
+percent of the table per percentile) are narrowed further until few enough are
+left to rank. The sketch only steers; the result rests on counts. Sketches are
+merged per source partition first, so that no single task receives one from
+every map task.
+
+Infinities are values: between −∞ and a number lies −∞, between a number and ∞
+lies ∞, between −∞ and ∞ NaN.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from tabspark.functions import any_of, nan_to_null
 from tabspark.operators.relational import lookup_join, small_table
 from tabspark.session import checkpointed
 
-ROW_LIMIT = 2_000_000
+INF = float("inf")
 KEEP_ROWS = 200_000
 SKETCH_K = 4_096
 MARGIN = 0.0026  # twice the rank error of a sketch of that size
@@ -31,28 +33,16 @@ GRID = 200
 
 
 def percentiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                by: Sequence[str] = (), row_limit: int = ROW_LIMIT,
-                keep_rows: int = KEEP_ROWS) -> DataFrame:
+                by: Sequence[str] = (), keep_rows: int = KEEP_ROWS) -> DataFrame:
     """One row per group: the ``by`` columns and, per column, an array of percentiles.
 
-    Rows without a group are left out.
+    Rows without a group and groups without any value are left out. NULL and NaN
+    are no values. ``keep_rows`` only decides when narrowing stops.
     """
     df = df.dropna(subset=list(by)) if by else df
-    if fits_one_task(df.select(*by, *columns), row_limit):
-        return df.groupBy(*by).agg(*[percentile_array(c, probs).alias(c) for c in columns])
     return _bracketed(df, columns, probs, by, keep_rows)
 
 
-def fits_one_task(df: DataFrame, row_limit: int = ROW_LIMIT) -> bool:
-    """Is the whole frame, and so every group of it, small enough for ``percentile``?"""
-    return df.count() <= row_limit
-
-
-def percentile_array(column: str, probs: Sequence[float]) -> Column:
-    """The one-task form, for inputs of checked size only."""
-    return F.percentile(nan_to_null(F.col(column)), F.array(*[F.lit(float(p)) for p in probs]))
-
-
 def _hold(df: DataFrame) -> DataFrame:
     """Keep one row per group: on the driver if few, else in the checkpoint folder."""
     small = small_table(df)
@@ -69,14 +59,20 @@ def _bind(rows: DataFrame, table: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def _sketches(rows: DataFrame, keys: Sequence[str], inputs: Sequence[str]) -> DataFrame:
-    """Per key, the count ``n_i`` and sketch ``s_i`` of each input, merged in two steps."""
+    """Per key, of each input: count ``n_i``, infinities ``neg_i`` and ``pos_i``, sketch ``s_i``.
+
+    Merged in two steps.
+    """
     parts, merged = [], []
     for i, x in enumerate(inputs):
-        parts += [F.count(x).alias(f"n_{i}"), F.kll_sketch_agg_double(x, SKETCH_K).alias(f"s_{i}")]
-        merged += [
-            F.sum(f"n_{i}").alias(f"n_{i}"),
-            F.kll_merge_agg_double(f"s_{i}", SKETCH_K).alias(f"s_{i}"),
+        parts += [
+            F.count(x).alias(f"n_{i}"),
+            F.count_if(F.col(x) == -INF).alias(f"neg_{i}"),
+            F.count_if(F.col(x) == INF).alias(f"pos_{i}"),
+            F.kll_sketch_agg_double(x, SKETCH_K).alias(f"s_{i}"),
         ]
+        merged += [F.sum(f"{c}_{i}").alias(f"{c}_{i}") for c in ("n", "neg", "pos")]
+        merged.append(F.kll_merge_agg_double(f"s_{i}", SKETCH_K).alias(f"s_{i}"))
     partial = rows.withColumn("_merger", F.spark_partition_id() % MERGERS)
     return partial.groupBy(*keys, "_merger").agg(*parts).groupBy(*keys).agg(*merged)
 
@@ -105,7 +101,7 @@ def _first_brackets(rows: DataFrame, inputs: Sequence[str], probs: Sequence[floa
     count the rows below and up to a bound. Two passes over the table.
     """
     targets = [(i, p) for i in range(len(inputs)) for p in probs]
-    proposed = [F.col(f"n_{i}") for i in range(len(inputs))]
+    proposed = [F.col(f"{c}_{i}") for i in range(len(inputs)) for c in ("n", "neg", "pos")]
     for t, (i, p) in enumerate(targets):
         pair = _at(F.col(f"s_{i}"), [p - MARGIN, p + MARGIN])
         for k, bound in enumerate("ab"):
@@ -120,9 +116,10 @@ def _first_brackets(rows: DataFrame, inputs: Sequence[str], probs: Sequence[floa
         brackets.append(
             F.struct(
                 F.lit(t).alias("t"), F.lit(float(p)).alias("p"), n.alias("n"),
-                F.lit(float("-inf")).alias("lo"), F.lit(0).cast("long").alias("lo_lt"),
-                F.lit(0).cast("long").alias("lo_le"), F.lit(float("inf")).alias("hi"),
-                n.alias("hi_lt"), n.alias("hi_le"), *[c.alias(name) for name, c in got.items()],
+                F.lit(-INF).alias("lo"), F.lit(0).cast("long").alias("lo_lt"),
+                F.col(f"neg_{i}").alias("lo_le"), F.lit(INF).alias("hi"),
+                (n - F.col(f"pos_{i}")).alias("hi_lt"), n.alias("hi_le"),
+                *[c.alias(name) for name, c in got.items()],
             )
         )
     state = counted.select(*by, F.inline(F.array(*brackets))).where("n > 0")
@@ -237,7 +234,10 @@ def _bracketed(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
 
     low, high = F.floor(_place()), F.ceil(_place())
     part = _place() - low
-    value = at(low, "v0") * (1 - part) + at(high, "v1") * part
+    below, above = at(low, "v0"), at(high, "v1")
+    # infinities times zero would be NaN
+    exact = (part == 0) | (below == above)
+    value = F.when(exact, below).otherwise(below * (1 - part) + above * part)
     found = picked.withColumn("found", value)
 
     def cell(t: int) -> Column:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
-from itertools import chain
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Above these sizes a literal list or map is replaced by a join.
-INLINE_VALUES = 1_000
 SMALL_ROWS = 20_000
 SALTS = 64
 
@@ -31,13 +29,15 @@ def lookup_join(facts: DataFrame, table: DataFrame, keys: Sequence[str], salts:
 
     A table of checked size is broadcast. A larger one is replicated ``salts``
     times and joined on (key, salt), so that rows of one hot key spread over
-    ``salts`` tasks. The salt is a hash of the row: a retried task repeats it.
+    ``salts`` tasks. The salt is a hash of the row and of the partition it comes
+    from: equal rows spread too, and a retried task repeats it.
     """
     small = small_table(table, limit)
     if small is not None:
         return facts.join(F.broadcast(small), list(keys))
     copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    salt = F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int")
+    hashed = [f.name for f in facts.schema if "map<" not in f.dataType.simpleString()]
+    salt = F.pmod(F.xxhash64(F.spark_partition_id(), *hashed), F.lit(salts)).cast("int")
     return (
         facts.withColumn("_salt", salt)
         .join(table.withColumn("_salt", copies), [*keys, "_salt"])
@@ -74,24 +74,39 @@ def between_half_open(x: Column, low: float | None = None, high: float | None =
 
 
 def where_in(df: DataFrame, column: str, values: Iterable) -> DataFrame:
-    """Rows whose value is listed; a list too long for the plan becomes a semi join.
+    """Rows whose value is listed; a listed NULL matches nothing.
 
-    The driver holds the list, so every executor can.
+    The list is part of the plan, so that the scan can use it. Ids that stand in a
+    table go through ``restrict_to_ids``.
     """
-    values = list(dict.fromkeys(values))
-    if len(values) <= INLINE_VALUES:
-        return df.where(F.col(column).isin(values))
-    listed = df.sparkSession.createDataFrame([(v,) for v in values], df.select(column).schema)
-    return df.join(F.broadcast(listed), column, "left_semi")
+    return df.where(F.col(column).isin(list(dict.fromkeys(values))))
 
 
 def map_values(df: DataFrame, column: str, mapping: Mapping, out: str) -> DataFrame:
-    """Category → attribute, NULL where the mapping has no entry."""
-    if len(mapping) <= INLINE_VALUES:
-        pairs = F.create_map(*[F.lit(v) for v in chain.from_iterable(mapping.items())])
-        return df.withColumn(out, F.try_element_at(pairs, F.col(column)))
-    table = df.sparkSession.createDataFrame(list(mapping.items()), [column, out])
-    return df.join(F.broadcast(table), column, "left")
+    """Category → attribute, NULL where the mapping has no entry.
+
+    ``out`` has the type that the mapped values have in common as literals. The
+    mapping becomes a table of known size, so Catalyst decides about broadcasting it.
+    """
+    if not mapping:
+        return df.withColumn(out, F.lit(None).cast("string"))
+    common = F.coalesce(*[F.lit(v) for v in mapping.values()])
+    key_type, value_type = df.select(F.col(column), common).schema.fields
+    schema = T.StructType(
+        [T.StructField("_key", key_type.dataType), T.StructField("_value", value_type.dataType)]
+    )
+    to_key, to_value = (_number_as(f.dataType) for f in schema)
+    rows = [(to_key(k), to_value(v)) for k, v in mapping.items()]
+    table = df.sparkSession.createDataFrame(rows, schema)
+    joined = df.join(table, F.col(column) == F.col("_key"), "left")
+    return joined.withColumn(out, F.col("_value")).drop("_key", "_value")
+
+
+def _number_as(kind: T.DataType) -> Callable:
+    """How a Python value is handed over as ``kind``."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return lambda v: None if v is None else float(v)
+    return lambda v: v
 
 
 def segment_by(rules: Sequence[tuple[Column, str]], default: str | None = None) -> Column:

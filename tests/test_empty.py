@@ -26,7 +26,7 @@ def test_profiles(empty):
     assert profile.boxplot(empty, "bmi", ["sex"]).count() == 0
     assert profile.scatter_bins(empty, "bmi", "charges", "sex").count() == 0
     assert profile.corr_with_target(empty, "charges", ["bmi"]).first()["corr"] is None
-    assert percentiles(empty, ["bmi"], [0.5], row_limit=-1).first()["bmi"] == [None]
+    assert percentiles(empty, ["bmi"], [0.5]).first()["bmi"] == [None]
 
 
 def test_rows_and_metrics(empty):

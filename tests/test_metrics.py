@@ -76,12 +76,11 @@ def test_incomplete_pairs_and_empty_segments(spark):
     assert rows(metrics.segment_metrics(df).select("segment", "count", "mae")) == [("a", 1, 1.0)]
 
 
-@pytest.mark.parametrize("row_limit", [10**9, 0])
-def test_residuals(long, row_limit):
-    for r in metrics.residual_summary(long, row_limit=row_limit).collect():
+def test_residuals(long):
+    for r in metrics.residual_summary(long).collect():
         res = np.array([x["actual"] - x["prediction"] for x in long.collect() if x["model"] == r["model"]])
         assert (r["mean"], r["std"], r["median"]) == pytest.approx((res.mean(), res.std(), np.median(res)))
-    whole = metrics.residual_summary(long, by=[], row_limit=row_limit).first()
+    whole = metrics.residual_summary(long, by=[]).first()
     res = np.array([x["actual"] - x["prediction"] for x in long.collect()])
     assert whole["median"] == pytest.approx(np.median(res))
 

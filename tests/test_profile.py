@@ -19,9 +19,8 @@ def pdf(raw):
     return raw.toPandas()
 
 
-@pytest.mark.parametrize("row_limit", [10**9, 0])
-def test_describe(raw, pdf, row_limit):
-    got = {r["column"]: r for r in profile.describe(raw, ["age", "bmi", "charges"], None, row_limit).collect()}
+def test_describe(raw, pdf):
+    got = {r["column"]: r for r in profile.describe(raw, ["age", "bmi", "charges"], None).collect()}
     want = pdf[["age", "bmi", "charges"]].describe()
     for c, r in got.items():
         values = [r[k] for k in ("count", "mean", "std", "min", "p25", "p50", "p75", "max")]
@@ -36,9 +35,8 @@ def test_describe_rounds_and_takes_numerics(raw):
 
 def test_describe_of_empty_column(spark):
     df = spark.createDataFrame([(1.0, None), (2.0, None)], "a double, b double")
-    for limit in (10**9, 0):
-        got = {r["column"]: r for r in profile.describe(df, row_limit=limit).collect()}
-        assert got["b"]["count"] == 0 and got["b"]["p50"] is None and got["a"]["p50"] == 1.5
+    got = {r["column"]: r for r in profile.describe(df).collect()}
+    assert got["b"]["count"] == 0 and got["b"]["p50"] is None and got["a"]["p50"] == 1.5
 
 
 def test_ranges_shape_and_target(raw, pdf):
@@ -87,19 +85,18 @@ def test_histogram_edge_cases(spark):
 
 
 def test_boxplot(raw, pdf):
-    for limit in (10**9, 0):
-        out = {r["region"]: r for r in profile.boxplot(raw, "charges", ["region"], limit).collect()}
-        n_out = 0
-        for region, part in pdf.groupby("region"):
-            q1, q2, q3 = part.charges.quantile([0.25, 0.5, 0.75])
-            lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
-            inside = part.charges[(part.charges >= lo) & (part.charges <= hi)]
-            r = out[region]
-            assert [r["q1"], r["median"], r["q3"]] == pytest.approx([q1, q2, q3])
-            assert (r["whisker_low"], r["whisker_high"]) == (inside.min(), inside.max())
-            assert r["n_outliers"] == len(part) - len(inside) and r["n"] == len(part)
-            n_out += r["n_outliers"]
-        assert profile.boxplot_outliers(raw, "charges", ["region"], limit).count() == n_out
+    out = {r["region"]: r for r in profile.boxplot(raw, "charges", ["region"]).collect()}
+    n_out = 0
+    for region, part in pdf.groupby("region"):
+        q1, q2, q3 = part.charges.quantile([0.25, 0.5, 0.75])
+        lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+        inside = part.charges[(part.charges >= lo) & (part.charges <= hi)]
+        r = out[region]
+        assert [r["q1"], r["median"], r["q3"]] == pytest.approx([q1, q2, q3])
+        assert (r["whisker_low"], r["whisker_high"]) == (inside.min(), inside.max())
+        assert r["n_outliers"] == len(part) - len(inside) and r["n"] == len(part)
+        n_out += r["n_outliers"]
+    assert profile.boxplot_outliers(raw, "charges", ["region"]).count() == n_out
 
 
 def test_segment_profile_and_axis_bound(raw, pdf):

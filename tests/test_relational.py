@@ -16,18 +16,19 @@ def test_select_align_and_target(spark):
     assert (features.columns, target.columns) == (["a", "c"], ["b"])
 
 
-def test_long_lists_and_maps_become_joins(spark, monkeypatch):
-    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "i int, c string")
-    mapping = {"a": 10, "b": 20}
-
-    def both():
-        kept = rel.where_in(df, "c", ["a", "c", "a"]).select("i", "c")
-        mapped = rel.map_values(df, "c", mapping, "v").select("i", "v")
-        return rows(kept, "i"), rows(mapped, "i")
-
-    small = both()
-    monkeypatch.setattr(rel, "INLINE_VALUES", 1)
-    assert small == both() == ([(1, "a"), (3, "c")], [(1, 10), (2, 20), (3, None)])
+@pytest.mark.parametrize("more", [0, 1500])
+def test_lists_and_maps_of_any_length(spark, more):
+    """The columns, their order and their types do not depend on the length."""
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "i int, c string")
+    others = [f"x{i}" for i in range(more)]
+    kept = rel.where_in(df, "c", ["a", "c", "a", *others])
+    assert kept.schema == df.schema and rows(kept) == [(1, "a")]
+    mapped = rel.map_values(df, "c", {"a": 10, "z": 20} | dict.fromkeys(others, 7), "v")
+    assert mapped.dtypes == [("i", "int"), ("c", "string"), ("v", "int")]
+    assert rows(mapped, "i") == [(1, "a", 10), (2, "b", None), (3, None, None)]
+    mixed = rel.map_values(df, "i", {1: 1, 2: 0.5}, "c")
+    assert mixed.dtypes == [("i", "int"), ("c", "double")] and rows(mixed, "i")[1] == (2, 0.5)
+    assert rel.map_values(df, "c", {}, "v").first()["v"] is None
 
 
 def test_segments(spark):
@@ -80,6 +81,15 @@ def test_lookup_join_both_ways(spark, limit):
     assert ("_salt" in plan) == (limit == 0)
 
 
+def test_equal_rows_of_a_hot_key_spread_over_salts(spark):
+    facts = spark.range(2000, numPartitions=40).selectExpr("1 AS g", "map('k', 1) AS m", "'same' AS v")
+    table = spark.createDataFrame([(1, "t")], "g int, t string")
+    out = rel.lookup_join(facts, table, ["g"], salts=8, limit=0)
+    assert out.count() == 2000
+    salts = facts.select(F.pmod(F.xxhash64(F.spark_partition_id(), "g", "v"), F.lit(8))).distinct()
+    assert salts.count() >= 6
+
+
 def test_small_table(spark):
     df = spark.range(10)
     assert rel.small_table(df, 9) is None
