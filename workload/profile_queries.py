@@ -59,6 +59,39 @@ def describe(spark, sf_dir):
     )
 
 
+QUARTILE_COLUMNS = ["count", "min", "p25", "p50", "p75", "max"]
+
+
+@query(
+    "describe_infinite",
+    f"""WITH v AS (
+    SELECT 'low' AS "column", CASE WHEN l_linenumber = 7 THEN CAST('-infinity' AS DOUBLE)
+           ELSE l_extendedprice END AS x FROM lineitem
+    UNION ALL SELECT 'high', CASE WHEN l_linenumber <= 2 THEN CAST('infinity' AS DOUBLE)
+           ELSE l_extendedprice END FROM lineitem),
+  r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY x) - 1 AS k,
+               count(*) OVER (PARTITION BY "column") AS n FROM v),
+  q AS (SELECT "column", p, p * (n - 1) - floor(p * (n - 1)) AS part,
+               max(x) FILTER (k = floor(p * (n - 1))) AS a, max(x) FILTER (k = ceil(p * (n - 1))) AS b
+        FROM r CROSS JOIN (SELECT CAST(unnest([0.25, 0.5, 0.75]) AS DOUBLE) AS p) t GROUP BY "column", p, n),
+  f AS (SELECT "column", p, CASE WHEN a = b OR part = 0 THEN a ELSE a * (1 - part) + b * part END AS y FROM q),
+  m AS (SELECT "column", count(*) AS count, min(x) AS min, max(x) AS max FROM v GROUP BY "column")
+  SELECT "column", count, {rnd('any_value(min)', 4)} AS min,
+    {rnd('max(y) FILTER (p = 0.25)', 4)} AS p25, {rnd('max(y) FILTER (p = 0.5)', 4)} AS p50,
+    {rnd('max(y) FILTER (p = 0.75)', 4)} AS p75, {rnd('any_value(max)', 4)} AS max
+  FROM f JOIN m USING ("column") GROUP BY "column", count""",
+)
+def describe_infinite(spark, sf_dir):
+    """Infinities count as values; their means are not compared."""
+    line, price = F.col("l_linenumber"), F.col("l_extendedprice")
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.when(line == 7, float("-inf")).otherwise(price).alias("low"),
+        F.when(line <= 2, float("inf")).otherwise(price).alias("high"),
+    )
+    stats = profile.describe(rows, digits=4)
+    return stats.select("column", *QUARTILE_COLUMNS)
+
+
 @query(
     "feature_ranges",
     f"WITH e AS ({LINE_ENCODED_SQL})"

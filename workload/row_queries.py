@@ -189,6 +189,37 @@ def map_lookup(spark, sf_dir):
     return rel.map_values(orders, "o_orderpriority", PRIORITY, "urgency").drop("o_orderpriority")
 
 
+def _days(rows, column):
+    """Distinct days of a column as text; a calendar has a bounded number of them."""
+    return [r[0] for r in rows.select(F.date_format(column, "yyyy-MM-dd")).distinct().collect()]
+
+
+@query(
+    "map_lookup_wide",
+    """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day,
+  CAST(year(o_orderdate) * 100 + month(o_orderdate) AS INTEGER) AS month FROM orders""",
+)
+def map_lookup_wide(spark, sf_dir):
+    """A mapping of well over a thousand days, taken from the table."""
+    orders = table(spark, sf_dir, "orders").where("o_orderdate IS NOT NULL")
+    months = {d: int(d[:4]) * 100 + int(d[5:7]) for d in _days(orders, "o_orderdate")}
+    days = orders.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    return rel.map_values(days, "day", months, "month")
+
+
+@query(
+    "where_in_wide",
+    """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders
+  WHERE strftime(o_orderdate, '%Y-%m-%d') IN
+    (SELECT strftime(l_shipdate, '%Y-%m-%d') FROM lineitem WHERE l_quantity >= 30)""",
+)
+def where_in_wide(spark, sf_dir):
+    """A list of well over a thousand days, taken from another table."""
+    listed = _days(table(spark, sf_dir, "lineitem").where("l_quantity >= 30"), "l_shipdate")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")
+    return rel.where_in(table(spark, sf_dir, "orders").select("o_orderkey", day), "day", listed)
+
+
 @query(
     "select_reorder",
     "SELECT o_totalprice, o_orderkey, o_orderstatus FROM orders",
