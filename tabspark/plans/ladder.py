@@ -65,7 +65,13 @@ class Fitted:
 
 
 def scaling_stage(scaler: Scaler, suffix: str = "_std") -> SQLTransformer:
-    """Standardisation as a stage that is saved with the model."""
+    """Standardisation as a stage that is saved with the model.
+
+    A column that had no value to fit on is an error.
+    """
+    empty = [c for c, m, s in zip(scaler.columns, scaler.means, scaler.scales) if None in (m, s)]
+    if empty:
+        raise ValueError(f"nothing to standardise by: {', '.join(empty)}")
     parts = [
         f"(CAST(`{c}` AS DOUBLE) - {m!r}D) / {s!r}D AS `{c}{suffix}`"
         for c, m, s in zip(scaler.columns, scaler.means, scaler.scales)

@@ -8,6 +8,7 @@ from tabspark.operators.split import fit_split
 from tabspark.operators.validate import validate
 from tabspark.functions import interact, power2
 from tabspark.spec import Rule
+from tabspark.plans.ladder import scaling_stage
 
 
 @pytest.fixture(scope="module")
@@ -51,3 +52,9 @@ def test_absent_column_and_open_range(spark):
     absent = validate(df, [*rules, Rule("age", "int", 0, 9)])
     assert absent.columns == ["k", "errors"]
     assert [r["errors"] for r in absent.collect()] == [["age: missing"]] * 2
+
+
+def test_scaling_stage_refuses_columns_without_values(spark):
+    df = spark.createDataFrame([(1.0, None), (2.0, None)], "a double, b double")
+    with pytest.raises(ValueError, match="nothing to standardise by: b"):
+        scaling_stage(fit_scaler(df, ["a", "b"]))
