@@ -197,24 +197,23 @@ def lowered(stairs: list[Step], lcp: int) -> None:
             stairs.append((lcp, place))
 
 
-def earlier(stairs: list[Step], place: tuple[int, int, int]) -> int:
-    """Largest common length with a suffix at an earlier place."""
-    for length, other in reversed(stairs):
-        if other < place:
-            return length
-    return 0
-
-
 ENDLESS = 2**62
 
 
 def swept(places: list, lcps: list, stairs: list[Step]) -> tuple[list[int], list[Step]]:
     """Per suffix the longest prefix shared with an earlier place among those before it
-    in the array; the staircase left at the end. ``lcps``: with the suffix before."""
+    in the array; the staircase left at the end. ``lcps``: with the suffix before.
+
+    A step at a later place than the suffix is of no use after it and leaves, so that
+    each step is looked at once. Where a class begins, nothing is shared and the
+    staircase is empty.
+    """
     out = []
     for place, lcp in zip(places, lcps):
         lowered(stairs, lcp)
-        out.append(earlier(stairs, place))
+        while stairs and stairs[-1][1] > place:
+            stairs.pop()
+        out.append(stairs[-1][0] if stairs else 0)
         stairs.append((ENDLESS, place))
     return out, stairs
 
@@ -233,15 +232,9 @@ def _places(rows: pd.DataFrame) -> list[tuple[int, int, int]]:
     return list(zip(rows["pos"].tolist(), rows["uid"].tolist(), rows["line"].tolist()))
 
 
-def _sides(rows: pd.DataFrame, start: dict, stop: dict):
-    """Sweeps of one chunk in both directions, per class: (class, lengths, left, right)."""
-    for name, part in rows.groupby("class", sort=False):
-        places, lcps = _places(part), part["lcp"].tolist()
-        ahead, right_stairs = swept(places, lcps, list(start.get(name, [])))
-        nexts = [part["next_lcp"].iloc[-1], *lcps[:0:-1]]
-        back, left_stairs = swept(places[::-1], nexts, list(stop.get(name, [])))
-        lengths = [max(a, b) for a, b in zip(ahead, back[::-1])]
-        yield name, part, lengths, right_stairs, left_stairs
+def _backwards(rows: pd.DataFrame) -> list[int]:
+    """Per suffix, last first, its common prefix with the next one in the array."""
+    return [rows["next_lcp"].iloc[-1], *rows["lcp"].tolist()[:0:-1]]
 
 
 def _steps(stairs: list[Step]) -> list[dict]:
@@ -260,11 +253,11 @@ def summaries(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     if rows["next_lcp"].iloc[-1] > 0:
         cut.add(names.iloc[-1])
     out = []
-    for name, part, _, right, left in _sides(rows[names.isin(cut)], {}, {}):
-        low = int(part["lcp"].min())
-        nexts = part["lcp"].tolist()[1:] + [part["next_lcp"].iloc[-1]]
-        out.append((name, keys[0], "ahead", low, _steps(right)))
-        out.append((name, keys[0], "back", int(min(nexts)), _steps(left)))
+    for name in sorted(cut):
+        part = rows[names == name]
+        places, lcps, nexts = _places(part), part["lcp"].tolist(), _backwards(part)
+        out.append((name, keys[0], "ahead", int(min(lcps)), _steps(swept(places, lcps, [])[1])))
+        out.append((name, keys[0], "back", int(min(nexts)), _steps(swept(places[::-1], nexts, [])[1])))
     return pd.DataFrame(out, columns=["class", "chunk", "side", "low", "steps"])
 
 
@@ -284,13 +277,17 @@ def repeats(rows: pd.DataFrame, carried: pd.DataFrame) -> pd.DataFrame:
     columns = ["uid", "line", "lines"]
     if not len(rows):
         return pd.DataFrame({c: [] for c in columns})
-    sides: dict[str, dict] = {"ahead": {}, "back": {}}
+    rows = rows.sort_values("r")
+    # only the first class comes from chunks before, and only the last goes on after
+    ends = {"ahead": rows["class"].iloc[0], "back": rows["class"].iloc[-1]}
+    start: dict[str, list[Step]] = {"ahead": [], "back": []}
     for name, side, steps in zip(carried["class"], carried["side"], carried["steps"]):
-        sides[side][name] = _stairs(steps)
-    parts = []
-    for _, part, lengths, _, _ in _sides(rows.sort_values("r"), sides["ahead"], sides["back"]):
-        parts.append(pd.DataFrame({"uid": part["uid"], "line": part["line"], "lines": lengths}))
-    found = pd.concat(parts)
+        if name == ends[side]:
+            start[side] = _stairs(steps)
+    places = _places(rows)
+    ahead, _ = swept(places, rows["lcp"].tolist(), start["ahead"])
+    back, _ = swept(places[::-1], _backwards(rows), start["back"])
+    found = rows[["uid", "line"]].assign(lines=np.maximum(ahead, back[::-1]))
     return found[found["lines"] > 0]
 
 
