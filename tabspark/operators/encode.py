@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,25 +17,38 @@ MAX_CATEGORIES = 1_000
 
 def learn_vocab(df: DataFrame, columns: Sequence[str],
                 max_categories: int = MAX_CATEGORIES) -> dict[str, tuple[str, ...]]:
-    """Alphabetical categories per column.
+    """Alphabetical categories per column, from two aggregates of one row each.
 
-    The distinct values are found by a distributed aggregate; only a result of
-    checked size reaches the driver. A wider column is an error, since it
-    cannot become one table column per value.
+    A sketch first refuses columns that are far too wide, so that the sets stay
+    small. A column beyond ``max_categories`` is an error, since it cannot become
+    one table column per value; ``learn_wide_one_hot`` takes it.
     """
-    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in columns])
-    found = (
-        df.select(F.inline(pairs)).where("value IS NOT NULL").groupBy("name", "value").count()
-        .select("name", "value")
-    )
-    rows = found.limit(max_categories * len(columns) + 1).collect()
-    vocab = {c: tuple(sorted(r["value"] for r in rows if r["name"] == c)) for c in columns}
-    wide = [c for c, values in vocab.items() if len(values) > max_categories]
-    if wide or len(rows) > max_categories * len(columns):
-        raise ValueError(f"more than {max_categories} categories in {', '.join(wide or columns)}")
+    about = df.agg(*[F.approx_count_distinct(c) for c in columns]).first()
+    wide = [c for c, n in zip(columns, about) if n > 2 * max_categories]
+    if not wide:
+        sets = df.agg(*[F.collect_set(c) for c in columns]).first()
+        vocab = {c: tuple(sorted(values)) for c, values in zip(columns, sets)}
+        wide = [c for c, values in vocab.items() if len(values) > max_categories]
+    if wide:
+        raise ValueError(f"more than {max_categories} categories in {', '.join(wide)}")
     return vocab
 
 
+def learn_wide_one_hot(df: DataFrame, columns: Sequence[str]) -> PipelineModel:
+    """Encoder of any width: per column a sparse 0/1 vector ``…_vec`` and its position ``…_at``.
+
+    Positions are alphabetical. NULL and values not met in ``df`` get all zeros and the
+    position after the last. The model holds the labels, so they have to fit the driver.
+    """
+    at, vec = [f"{c}_at" for c in columns], [f"{c}_vec" for c in columns]
+    indexer = StringIndexer(
+        inputCols=list(columns), outputCols=at, stringOrderType="alphabetAsc", handleInvalid="keep"
+    )
+    # the last position is that of other values
+    encoder = OneHotEncoder(inputCols=at, outputCols=vec, dropLast=True)
+    return Pipeline(stages=[indexer, encoder]).fit(df)
+
+
 def learn_spec(df: DataFrame, exclude: Sequence[str] = (),
                max_categories: int = MAX_CATEGORIES) -> FeatureSpec:
     """Spec of a frame: numerics first, then every string column one-hot."""

@@ -1,7 +1,7 @@
 import pytest
 
 from helpers import patients, rows, synthetic
-from tabspark.operators.encode import encode, learn_spec, learn_vocab, one_hot
+from tabspark.operators.encode import encode, learn_spec, learn_vocab, learn_wide_one_hot, one_hot
 from tabspark.spec import medical_charges
 
 SCHEMA = "x double, c string"
@@ -29,6 +29,16 @@ def test_one_column_over_the_limit_is_named(spark):
         learn_vocab(df, ["a", "b"], max_categories=20)
 
 
+def test_wide_encoding_is_sparse_and_alphabetical(spark):
+    df = spark.range(3000).selectExpr("CAST(id AS STRING) c")
+    model = learn_wide_one_hot(df, ["c"])
+    labels = sorted(str(i) for i in range(3000))
+    odd = spark.createDataFrame([("17",), ("x",), (None,)], "c string")
+    known, other, missing = (r["c_vec"] for r in model.transform(odd).collect())
+    assert known.size == 3000 and list(known.indices) == [labels.index("17")]
+    assert other.numNonzeros() == missing.numNonzeros() == 0
+
+
 def test_unknown_category(spark):
     df = spark.createDataFrame([(1.0, "Yes"), (2.0, "maybe")], SCHEMA)
     vocab = {"c": ["no", "yes"]}

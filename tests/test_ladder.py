@@ -9,9 +9,12 @@ from tabspark.plans.ladder import (
     Experiment,
     Fitted,
     Ladder,
+    LeastAbsolute,
+    Patience,
     absolute_error_ladder,
     assembled,
     baselines,
+    best_round,
     fit_experiment,
     loss_history,
     objective_history,
@@ -131,6 +134,35 @@ def test_early_stop_and_history(train):
     assert losses[-1] < losses[0] and len(history) == 16
 
 
+@pytest.mark.parametrize(
+    "losses, patience, kept",
+    [([3, 2, 1], 1, 3), ([1, 2, 0], 1, 1), ([1, 2, 0], 2, 3), ([2, 2, 2], 5, 1), ([3, 1, 2, 2, 2], 2, 2)],
+)
+def test_best_round(losses, patience, kept):
+    assert best_round(losses, patience) == kept
+
+
+def test_patience_keeps_the_best_round(train):
+    rows_ = assembled(train, SETS["full"], "charges")
+    eager = GBTRegressor(maxIter=12, maxDepth=6, stepSize=1.0, seed=29)
+    fit, held = rows_.where("NOT is_validation"), rows_.where("is_validation")
+    losses = eager.fit(fit).evaluateEachIteration(held, eager.getLossType())
+    model = Patience(3)(eager, rows_)
+    kept = best_round(losses, 3)
+    assert len(model.trees) == kept < 12
+    # the trees fitted again are the first ones of the long run
+    assert model.evaluateEachIteration(held, eager.getLossType()) == pytest.approx(losses[:kept])
+    assert len(Patience(3)(eager, fit).trees) == 12  # nothing to judge by
+
+
+def test_least_absolute_error_meets_the_group_medians(spark):
+    data = [(float(i % 2), float(v)) for i, v in enumerate([0, 7, 1, 8, 2, 9, 90, 10, 3, 800])]
+    df = assembled(spark.createDataFrame(data, "g double, y double"), ["g"], "y")
+    model = LeastAbsolute()(LinearRegression(), df)
+    assert model.intercept == pytest.approx(2, abs=0.05)
+    assert model.intercept + model.coefficients[0] == pytest.approx(9, abs=0.05)
+
+
 def test_linear_objective_history(spark, train):
     rung = Experiment("m", SETS["base"], LinearRegression(loss="huber", maxIter=15))
     model = fit_experiment(rung, train, "charges").model.stages[-1]
@@ -156,5 +188,5 @@ def test_config_changes(spark):
     out = Ladder(absolute_error_ladder(SETS), "charges").config_changes(spark)
     changed = {r["step"]: r["changed"] for r in out.collect()}
     assert changed[0] == [] and changed[2] == ["scale"] and changed[4] == ["features"]
-    assert {"features", "validationIndicatorCol"} <= set(changed[3])
+    assert {"features", "fit"} <= set(changed[3])
     assert rows(out.select("step", "model"))[0] == (0, "M1: linear, unscaled")

@@ -11,7 +11,10 @@ from tabspark.plans.ladder import (
     SEED,
     Experiment,
     Ladder,
+    LeastAbsolute,
+    Patience,
     assembled,
+    cached,
     fit_experiment,
     loss_history,
     seed_ensemble,
@@ -125,7 +128,6 @@ def encoded_orders(spark, sf_dir):
 def small_ladder(spec) -> Ladder:
     base, full = tuple(spec.encoded_names), tuple(spec.names)
     trees = GBTRegressor(lossType="absolute", maxIter=5, maxDepth=3, seed=SEED)
-    stopped = trees.copy().setValidationIndicatorCol("is_validation")
     forest = RandomForestRegressor(
         numTrees=5, maxDepth=5, featureSubsetStrategy="all", seed=SEED
     )
@@ -134,9 +136,9 @@ def small_ladder(spec) -> Ladder:
     )
     return Ladder(
         [
-            Experiment("M1: linear, unscaled", base, LinearRegression(loss="huber", maxIter=20)),
+            Experiment("M1: linear, unscaled", base, LinearRegression(), fit=LeastAbsolute(5)),
             Experiment("M2: trees, scaled", base, trees, scale=True),
-            Experiment("M3: all features + early stop", full, stopped, scale=True),
+            Experiment("M3: all features + early stop", full, trees, scale=True, fit=Patience(2)),
             Experiment("BL: Linear", full, LinearRegression()),
             Experiment("BL: Forest", full, forest),
             Experiment("BL: Boosting", full, boosting),
@@ -286,6 +288,41 @@ def loss_history_status(spark, sf_dir):
     return history.withColumn("loss", F.round("loss", 4))
 
 
+@query(
+    "early_stop_patience",
+    f"""WITH {STATUS_SQL.format(rows="split = 'train' AND NOT is_validation")}
+  SELECT {rnd('avg(abs(actual - prediction))', 4)} AS validation_mae FROM p WHERE is_validation""",
+)
+def early_stop_patience(spark, sf_dir):
+    """Five rounds of which the first is as good as any: it alone is fitted again."""
+    frame, spec = status_frame(spark, sf_dir)
+    train = frame.where("split = 'train'")
+    rung = Experiment("stop", tuple(spec.names), status_boosting().setMaxIter(5),
+                      fit=Patience(2, least=1e-9))
+    fitted = fit_experiment(rung, train, TARGET)
+    held = fitted.predict(train.where("is_validation"), "p")
+    return held.agg(F.round(F.avg(F.abs(F.col(TARGET) - F.col("p"))), 4).alias("validation_mae"))
+
+
+@query(
+    "lad_status",
+    f"""WITH {ORDER_FRAME_SQL},
+  m AS (SELECT o_orderstatus, median(o_totalprice) AS m FROM frame WHERE split = 'train'
+        GROUP BY o_orderstatus)
+  SELECT count(*) AS n, {rnd('avg(abs(o_totalprice - m))', 0)} AS mae
+  FROM frame JOIN m USING (o_orderstatus) WHERE split = 'train'""",
+)
+def lad_status(spark, sf_dir):
+    """Least absolute error over one category's indicators is that of the group medians."""
+    frame, spec = status_frame(spark, sf_dir)
+    rung = Experiment("lad", tuple(spec.names), LinearRegression(), fit=LeastAbsolute())
+    with cached(frame.where("split = 'train'")) as train:
+        fitted = fit_experiment(rung, train, TARGET)
+    found = fitted.predict(frame.where("split = 'train'"), "p")
+    error = F.avg(F.abs(F.col(TARGET) - F.col("p")))
+    return found.agg(F.count("*").alias("n"), F.round(error, 0).alias("mae"))
+
+
 @query(
     "early_stop_status",
     f"""WITH {STATUS_SQL.format(rows="split = 'train' AND NOT is_validation")}

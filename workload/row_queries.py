@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabspark.operators import relational as rel
-from tabspark.operators.encode import add_features, encode, learn_vocab, one_hot
+from tabspark.operators.encode import add_features, encode, learn_vocab, learn_wide_one_hot, one_hot
 from tabspark.operators.profile import shape as shape_of
 from tabspark.operators.validate import error_counts, null_audit, validate
 from tabspark.session import scratch_path
@@ -70,6 +72,23 @@ def one_hot_fixed(spark, sf_dir):
     return one_hot(line, {"l_returnflag": ["a", "n", "r", "x"]})
 
 
+@query(
+    "one_hot_wide",
+    """SELECT row_number() OVER (ORDER BY category) - 1 AS position, category, n FROM (
+  SELECT CAST(o_custkey AS VARCHAR) AS category, CAST(count(*) AS DOUBLE) AS n
+  FROM orders GROUP BY o_custkey)""",
+)
+def one_hot_wide(spark, sf_dir):
+    """A category of thousands of values as sparse vectors; their sum counts the rows of each."""
+    keys = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("c"))
+    model = learn_wide_one_hot(keys, ["c"])
+    coded = model.transform(keys)
+    sums = coded.agg(vector_to_array(Summarizer.sum(F.col("c_vec"))).alias("n"))
+    counts = sums.select(F.posexplode("n").alias("position", "n"))
+    names = coded.select(F.col("c_at").cast("bigint").alias("position"), F.col("c").alias("category"))
+    return names.distinct().join(counts, "position").select("position", "category", "n")
+
+
 @query(
     "one_hot_lenient",
     """SELECT event_id, CAST(event_type = 'click' AS INTEGER) AS event_type_click,
