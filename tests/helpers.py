@@ -6,10 +6,10 @@ from tabspark.sources.records import records
 from tabspark.spec import RAW_RECORD
 
 PATIENTS = [
-    dict(age=25, sex="male", bmi=22.0, children=0, smoker="no", region="northwest"),
-    dict(age=45, sex="female", bmi=28.5, children=2, smoker="no", region="southeast"),
-    dict(age=35, sex="male", bmi=33.0, children=1, smoker="yes", region="northeast"),
-    dict(age=55, sex="female", bmi=40.0, children=0, smoker="yes", region="southwest"),
+    dict(age=23, sex="female", bmi=21.5, children=1, smoker="no", region="southwest"),
+    dict(age=48, sex="male", bmi=27.25, children=3, smoker="no", region="northeast"),
+    dict(age=37, sex="female", bmi=34.5, children=0, smoker="yes", region="southeast"),
+    dict(age=61, sex="male", bmi=38.0, children=2, smoker="yes", region="northwest"),
 ]
 
 

@@ -11,10 +11,10 @@ from tabspark.spec import FeatureSpec, medical_charges
 # smoker_bmi, is_obese, smoker_obese, smoker_bmi_above30, age_smoker, age_squared,
 # age_bmi, bmi_deviation, bmi_squared, has_children
 GOLDEN = {
-    25: (0, 0, 0, 0, 0, 625, 550, 2.9, 484, 0),
-    45: (0, 0, 0, 0, 0, 2025, 1282.5, 3.6, 812.25, 1),
-    35: (33, 1, 1, 3, 35, 1225, 1155, 8.1, 1089, 1),
-    55: (40, 1, 1, 10, 55, 3025, 2200, 15.1, 1600, 0),
+    23: (0, 0, 0, 0, 0, 529, 494.5, 3.4, 462.25, 1),
+    48: (0, 0, 0, 0, 0, 2304, 1308, 2.35, 742.5625, 1),
+    37: (34.5, 1, 1, 4.5, 37, 1369, 1276.5, 9.6, 1190.25, 0),
+    61: (38, 1, 1, 8, 61, 3721, 2318, 13.1, 1444, 1),
 }
 
 

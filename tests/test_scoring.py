@@ -111,13 +111,13 @@ def test_score_equals_the_steps_by_hand(spark, scorer):
 
 def test_rejected_rows_are_returned_unscored(spark, scorer):
     text = ", ".join(f"{f} string" for f in FIELDS)
-    bad = [dict(PATIENTS[0], bmi="999"), dict(PATIENTS[0], age=None), dict(PATIENTS[0], age="99999999999")]
+    bad = [dict(PATIENTS[0], bmi="88.8"), dict(PATIENTS[0], age=None), dict(PATIENTS[0], age="99999999999")]
     data = [tuple(None if p[f] is None else str(p[f]) for f in FIELDS) for p in [*PATIENTS, *bad]]
     got = scorer.score(spark.createDataFrame(data, text)).collect()
     assert [r["success"] for r in got] == [True] * 4 + [False] * 3
     assert all(r["prediction"] is None and r["segment"] is None for r in got[4:])
     assert [r["errors"][0].split(":")[0] for r in got[4:]] == ["bmi", "age", "age"]
-    assert got[4]["bmi"] == "999"  # the input is given back as it came
+    assert got[4]["bmi"] == "88.8"  # the input is given back as it came
 
 
 def test_one_narrow_pass(spark, scorer):
@@ -137,12 +137,12 @@ def test_lenient_scoring(spark, scorer):
 
 
 def test_response_record(spark, scorer):
-    both = patients(spark).union(patients(spark).limit(1).withColumn("smoker", F.lit("maybe")).select(*FIELDS_ORDER))
+    both = patients(spark).union(patients(spark).limit(1).withColumn("smoker", F.lit("often")).select(*FIELDS_ORDER))
     out = scorer.respond(scorer.score(both))
     assert out.columns == ["success", "predicted_annual_charge", "segment", "model_info", "input_received", "errors"]
     got = out.collect()
     assert got[2]["segment"] == "Smoker (BMI≥30)" and got[2]["model_info"]["name"] == "demo"
-    assert got[2]["input_received"]["age"] == 35 and got[2]["errors"] is None
+    assert got[2]["input_received"]["age"] == 37 and got[2]["errors"] is None
     assert got[4]["segment"] is None and got[4]["errors"] == ["smoker: not one of no, yes"]
 
 
@@ -179,22 +179,22 @@ def test_scaler_of_other_features_is_refused(spark, scorer):
 def test_fitted_model_is_within_sane_bounds(spark, fitted_scorer):
     """Bounds of the planted effect: cheap non-smokers, costly obese smokers."""
     got = {r["age"]: r for r in fitted_scorer.score(patients(spark)).collect()}
-    assert 1_000 < got[25]["prediction"] < 15_000 and got[25]["segment"] == "non_smoker"
-    assert 30_000 < got[55]["prediction"] < 70_000 and got[55]["segment"] == "smoker_ge30"
-    lean = patients(spark).where("age = 35").withColumn("bmi", F.lit(24.0))
+    assert 4_500 < got[23]["prediction"] < 11_000 and got[23]["segment"] == "non_smoker"
+    assert 42_000 < got[61]["prediction"] < 58_000 and got[61]["segment"] == "smoker_ge30"
+    lean = patients(spark).where("age = 37").withColumn("bmi", F.lit(24.0))
     row = fitted_scorer.score(lean).first()
-    assert 15_000 < row["prediction"] < 35_000 and row["segment"] == "smoker_lt30"
+    assert 17_000 < row["prediction"] < 32_000 and row["segment"] == "smoker_lt30"
 
 
-BASE = dict(age=30, sex="male", bmi=25.0, children=0, smoker="no", region="northwest")
+BASE = dict(age=41, sex="female", bmi=26.5, children=2, smoker="no", region="southeast")
 
 
 @pytest.mark.parametrize(
     "change, low, high, segment",
     [
-        (dict(age=25, bmi=22.0), 1_000, 15_000, "Non-smoker"),
-        (dict(age=55, sex="female", bmi=40.0, smoker="yes", region="southwest"), 30_000, 70_000, "Smoker (BMI≥30)"),
-        (dict(bmi=24.0, children=1, smoker="yes", region="northeast"), 15_000, 35_000, "Smoker (BMI<30)"),
+        (dict(age=22, bmi=20.5), 4_500, 10_500, "Non-smoker"),
+        (dict(age=58, sex="male", bmi=37.0, smoker="yes", region="northeast"), 41_000, 58_000, "Smoker (BMI≥30)"),
+        (dict(bmi=26.0, children=0, smoker="yes", region="northwest"), 17_000, 33_000, "Smoker (BMI<30)"),
     ],
 )
 def test_accepted_requests(spark, fitted_scorer, change, low, high, segment):
@@ -207,8 +207,8 @@ def test_accepted_requests(spark, fitted_scorer, change, low, high, segment):
     "request_, field",
     [
         ({k: v for k, v in BASE.items() if k != "age"}, "age"),
-        (BASE | dict(bmi=999), "bmi"),
-        (BASE | dict(smoker="maybe"), "smoker"),
+        (BASE | dict(bmi=88.8), "bmi"),
+        (BASE | dict(smoker="often"), "smoker"),
         (BASE | dict(smoker=None), "smoker"),
         (BASE | dict(age=float("inf")), "age"),
     ],
