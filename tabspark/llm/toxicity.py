@@ -33,12 +33,14 @@ LOOKALIKES = {
     "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "*": "abcdefghijklmnopqrstuvwxyz",
 }
 SEPARATORS = " .-_"
-LONGEST = 80  # characters of a token that can be an obfuscated word
+REMEMBERED = 80  # characters of a part whose reading is remembered
 BEAM = 48
 SINGLE = r"(?:[^\W_]|[@$!|+*])"
-SPACED = re.compile(rf"(?<![^\W_])(?:{SINGLE}[ .\-_]{{1,2}}){{3,}}{SINGLE}(?![^\W_])")
+SPACED = re.compile(rf"(?<![^\W_])(?:{SINGLE}[ .\-_]{{1,2}}){{2,}}{SINGLE}(?![^\W_])")
+NARROW = re.compile(r"(?<![ .\-_])[ .\-_](?![ .\-_])")
+WIDE = re.compile(r"  ")
 MARKED = re.compile(r"[^\W\d_][0-9@$!|+*]|[0-9@$!|+*][^\W\d_]|([^\W\d_])\1\1|(?:([^\W\d_])\2[^\W\d_]?){3}")
-NOISE_ENDS = re.compile(r"^([^\w\s])\1+|([^\w\s])\2+$|[!.,;:?]+$")
+NOISE_ENDS = re.compile(r"^([^\w\s])\1+|([^\w\s])(?<!\2\2)\2+$|(?<![!.,;:?])[!.,;:?]+$")
 PLAIN = re.compile(r"[^\W\d_]+\Z")
 REPEATED = re.compile(r"([^\W\d_])\1\1|(?:([^\W\d_])\2[^\W\d_]?){3}")
 WORD = re.compile(r"[^\W\d_]+")
@@ -46,6 +48,7 @@ CHUNK_CHARS = 1 << 20
 #: log probabilities of the channel
 SAME, SWAP, BORDER, DROP = 0.0, math.log(0.3), math.log(1e-4), math.log(1e-6)
 JOIN, KEEP, ONCE, TWICE = 0.0, math.log(1e-3), math.log(0.5), math.log(0.3)
+GAP, WIDE_JOIN, WIDE_KEEP = math.log(0.1), math.log(0.05), 0.0
 
 
 def symbol(ch: str) -> int:
@@ -113,19 +116,30 @@ def log_probabilities(counts: np.ndarray, weight: float = 20.0) -> np.ndarray:
     return np.log(p3).astype(np.float32)
 
 
-def edges(text: str, at: int) -> list[tuple[int, str, float]]:
-    """(characters consumed, what they stand for, log probability) at a place of the lattice."""
+def run_ends(text: str) -> list[int]:
+    """Per place, where the run of its character ends."""
+    ends = [len(text)] * len(text)
+    for at in range(len(text) - 2, -1, -1):
+        ends[at] = ends[at + 1] if text[at] == text[at + 1] else at + 1
+    return ends
+
+
+def edges(text: str, at: int, end: int, mixed: bool) -> list[tuple[int, str, float]]:
+    """(characters consumed, what they stand for, log probability) at a place of the lattice.
+
+    ``end`` is where the run of the character ends. In a text with both single
+    separators and double spaces (``mixed``), the latter most likely part words.
+    """
     ch = text[at]
     if ch.isalpha():
         out = [(1, ch, SAME)]
-        end = at + 1
-        while end < len(text) and text[end] == ch:
-            end += 1
         if end - at > 1:
             out += [(end - at, ch, ONCE), (end - at, ch * 2, TWICE)]
         return out
     if ch in SEPARATORS:
-        return [(1, "", JOIN), (1, " ", KEEP)]
+        if mixed and text[at - 1 : at + 1] == "  ":
+            return [(1, "", WIDE_JOIN), (1, " ", WIDE_KEEP)]
+        return [(1, "", JOIN), (1, " ", GAP)]
     if ch in LOOKALIKES:
         letters = LOOKALIKES[ch]
         cost = SWAP - math.log(len(letters))
@@ -133,45 +147,54 @@ def edges(text: str, at: int) -> list[tuple[int, str, float]]:
     return [(1, " ", KEEP), (1, "", DROP)]
 
 
-def viterbi(text: str, logp: np.ndarray) -> str:
-    """The likeliest reading of a lower-case string."""
-    layers: list[dict[tuple[int, int], tuple[float, str]]] = [{} for _ in range(len(text) + 1)]
-    layers[0][0, 0] = (0.0, "")
+def viterbi(text: str, logp: np.ndarray, flat: list[float] | None = None) -> str:
+    """The likeliest reading of a lower-case string.
+
+    The work is linear in the length. A state holds its score and a
+    chain of back pointers, which paths share. ``flat`` is ``logp`` as a list.
+    """
+    flat = logp.ravel().tolist() if flat is None else flat
+    ends, mixed = run_ends(text), bool(NARROW.search(text) and WIDE.search(text))
+    # state (last but one * SYMBOLS + last) → (score, (chain before, letters))
+    layers: dict[int, dict[int, tuple[float, tuple | None]]] = {0: {0: (0.0, None)}}
     for at in range(len(text)):
-        layer = layers[at]
+        layer = layers.pop(at, {})
+        options = edges(text, at, ends[at], mixed)
         if len(layer) > BEAM:
             layer = dict(sorted(layer.items(), key=lambda x: -x[1][0])[:BEAM])
-        options = edges(text, at)
-        for (a, b), (score, read) in layer.items():
-            for used, letters, cost in options:
-                x, y, total = a, b, score + cost
-                for letter in letters:
-                    s = symbol(letter)
-                    if s or y:
-                        total += float(logp[x, y, s])
-                        x, y = y, s
-                target = layers[at + used]
-                if (x, y) not in target or target[x, y][0] < total:
-                    target[x, y] = (total, read + letters)
-        layers[at] = {}
-    ends = layers[-1]
-    best = max(ends, key=lambda k: ends[k][0] + (float(logp[k[0], k[1], 0]) if k[1] else 0.0))
-    return ends[best][1]
+        for used, letters, cost in options:
+            target = layers.setdefault(at + used, {})
+            symbols = [symbol(x) for x in letters]
+            for state, (score, chain) in layer.items():
+                total = score + cost
+                for s in symbols:
+                    if s or state % SYMBOLS:
+                        total += flat[state * SYMBOLS + s]
+                        state = state % SYMBOLS * SYMBOLS + s
+                if state not in target or target[state][0] < total:
+                    target[state] = (total, (chain, letters) if letters else chain)
+    last = layers[len(text)]
+    best = max(last, key=lambda k: last[k][0] + (flat[k * SYMBOLS] if k % SYMBOLS else 0.0))
+    chain, read = last[best][1], []
+    while chain:
+        chain, letters = chain
+        read.append(letters)
+    return "".join(reversed(read))
 
 
 class Restorer:
-    """Whole texts with obfuscated words read through the channel; readings are remembered."""
+    """Whole texts with obfuscated words read through the channel; short readings are remembered."""
 
     def __init__(self, logp: np.ndarray) -> None:
-        self.logp, self.known = logp, {}
+        self.logp, self.flat, self.known = logp, logp.ravel().tolist(), {}
 
     def read(self, part: str) -> str:
-        if len(part) > LONGEST:
-            return part
+        if len(part) > REMEMBERED:
+            return viterbi(part, self.logp, self.flat)
         if part not in self.known:
             if len(self.known) > 200_000:
                 self.known.clear()
-            self.known[part] = viterbi(part, self.logp)
+            self.known[part] = viterbi(part, self.logp, self.flat)
         return self.known[part]
 
     def token(self, m: re.Match) -> str:

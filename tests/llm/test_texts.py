@@ -177,6 +177,29 @@ def test_toxicity_reads_through_spelling(spark, toxic_docs):
     assert held.where("predicted <> toxic").count() == 0
 
 
+def spelled(text, gap=" ", wide="  "):
+    return wide.join(gap.join(word) for word in text.split())
+
+
+def test_toxicity_reads_long_parts(spark, toxic_docs, prose):
+    logp = log_probabilities(count_characters(toxic_docs))
+    restore = Restorer(logp)
+    sentence = "you grobnik slorp oak pine elm grobnik slorp you hazel maple"
+    assert len(spelled(sentence)) > 80
+    assert {"grobnik", "slorp"} <= set(restore(spelled(sentence)).split())
+    assert {"grobnik", "slorp"} <= set(restore(spelled(sentence, wide=" ")).split())
+    assert restore("g" + "r" * 100 + "obnik") == "grobnik"
+    assert "grobnik" in restore("gr0bnik-" + "-".join(prose(3, 30).split())).split()
+    assert restore("o.a.k") == "oak" and restore("e l m") == "elm"
+    assert len(restore("a" + "*" * 300 + "b")) == 302
+    model = learn_toxicity(toxic_docs, toxic_docs)
+    asked = spark.createDataFrame(
+        [(1, spelled(sentence)), (2, spelled(prose(4, 40))), (3, "x" * 100_000 + " " + spelled(sentence))],
+        "doc_id long, text string",
+    )
+    assert {r["doc_id"]: r["predicted"] for r in score_toxicity(asked, model).collect()} == {1: 1, 2: 0, 3: 1}
+
+
 def test_toxicity_without_labels(toxic_docs, no_docs):
     one = learn_toxicity(toxic_docs, toxic_docs.where("toxic = 0"))
     assert score_toxicity(toxic_docs, one).where("predicted = 1").count() == 0
