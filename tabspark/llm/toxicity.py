@@ -34,7 +34,7 @@ LOOKALIKES = {
 }
 SEPARATORS = " .-_"
 REMEMBERED = 80  # characters of a part whose reading is remembered
-BEAM = 48
+MANY = 48  # states from which a step over many letters is done with arrays
 SINGLE = r"(?:[^\W_]|[@$!|+*])"
 SPACED = re.compile(rf"(?<![^\W_])(?:{SINGLE}[ .\-_]{{1,2}}){{2,}}{SINGLE}(?![^\W_])")
 NARROW = re.compile(r"(?<![ .\-_])[ .\-_](?![ .\-_])")
@@ -150,7 +150,8 @@ def edges(text: str, at: int, end: int, mixed: bool) -> list[tuple[int, str, flo
 def viterbi(text: str, logp: np.ndarray, flat: list[float] | None = None) -> str:
     """The likeliest reading of a lower-case string.
 
-    The work is linear in the length. A state holds its score and a
+    Exact: a layer keeps every state (the last two symbols), so it is bounded by
+    their number and the work is linear in the length. A state holds its score and a
     chain of back pointers, which paths share. ``flat`` is ``logp`` as a list.
     """
     flat = logp.ravel().tolist() if flat is None else flat
@@ -160,8 +161,10 @@ def viterbi(text: str, logp: np.ndarray, flat: list[float] | None = None) -> str
     for at in range(len(text)):
         layer = layers.pop(at, {})
         options = edges(text, at, ends[at], mixed)
-        if len(layer) > BEAM:
-            layer = dict(sorted(layer.items(), key=lambda x: -x[1][0])[:BEAM])
+        if len(layer) > MANY and len(options) > 10:
+            swapped = [o for o in options if o[1].isalpha()]
+            widen(layer, swapped, logp, layers.setdefault(at + 1, {}))
+            options = [o for o in options if not o[1].isalpha()]
         for used, letters, cost in options:
             target = layers.setdefault(at + used, {})
             symbols = [symbol(x) for x in letters]
@@ -182,6 +185,19 @@ def viterbi(text: str, logp: np.ndarray, flat: list[float] | None = None) -> str
     return "".join(reversed(read))
 
 
+def widen(layer: dict, options: list[tuple[int, str, float]], logp: np.ndarray, target: dict) -> None:
+    """One step of the lattice over many states by one letter each, into an empty target."""
+    scores = np.full((SYMBOLS, SYMBOLS), -np.inf)
+    states = np.fromiter(layer, np.int64, len(layer))
+    scores.flat[states] = [score for score, _ in layer.values()]
+    symbols = [symbol(x) for _, x, _ in options]
+    totals = scores[:, :, None] + logp[:, :, symbols]
+    origin, best = totals.argmax(axis=0), totals.max(axis=0) + [cost for _, _, cost in options]
+    for b in np.unique(states % SYMBOLS).tolist():
+        for (_, x, _), s, a, total in zip(options, symbols, origin[b].tolist(), best[b].tolist()):
+            target[b * SYMBOLS + s] = (total, (layer[a * SYMBOLS + b][1], x))
+
+
 class Restorer:
     """Whole texts with obfuscated words read through the channel; short readings are remembered."""
 

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -12,9 +13,12 @@ from tabspark.llm.mixing import mix_sources, poisson_steps
 from tabspark.llm.toxicity import (
     Restorer,
     count_characters,
+    edges,
     learn_toxicity,
     log_probabilities,
+    run_ends,
     score_toxicity,
+    symbol,
     viterbi,
 )
 
@@ -200,6 +204,34 @@ def test_toxicity_reads_long_parts(spark, toxic_docs, prose):
     assert {r["doc_id"]: r["predicted"] for r in score_toxicity(asked, model).collect()} == {1: 1, 2: 0, 3: 1}
 
 
+def all_readings(text, logp):
+    """Every reading of a text with its log probability, by recursion."""
+    out = {}
+
+    def go(at, read, a, b, score):
+        if at == len(text):
+            out[read] = max(out.get(read, -math.inf), score + (float(logp[a, b, 0]) if b else 0.0))
+            return
+        for used, letters, cost in edges(text, at, run_ends(text)[at], False):
+            x, y, total = a, b, score + cost
+            for letter in letters:
+                if symbol(letter) or y:
+                    total += float(logp[x, y, symbol(letter)])
+                    x, y = y, symbol(letter)
+            go(at + used, read + letters, x, y, total)
+
+    go(0, "", 0, 0, 0.0)
+    return out
+
+
+def test_toxicity_reading_is_the_likeliest():
+    """Random trigrams, where the letters after look-alikes decide."""
+    logp = log_probabilities(np.random.default_rng(3).pareto(0.6, 64**3) * 20)
+    for text in ("**qj", "q**p", "x**g", "v**z", "a**zq", "x**yy"):
+        scores = all_readings(text, logp)
+        assert scores[viterbi(text, logp)] == pytest.approx(max(scores.values()), abs=1e-4)
+
+
 def test_toxicity_without_labels(toxic_docs, no_docs):
     one = learn_toxicity(toxic_docs, toxic_docs.where("toxic = 0"))
     assert score_toxicity(toxic_docs, one).where("predicted = 1").count() == 0
