@@ -11,6 +11,7 @@ task, so no group of equal lengths is ever gathered.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,6 +28,9 @@ from tabspark.llm.common import free_names, require, staged
 PIECES = "key {key}, piece int, start long, length long, ids_crc32 long, task int, nth long"
 #: fixed name of the special token in the vocabulary file
 SPECIAL = "<|endoftext|>"
+SPACES = re.compile(r"\s+")
+#: white-space characters in a row; tiktoken panics at about ten times as many
+LONG_RUN = 100_000
 
 
 @dataclass(frozen=True)
@@ -45,12 +49,17 @@ class Capacity:
     rule: str = "norm"
 
 
+def long_run(text: str) -> bool:
+    return len(text) >= LONG_RUN and any(m.end() - m.start() >= LONG_RUN for m in SPACES.finditer(text))
+
+
 class Encoder:
     """Token ids of the public 50k byte-level BPE vocabulary, whole text at once.
 
     The rank file of the same vocabulary is several times faster and gives the same
     ids; texts that spell the special token go to the other library, which alone
-    turns it into its id.
+    turns it into its id, and so do texts with a very long run of white space, on
+    which the first library's pattern overflows its stack.
     """
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str, end: int) -> None:
@@ -63,7 +72,7 @@ class Encoder:
 
     def __call__(self, text: str | None) -> np.ndarray:
         text = text or ""
-        if SPECIAL in text:
+        if SPECIAL in text or long_run(text):
             if self.slow is None:
                 from tokenizers import Tokenizer
 

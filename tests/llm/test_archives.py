@@ -81,6 +81,17 @@ def test_pieces_are_whole_and_sequences_gapless(spark, odd_docs, no_docs):
     assert pack_documents(odd_docs).count() > 10 and pack_documents(no_docs).count() == 0
 
 
+def test_packing_encodes_long_white_space(spark):
+    """Two million spaces or newlines in a row overflow the faster library's stack."""
+    texts = [" " * 2_000_000 + "oak", "elm" + "\n" * 2_000_000, "fir"]
+    rows = pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    slow = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    for i, text in enumerate(texts):
+        ids = np.array([*slow.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        found = sorted((r["start"], r["length"], r["ids_crc32"]) for r in rows if r["doc_id"] == i)
+        assert found == [(a, n, zlib.crc32(ids[a : a + n])) for a, n in cut(len(ids), 1024)]
+
+
 def test_cut():
     assert cut(1, 4) == [(0, 1)] and cut(4, 4) == [(0, 4)] and cut(9, 4) == [(0, 1), (1, 4), (5, 4)]
 
