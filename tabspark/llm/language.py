@@ -3,14 +3,18 @@
 A text is compressed once per language, each time with that language's zstandard
 raw-content dictionary, i.e. a stretch of known text that matches may point into.
 The language whose dictionary leaves the fewest bytes wins. If the runner-up is
-nearly as small, the text is rejected. Case and what is no letter say little about a
+nearly as small, the text is rejected. Sizes are whole bytes, which a short text
+cannot tell apart: where they tie, the ideal code length under the dictionary's byte
+n-grams is taken, which has fractions. Case and what is no letter say little about a
 language and are levelled first; long texts are compressed in chunks, each with the
 whole dictionary, so that a text does not become its own dictionary.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +31,10 @@ NOISE = re.compile(r"[\W\d_]+")
 CHUNK_BYTES = 4096
 #: bytes of evidence for a factor of e in the score
 BYTES_PER_NAT = 4.0
+#: bytes before a byte that its probability depends on; weight of each order below
+ORDER, SMOOTH = 4, 4.0
+#: bytes of code length that the runner-up of a tie must be longer by, 0.4 bits
+LEAST_BYTES = 0.05
 OUTPUT = "lang_pred string, score double, margin double, rejected boolean"
 
 
@@ -86,6 +94,25 @@ def learn_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", la
     return LanguageModel(names, tuple(b" ".join(found[n])[:dictionary_bytes] for n in names))
 
 
+def byte_counts(data: bytes) -> list[Counter]:
+    """How often each sequence of 1 to ``ORDER + 1`` bytes is in a dictionary."""
+    return [Counter(data[i : i + n] for i in range(len(data) - n + 1)) for n in range(1, ORDER + 2)]
+
+
+def code_length(text: bytes, counts: list[Counter], total: int) -> float:
+    """Ideal bytes for a levelled text, each order smoothed by the one below."""
+    text, out = b" " + text.strip() + b" ", 0.0
+    for i in range(1, len(text)):
+        p = 1 / 256
+        for k in range(min(i, ORDER) + 1):
+            n = counts[k - 1][text[i - k : i]] if k else total
+            if not n:
+                break
+            p = (counts[k][text[i - k : i + 1]] + SMOOTH * p) / (n + SMOOTH)
+        out -= math.log2(p) / 8
+    return out
+
+
 def classifier(model: LanguageModel, min_margin: float):
     """text → (language, score, margin, rejected)."""
     packers = []
@@ -98,18 +125,34 @@ def classifier(model: LanguageModel, min_margin: float):
         shared.precompute_compress(compression_params=how)
         packers.append(zstandard.ZstdCompressor(dict_data=shared, compression_params=how))
 
+    counts: list[list[Counter]] = []
+
+    def ranked(sizes: list[float]) -> tuple[str, float, float, float]:
+        """Language of the smallest size, its score, its margin, and that margin in bytes."""
+        best = min(sizes)
+        score = 1.0 / sum(2.718281828459045 ** max((best - s) / BYTES_PER_NAT, -700.0) for s in sizes)
+        winner = sizes.index(best)
+        others = sizes[:winner] + sizes[winner + 1 :]
+        ahead = min(others) - best if others else best
+        return model.languages[winner], score, ahead / best, ahead
+
     def classify(text: str | None) -> tuple[str, float, float, bool]:
         if text is None or not packers or not LETTER.search(text):
             return UNKNOWN, 0.0, 0.0, True
         data = levelled(text)
         chunks = [data[at : at + CHUNK_BYTES] for at in range(0, len(data), CHUNK_BYTES)]
         sizes = [sum(len(p.compress(c)) for c in chunks) for p in packers]
-        best = min(sizes)
-        score = 1.0 / sum(2.718281828459045 ** max((best - s) / BYTES_PER_NAT, -700.0) for s in sizes)
-        winner = sizes.index(best)
-        others = sizes[:winner] + sizes[winner + 1 :]
-        margin = (min(others) - best) / best if others else 1.0
-        return model.languages[winner], score, margin, margin < min_margin
+        lang, score, margin, ahead = ranked(sizes)
+        least = 0.0
+        if ahead == 0 and 0 < min(sizes) * min_margin < 1:
+            # a single byte would have been margin enough
+            if not counts:
+                counts.extend(byte_counts(x) for x in model.dictionaries)
+            fine = [code_length(data, c, len(x)) for c, x in zip(counts, model.dictionaries)]
+            (lang, score, margin, ahead), least = ranked(fine), LEAST_BYTES
+            if min(fine) >= len(data):  # no dictionary knows such a text
+                return lang, score, 0.0, True
+        return lang, score, margin, margin < min_margin or ahead < least
 
     return classify
 
@@ -119,9 +162,12 @@ def identify_languages(docs: DataFrame, model: LanguageModel, key: str = "doc_id
     """Per document: its key, ``lang_pred``, ``score``, ``margin`` and ``rejected``.
 
     A null text, one without any letter, and every text under a model without
-    languages is ``und``, score and margin 0, rejected. Equal sizes go to the
-    alphabetically first language with margin 0, so they are rejected. Texts are
-    compressed whole. ``margin`` is the runner-up's excess over the smallest size.
+    languages is ``und``, score and margin 0, rejected. Texts are compressed whole.
+    ``margin`` is the runner-up's excess over the smallest size. Where sizes tie and
+    one byte would have been margin enough, score and margin are those of the code
+    lengths; then the runner-up must also be ``LEAST_BYTES`` longer, and a text that
+    no dictionary makes shorter is rejected with margin 0. What ties still
+    goes to the alphabetically first language with margin 0, so it is rejected.
     """
     require(docs, [key, text])
     kind = docs.schema[key].dataType.simpleString()

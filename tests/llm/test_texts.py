@@ -126,6 +126,20 @@ def test_language_on_held_out_folds(spark):
     assert right > 0.95 and total > 200
 
 
+def test_language_of_short_texts(spark):
+    """Starts of held-out texts are clean and short; few may be rejected."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    model = learn_languages(docs.where(fold != 1))
+    starts = docs.where((fold == 1) & F.col("text").rlike("^[A-ZÄÖÜÉ]")).withColumn("text", F.substring("text", 1, 24))
+    rows = identify_languages(starts, model).join(starts.select("doc_id", "lang"), "doc_id").collect()
+    kept = [r for r in rows if not r["rejected"]]
+    assert len(rows) > 200 and len(kept) > 0.95 * len(rows)
+    assert sum(r["lang"] == r["lang_pred"] for r in kept) > 0.9 * len(kept)
+    alien = spark.createDataFrame([(1, "的是不"), (2, "русский")], "doc_id long, text string")
+    assert all(r["rejected"] for r in identify_languages(alien, model).collect())
+
+
 def test_language_on_odd_rows(odd_docs, no_docs):
     model = learn_languages(odd_docs)
     rows = {r["doc_id"]: r for r in identify_languages(odd_docs, model).collect()}
