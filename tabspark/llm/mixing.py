@@ -9,6 +9,7 @@ Copies are then ordered by another hash, which shuffles them globally.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from tabspark.llm.common import free_names, require
 
-#: rate tables up to so many rows (about 100 bytes each) are broadcast
-BROADCAST_SOURCES = 10_000
+#: rate tables of up to so many numbers (8 bytes each) are broadcast
+BROADCAST_NUMBERS = 1_000_000
 TWO_52 = float(2**52)
 
 
@@ -31,13 +32,35 @@ def digest(seed: int, *parts: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *texts))
 
 
-def poisson_steps(rate: Column) -> Column:
-    """The distribution function at 0, 1, 2, … until the tail is below double precision."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
+def first_step(rate: Column) -> Column:
+    """Count below which the distribution function is under double precision."""
+    return F.greatest(F.lit(0), F.floor(rate - 12 * F.sqrt(rate) - 30)).cast("long")
+
+
+def steps_length(rate: Column) -> Column:
+    """Numbers that ``poisson_steps(rate, first_step(rate))`` has."""
+    return F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("long") - first_step(rate) + 1
+
+
+def log_factorial(n: Column) -> Column:
+    """By Stirling's series; exact for 0."""
+    x = n.cast("double")
+    series = x * F.log(x) - x + F.log(2 * math.pi * x) / 2 + 1 / (12 * x) - 1 / (360 * x * x * x)
+    return F.when(n > 0, series).otherwise(0.0)
+
+
+def poisson_steps(rate: Column, first: Column | None = None) -> Column:
+    """The distribution function at first, first + 1, … until the tail is below double precision.
+
+    ``first`` is 0 by default. From :func:`first_step` the array grows with the root of the rate.
+    """
+    first = F.lit(0).cast("long") if first is None else first
+    last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("long")
+    log_p = -rate + F.when(first > 0, first * F.log(rate) - log_factorial(first)).otherwise(0.0)
     start = F.struct(
-        (-rate).alias("log_p"),
-        F.exp(-rate).alias("cdf"),
-        F.array(F.exp(-rate)).alias("steps"),
+        log_p.alias("log_p"),
+        F.exp(log_p).alias("cdf"),
+        F.array(F.exp(log_p)).alias("steps"),
     )
 
     def step(acc: Column, k: Column) -> Column:
@@ -48,7 +71,7 @@ def poisson_steps(rate: Column) -> Column:
             F.concat(acc["steps"], F.array(cdf)).alias("steps"),
         )
 
-    many = F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["steps"])
+    many = F.aggregate(F.sequence(first + 1, last), start, step, lambda acc: acc["steps"])
     return F.when(rate > 0, many).otherwise(F.array(F.lit(1.0)))
 
 
@@ -84,17 +107,22 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source",
     table gives an empty table.
     """
     require(docs, [key, source])
-    src, steps, u, n, copy, order = free_names(
-        docs.columns, "mix_source", "steps", "u", "n_copies", "copy", "shuffle_key"
+    src, first, steps, u, n, copy, order = free_names(
+        docs.columns, "mix_source", "first", "steps", "u", "n_copies", "copy", "shuffle_key"
     )
     rates = source_rates(docs, source, weights, total)
-    table = rates.select(F.col("source").alias(src), poisson_steps(F.col("rate")).alias(steps))
-    if len(rates.select("source").head(BROADCAST_SOURCES + 1)) <= BROADCAST_SOURCES:
+    rate = F.col("rate")
+    table = rates.select(
+        F.col("source").alias(src), first_step(rate).alias(first),
+        poisson_steps(rate, first_step(rate)).alias(steps),
+    )
+    numbers = rates.agg(F.sum(steps_length(rate) + 2).alias("n")).first()["n"] or 0
+    if numbers <= BROADCAST_NUMBERS:
         table = F.broadcast(table)
     copies = (
         docs.join(table, docs[source].eqNullSafe(table[src]))
         .withColumn(u, uniform(seed, docs[key]))
-        .withColumn(n, F.size(F.filter(F.col(steps), lambda c: c <= F.col(u))))
+        .withColumn(n, (F.col(first) + F.size(F.filter(F.col(steps), lambda c: c <= F.col(u)))).cast("int"))
         .where(F.col(n) > 0)
         .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n))))
         .withColumn(order, digest(seed + 1, docs[key], F.col(copy)))

@@ -9,7 +9,7 @@ from tabspark.llm.jaccard_join import JoinRule, keep_one_of_each, similar_docume
 from tabspark.llm.language import identify_languages, keep_identified, learn_languages
 from tabspark.llm.licences import learn_licences, scan_licences
 from tabspark.llm.line_runs import delete_repeated_lines
-from tabspark.llm.mixing import mix_sources, poisson_steps
+from tabspark.llm.mixing import first_step, mix_sources, poisson_steps, steps_length
 from tabspark.llm.toxicity import (
     Restorer,
     count_characters,
@@ -159,6 +159,23 @@ def test_mixing_reaches_the_weights(spark):
     assert got["hot"] == pytest.approx(1500, rel=0.1) and got["cold"] == pytest.approx(4500, rel=0.1)
 
 
+def test_mixing_of_a_rare_source(spark):
+    """The table of a high rate holds a stretch near its mean, with the same inversion."""
+    for rate in (0.5, 40.0, 900.0):
+        whole, part, first, length = spark.range(1).select(
+            poisson_steps(F.lit(rate)), poisson_steps(F.lit(rate), first_step(F.lit(rate))),
+            first_step(F.lit(rate)), steps_length(F.lit(rate)),
+        ).first()
+        assert len(part) == length and first + length == len(whole)
+        assert part == pytest.approx(whole[first:], abs=1e-10)
+        assert first == 0 or whole[first] < 1e-30
+    rows = [(1, "t", "rare"), *((i, "t", "hot") for i in range(2, 1000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mix_sources(docs, total=400_000).where("source = 'rare'").groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.max("n_copies").alias("m")).first()
+    assert out["n"] == out["m"] == pytest.approx(200_000, abs=3000)
+
+
 def test_mixing_on_odd_rows(odd_docs, no_docs, spark):
     out = mix_sources(odd_docs, total=2000)
     assert out.columns == [*odd_docs.columns, "n_copies", "copy", "shuffle_key"]
