@@ -11,6 +11,7 @@ from tabspark.llm.jaccard_join import similar_documents
 from tabspark.llm.language import identify_languages, learn_languages
 from tabspark.llm.licences import learn_licences, scan_licences
 from tabspark.llm.line_runs import delete_repeated_lines
+from tabspark.llm.merkle import lowered_leaf, merkle_manifest
 from tabspark.llm.mixing import mix_sources
 from tabspark.llm.mtree import exact_top_k
 from tabspark.llm.packing import pack_documents
@@ -143,3 +144,84 @@ def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every licence notice in the documents."""
     docs = read_table(spark, sf_dir, "documents")
     return scan_licences(docs, learn_licences(docs))
+
+
+LEVELS = 8
+#: crc32 of a text's bytes, eight shifts a byte
+CRC_SQL = """
+  (list_reduce(list_concat([4294967295::UBIGINT], list_transform(
+     range(1, length({0}) + 1), lambda i: ascii(substr({0}, i, 1))::UBIGINT)),
+   lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]),
+     lambda r, z: xor(r >> 1, 3988292384 * (r & 1)))))"""
+
+
+def unsigned_crc32(text: str) -> str:
+    return f"xor({CRC_SQL.format(text)}, 4294967295)"
+
+
+def merkle_sql() -> str:
+    """Trees of at most 16 ** LEVELS leaves, level by level."""
+
+    def field(x: str, text: str) -> str:
+        return f"coalesce(octet_length(encode({text})) || ':' || {text}, '-')"
+
+    def leaf(text: str) -> str:
+        cells = [field(c, f"{c}::VARCHAR") for c in ("doc_id", "source", "lang", "n_chars")]
+        return f"sha256(concat({', '.join(cells)}, {field('text', text)}))"
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [
+        f"""d AS (
+  SELECT row_number() OVER () AS uid, doc_id, coalesce('=' || source, '-') AS tree, {leaf("text")} AS leaf,
+         CASE WHEN {unsigned_crc32("doc_id::VARCHAR")} % 5 = 0 THEN {leaf(lower)} ELSE {leaf("text")} END AS seen
+  FROM documents)""",
+        """a0 AS (
+  SELECT uid, tree, leaf AS digest, count(*) OVER (PARTITION BY tree) AS n,
+         row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM d)""",
+    ]
+
+    def climb(t: str) -> None:
+        for k in range(LEVELS):
+            parts.append(f"""{t}{k + 1} AS (
+  SELECT tree, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(digest, '' ORDER BY place))
+                    ELSE any_value(digest) END AS digest,
+         (any_value(n) + 15) // 16 AS n, place // 16 AS place
+  FROM {t}{k} GROUP BY tree, place // 16)""")
+
+    climb("a")
+    parts.append(f"""b0 AS (
+  SELECT '' AS tree, tree AS name, digest, count(*) OVER () AS n,
+         row_number() OVER (ORDER BY tree) - 1 AS place FROM a{LEVELS})""")
+    climb("b")
+    parts.append(f"""p0 AS (
+  SELECT d.uid, d.doc_id, d.leaf, d.tree, a0.place, b0.place AS top, '' AS proof, d.seen AS fold
+  FROM d JOIN a0 USING (uid) JOIN b0 ON b0.name = d.tree)""")
+
+    def sides(table: str, tree: str, place: str) -> str:
+        return f"""
+  SELECT v.uid, coalesce(string_agg(s.digest, '' ORDER BY s.place) FILTER (s.place < v.{place}), '') AS l,
+         coalesce(string_agg(s.digest, '' ORDER BY s.place) FILTER (s.place > v.{place}), '') AS r,
+         any_value(s.n) AS n
+  FROM {{before}} v JOIN {table} s ON s.tree = {tree} AND s.place // 16 = v.{place} // 16 GROUP BY v.uid"""
+
+    k = 0
+    for t, tree, place in (("a", "v.tree", "place"), ("b", "''", "top")):
+        for level in range(LEVELS):
+            query_ = sides(f"{t}{level}", tree, place).format(before=f"p{k}")
+            parts.append(f"""p{k + 1} AS (
+  SELECT p.* REPLACE (p.{place} // 16 AS {place}, proof || l || r AS proof,
+                      CASE WHEN x.n > 1 THEN sha256(l || fold || r) ELSE fold END AS fold)
+  FROM p{k} p JOIN ({query_}) x USING (uid))""")
+            k += 1
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT p.doc_id, p.leaf, a.digest AS subroot, b.digest AS root, sha256(p.proof) AS proof_sha256,
+       p.fold AS folded_root, p.fold = b.digest AS verified
+FROM p{k} p JOIN a{LEVELS} a USING (tree) CROSS JOIN b{LEVELS} b"""
+
+
+@query("op13_merkle", merkle_sql())
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, proof and check, a fifth of them after tampering."""
+    docs = read_table(spark, sf_dir, "documents")
+    columns = ("doc_id", "source", "lang", "n_chars", "text")
+    return merkle_manifest(docs, columns=columns, seen=lowered_leaf(docs, columns, "text", fold(5) == 0))
