@@ -15,6 +15,7 @@ from tabspark.llm.merkle import lowered_leaf, merkle_manifest
 from tabspark.llm.mixing import mix_sources
 from tabspark.llm.mtree import exact_top_k
 from tabspark.llm.packing import pack_documents
+from tabspark.llm.prefix_trie import conversation_trie
 from tabspark.llm.registry import query
 from tabspark.llm.toxicity import learn_toxicity, score_toxicity
 from tabspark.llm.warc import archive_folder, read_warc, write_warc
@@ -225,3 +226,43 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     columns = ("doc_id", "source", "lang", "n_chars", "text")
     return merkle_manifest(docs, columns=columns, seen=lowered_leaf(docs, columns, "text", fold(5) == 0))
+
+
+TRIE_SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS x FROM conversations
+  WHERE conv_id IS NOT NULL),
+o AS (
+  SELECT conv_id, list(x ORDER BY turn NULLS FIRST,
+                       md5(octet_length(encode(x.r)) || ':' || x.r || x.t)) AS own
+  FROM t GROUP BY conv_id),
+h AS (SELECT *, ({unsigned_crc32("conv_id::VARCHAR")} % 6)::BIGINT AS h FROM o),
+s AS (
+  SELECT h.conv_id, list_concat(coalesce(b.own[1:h.h], []), h.own[h.h + 1:]) AS turns
+  FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 100),
+m AS (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM s),
+n AS (
+  SELECT turns[1:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(turns) = depth), ''))
+           AS ends_sha256
+  FROM m GROUP BY ALL),
+c AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+f AS (
+  SELECT n.*, coalesce(c.n_children, 0) AS n_children,
+         CASE WHEN depth > 0 THEN (n_convs - 1) * length(path[depth].t) ELSE 0 END AS saved
+  FROM n LEFT JOIN c USING (path)),
+a AS (SELECT path, saved, n_children, unnest(range(0, depth + 1)) AS d FROM f),
+u AS (
+  SELECT path[1:d] AS path, sum(saved)::BIGINT AS saved_tokens,
+         count(*) FILTER (n_children = 0) AS n_leaves FROM a GROUP BY 1)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, u.n_leaves,
+       u.saved_tokens, f.ends_sha256
+FROM f JOIN u USING (path) LEFT JOIN n p ON f.depth > 0 AND p.path = f.path[1:f.depth - 1]
+"""
+
+
+@query("op12_prefix_trie", TRIE_SQL)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct beginning of the rebuilt conversations."""
+    head = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6).cast("int")
+    return conversation_trie(read_table(spark, sf_dir, "conversations"), head)
