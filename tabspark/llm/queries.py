@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabspark.llm.byte_repeats import delete_repeated_bytes
 from tabspark.llm.common import read_table
 from tabspark.llm.kd_search import approximate_neighbours
 from tabspark.llm.jaccard_join import similar_documents
@@ -266,3 +267,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct beginning of the rebuilt conversations."""
     head = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6).cast("int")
     return conversation_trie(read_table(spark, sf_dir, "conversations"), head)
+
+
+@query("op11_byte_repeats")
+def op11_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that a repeated string of 200 bytes covers."""
+    found = delete_repeated_bytes(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
