@@ -3,7 +3,7 @@
 Every window of ``length`` bytes is dealt by the least hash of the short strings in it.
 Equal windows have the same least hash, so they meet. Neighbouring windows with the
 same one stay together as a stretch, and only stretches whose hash occurs more than
-once go on. Equal stretches become one with a count; the different ones of a hash go
+once, in another stretch or at two places of this one, go on. Equal stretches become one with a count; the different ones of a hash go
 to a shard, whose suffix array is built by induced sorting (``induced``). A window is
 repeated if a neighbour in the array shares ``length`` bytes with it, which the
 permuted common prefixes tell, or if its whole stretch is there more than once.
@@ -30,6 +30,8 @@ from tabspark.llm.induced import repeated_starts
 
 #: bytes hashed at once, and windows of a text in one go
 BUFFER = 262_144
+#: bits for a place in the text, below the bits of a hash
+PLACE = 19
 #: most windows of a stretch; beyond, a run of equal hashes is cut
 STRETCH = 512
 #: bytes of a block whose suffix array is built at once
@@ -57,7 +59,10 @@ def short_length(length: int) -> int:
 
 
 def least_hashes(data: np.ndarray, length: int) -> np.ndarray:
-    """For each window of ``length`` bytes the least hash of the short strings in it."""
+    """For each window of ``length`` bytes the least hash of the short strings in it.
+
+    The lower bits tell where the first short string with this hash is.
+    """
     short = short_length(length)
     if len(data) < length:
         return np.zeros(0, np.uint64)
@@ -69,6 +74,8 @@ def least_hashes(data: np.ndarray, length: int) -> np.ndarray:
     while size < short:
         h = scrambled(h[:-size] * SECOND + h[size:])
         size *= 2
+    places = np.arange(len(h), dtype=np.uint64)
+    h = (h >> np.uint64(PLACE)) << np.uint64(PLACE) | places
     wide, size = length - short + 1, 1
     while size * 2 <= wide:
         h = np.minimum(h[:-size], h[size:])
@@ -78,39 +85,48 @@ def least_hashes(data: np.ndarray, length: int) -> np.ndarray:
     return h
 
 
-def stretches(data: bytes, length: int) -> Iterator[tuple[int, int, int]]:
-    """(start, windows, hash) of runs of windows with one least hash."""
+def stretches(data: bytes, length: int) -> Iterator[tuple[int, int, int, int]]:
+    """(start, windows, hash, places) of runs of windows with one least hash.
+
+    ``places`` is 2 if the first short string with this hash is not the same for all
+    windows, as it must be where two of them are equal; else 1.
+    """
     for low in range(0, max(len(data) - length + 1, 0), BUFFER):
         part = np.frombuffer(data, np.uint8)[low : low + BUFFER + length - 1]
         yield from _runs(least_hashes(part, length), low)
 
 
-def _runs(least: np.ndarray, low: int) -> Iterator[tuple[int, int, int]]:
-    starts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
+def _runs(least: np.ndarray, low: int) -> Iterator[tuple[int, int, int, int]]:
+    changes = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
+    hashes = least[changes] >> np.uint64(PLACE)
+    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+    places = np.minimum(np.diff(np.append(first, len(hashes))), 2)
+    starts = changes[first]
     ends = np.append(starts[1:], len(least))
-    for a, b, h in zip(starts.tolist(), ends.tolist(), least[starts].view(np.int64).tolist()):
+    found = hashes[first].astype(np.int64)
+    for a, b, h, n in zip(starts.tolist(), ends.tolist(), found.tolist(), places.tolist()):
         for at in range(a, b, STRETCH):
-            yield low + at, min(STRETCH, b - at), h
+            yield low + at, min(STRETCH, b - at), h, n
 
 
-def _stretches_of(texts: list[bytes], length: int) -> Iterator[tuple[int, int, int, int]]:
-    """(text number, start, windows, hash); short texts are hashed together."""
+def _stretches_of(texts: list[bytes], length: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(text number, start, windows, hash, places); short texts are hashed together."""
     group: list[int] = []
     size = 0
 
-    def together() -> Iterator[tuple[int, int, int, int]]:
+    def together() -> Iterator[tuple[int, int, int, int, int]]:
         least = least_hashes(np.frombuffer(b"".join(texts[i] for i in group), np.uint8), length)
         at = 0
         for i in group:
             n = len(texts[i])
-            for start, windows, h in _runs(least[at : at + n - length + 1], 0):
-                yield i, start, windows, h
+            for run in _runs(least[at : at + n - length + 1], 0):
+                yield i, *run
             at += n
 
     for i, data in enumerate(texts):
         if len(data) >= BUFFER:
-            for start, windows, h in stretches(data, length):
-                yield i, start, windows, h
+            for run in stretches(data, length):
+                yield i, *run
         elif len(data) >= length:
             group.append(i)
             size += len(data)
@@ -122,27 +138,28 @@ def _stretches_of(texts: list[bytes], length: int) -> Iterator[tuple[int, int, i
 
 
 def found_stretches(rows: DataFrame, length: int) -> DataFrame:
-    """(uid, start, windows, key, id): every text's stretches; the id is a digest of their bytes."""
+    """(uid, start, windows, key, places, id): every text's stretches; the id digests their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uids = batch.column(0).to_pylist()
             texts = [value.as_py().encode() for value in batch.column(1)]
-            own, starts, windows, keys, ids = [], [], [], [], []
-            for i, start, n, h in _stretches_of(texts, length):
+            own, starts, windows, keys, places, ids = [], [], [], [], [], []
+            for i, start, n, h, several in _stretches_of(texts, length):
                 own.append(uids[i])
                 starts.append(start)
                 windows.append(n)
                 keys.append(h)
+                places.append(several)
                 ids.append(xxhash.xxh3_128_digest(texts[i][start : start + n + length - 1]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(own, pa.int64()), pa.array(starts, pa.int64()), pa.array(windows, pa.int32()),
-                 pa.array(keys, pa.int64()), pa.array(ids, pa.binary())],
-                names=["uid", "start", "windows", "key", "id"],
+                 pa.array(keys, pa.int64()), pa.array(places, pa.int32()), pa.array(ids, pa.binary())],
+                names=["uid", "start", "windows", "key", "places", "id"],
             )
 
     texts = rows.where(F.octet_length("text") >= length).select("uid", "text")
-    return texts.mapInArrow(run, "uid long, start long, windows int, key long, id binary")
+    return texts.mapInArrow(run, "uid long, start long, windows int, key long, places int, id binary")
 
 
 def with_bytes(rows: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
@@ -209,6 +226,49 @@ def _block_repeats(block: list[tuple[int, bytes, int, bytes]], length: int) -> p
     )
 
 
+def cut_up(strings: DataFrame, length: int, width: int) -> DataFrame:
+    """(whole, at, copies, key, id, body): pieces of ``width`` windows at most of each string.
+
+    Windows are parted by their distance to the short string with the least hash, so
+    that equal ones are in pieces of one kind; those of a kind all contain the bytes that
+    the piece's key is made of.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 500):
+                ids, copies, bodies = (batch.column(i).slice(low, 500).to_pylist() for i in range(3))
+                out: list[list] = [[], [], [], [], [], []]
+                for own, n, body in zip(ids, copies, bodies):
+                    for at, key, piece in _pieces(body, length, width):
+                        row = (own, at, n, key, xxhash.xxh3_128_digest(piece), piece)
+                        for column, value in zip(out, row):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(column, kind) for column, kind in zip(out, kinds)], names=names
+                )
+
+    names = ["whole", "at", "copies", "key", "id", "body"]
+    kinds = [pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    schema = "whole binary, at int, copies long, key long, id binary, body binary"
+    return strings.mapInArrow(run, schema)
+
+
+def _pieces(body: bytes, length: int, width: int) -> Iterator[tuple[int, int, bytes]]:
+    """(first window, key, bytes) of each piece."""
+    least = least_hashes(np.frombuffer(body, np.uint8), length)
+    place = (least & np.uint64((1 << PLACE) - 1)).astype(np.int64)
+    kind = (place - np.arange(len(place))) // width
+    new = np.flatnonzero((np.diff(place) != 0) | (np.diff(kind) != 0)) + 1
+    starts = np.concatenate([[0], new])
+    for a, b in zip(starts.tolist(), np.append(new, len(place)).tolist()):
+        q = int(kind[a])
+        core = int(place[a]) - q * width
+        common = body[core : core + max(length + 1 - width, 0)]
+        key = xxhash.xxh3_64_intdigest(common, seed=q) - 2**63
+        yield a, key, body[a : b + length - 1]
+
+
 def repeated_windows(strings: DataFrame, length: int, crowd: int = CROWD,
                      pieces: tuple[int, ...] = PIECES) -> DataFrame:
     """(id, low, n): runs of windows of the distinct ``strings`` that occur more than once."""
@@ -220,22 +280,12 @@ def repeated_windows(strings: DataFrame, length: int, crowd: int = CROWD,
         return shard_repeats(strings, length, tasks)
     hot = sizes.where(F.col("k") > crowd).select("key")
     found = shard_repeats(strings.join(hot, "key", "left_anti"), length, tasks)
-    windows = F.octet_length("body") - (length - 1)
-    own = strings.join(hot, "key", "left_semi").select(
-        F.col("id").alias("whole"), "copies", "body", windows.alias("windows"),
-        F.explode(F.sequence(F.lit(0), windows - 1, F.lit(pieces[0]))).alias("at"),
-    )
-    n = F.least(F.lit(pieces[0]), F.col("windows") - F.col("at"))
-    # all windows of a piece contain the bytes from its last start to its first end
-    common = F.substring("body", F.col("at") + n, F.lit(length + 1) - n)
-    own = own.select(
-        "whole", "at", "copies", F.xxhash64(common).alias("key"),
-        F.substring("body", F.col("at") + 1, n + length - 1).alias("body"),
-    ).withColumn("id", F.unhex(F.md5("body")))
+    own = strings.join(hot, "key", "left_semi").select("id", "copies", "body")
+    own = cut_up(own, length, pieces[0])
     own = staged(own, "pieces")
     kinds = own.groupBy("key", "id").agg(F.sum("copies").alias("copies"), F.min("body").alias("body"))
     inside = staged(repeated_windows(staged(kinds, "kinds"), length, crowd, pieces[1:]), "inside")
-    back = own.select("id", F.col("whole"), "at").join(inside, "id").select(
+    back = own.select("id", "whole", "at").join(inside, "id").select(
         F.col("whole").alias("id"), (F.col("at") + F.col("low")).alias("low"), "n"
     )
     return found.union(back)
@@ -244,7 +294,7 @@ def repeated_windows(strings: DataFrame, length: int, crowd: int = CROWD,
 def repeated_spans(rows: DataFrame, length: int, crowd: int = CROWD) -> DataFrame | None:
     """(uid, spans): starts and numbers of windows of each text that also stand elsewhere."""
     every = staged(found_stretches(rows, length), "stretches")
-    often = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    often = every.groupBy("key").agg(F.sum("places").alias("n")).where("n > 1").select("key")
     every = staged(every.join(often, "key", "left_semi"), "candidates")
     kinds = every.groupBy("key", "id").agg(
         F.count("*").alias("copies"), F.min(F.struct("uid", "start", "windows")).alias("p")
