@@ -35,28 +35,33 @@ def induced_names(text: np.ndarray, is_s: np.ndarray, sorted_lms: np.ndarray) ->
     n = len(text)
     sizes = np.bincount(text)
     ends = np.cumsum(sizes)
-    s, kinds = text.tolist(), is_s.tolist()
     sa = [-1] * n
     tails = ends.tolist()
-    for i in reversed(sorted_lms.tolist()):
-        c = s[i]
+    names = text[sorted_lms]
+    for i, c in zip(sorted_lms[::-1].tolist(), names[::-1].tolist()):
         tails[c] -= 1
         sa[tails[c]] = i
-    heads = (ends - sizes).tolist()
-    for i in range(n):
-        j = sa[i] - 1
-        if j >= 0 and not kinds[j]:
-            c = s[j]
+
+    def left(kind: bool) -> list[int]:
+        """Per position the name to its left if that is of the kind, else −1; free entries ask for the last."""
+        out = np.full(n + 1, -1, np.int64)
+        out[1:n] = np.where(is_s[:-1] == kind, text[:-1], -1)
+        return out.tolist()
+
+    # lists show their iterators what is put ahead of them
+    heads, before = (ends - sizes).tolist(), left(False)
+    for x in sa:
+        c = before[x]
+        if c >= 0:
             p = heads[c]
-            sa[p] = j
+            sa[p] = x - 1
             heads[c] = p + 1
-    tails = ends.tolist()
-    for i in range(n - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and kinds[j]:
-            c = s[j]
+    tails, before = ends.tolist(), left(True)
+    for x in reversed(sa):
+        c = before[x]
+        if c >= 0:
             p = tails[c] - 1
-            sa[p] = j
+            sa[p] = x - 1
             tails[c] = p
     return np.array(sa, np.int64)
 
