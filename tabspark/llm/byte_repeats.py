@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabspark.llm.common import blocks, free_names, require, staged
+from tabspark.llm.common import blocks, bucketed, free_names, require, staged
 from tabspark.llm.induced import repeated_starts
 
 #: bytes hashed at once, and windows of a text in one go
@@ -38,6 +38,9 @@ STRETCH = 512
 BLOCK = 262_144
 #: bytes of stretches in one task
 SHARD = 4_000_000
+#: bytes of texts in one bucket, and most buckets
+BUCKET = 32_000_000
+BUCKETS = 50_000
 #: different stretches of a hash that are not split, and the windows of its pieces
 CROWD = 800
 PIECES = (16, 1)
@@ -291,7 +294,7 @@ def repeated_windows(strings: DataFrame, length: int, crowd: int = CROWD,
     return found.union(back)
 
 
-def repeated_spans(rows: DataFrame, length: int, crowd: int = CROWD) -> DataFrame | None:
+def repeated_spans(rows: DataFrame, length: int, crowd: int = CROWD) -> DataFrame:
     """(uid, spans): starts and numbers of windows of each text that also stand elsewhere."""
     every = staged(found_stretches(rows, length), "stretches")
     often = every.groupBy("key").agg(F.sum("places").alias("n")).where("n > 1").select("key")
@@ -299,10 +302,13 @@ def repeated_spans(rows: DataFrame, length: int, crowd: int = CROWD) -> DataFram
     kinds = every.groupBy("key", "id").agg(
         F.count("*").alias("copies"), F.min(F.struct("uid", "start", "windows")).alias("p")
     ).select("key", "id", "copies", "p.*")
-    strings = staged(with_bytes(rows, kinds, length), "strings")
-    if not strings.head(1):
-        return None
-    found = staged(repeated_windows(strings, length, crowd), "found")
+    kinds = staged(kinds, "kinds")
+    # a hash whose stretches are all alike has nothing to compare: each of their windows is repeated
+    per_key = kinds.groupBy("key").agg(F.count("*").alias("k"), F.min("copies").alias("least"))
+    alike = per_key.where("k = 1 AND least > 1").select("key")
+    found = kinds.join(alike, "key", "left_semi").select("id", F.lit(0).alias("low"), F.col("windows").alias("n"))
+    strings = staged(with_bytes(rows, kinds.join(alike, "key", "left_anti"), length), "strings")
+    found = staged(found.union(repeated_windows(strings, length, crowd)), "found")
     spans = every.select("uid", "start", "id").join(found, "id").groupBy("uid").agg(
         F.collect_list(F.struct((F.col("start") + F.col("low")).alias("low"), "n")).alias("spans")
     )
@@ -334,17 +340,14 @@ def delete_repeated_bytes(docs: DataFrame, text: str = "text", length: int = 200
     require(docs, [text])
     others = [c for c in docs.columns if c != text]
     names = free_names(others, "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", "kept")
-    uid = free_names(docs.columns, "row_uid")[0]
-    whole = staged(docs.withColumn(uid, F.monotonically_increasing_id()), "rows")
-    rows = whole.select(F.col(uid).alias("uid"), F.col(text).alias("text"))
-    spans = repeated_spans(rows, length, crowd)
-    runs = F.lit(None).cast("array<struct<low:long,n:int>>")
-    if spans is not None:
-        spans = spans.withColumnRenamed("uid", f"{uid}_s").withColumnRenamed("spans", f"{uid}_r")
-        whole = whole.join(spans, F.col(uid) == F.col(f"{uid}_s"), "left")
-        runs = F.col(f"{uid}_r")
     rest: Column = F.struct(*others) if others else F.struct(F.lit(0).alias("none"))
-    given = whole.select(F.col(text).alias("text"), runs.alias("runs"), rest.alias("rest"))
+    whole = docs.select(
+        F.monotonically_increasing_id().alias("uid"), F.col(text).cast("string").alias("text"), rest.alias("rest")
+    )
+    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    whole = bucketed(whole, "uid", min(blocks(size, BUCKET), BUCKETS))
+    spans = repeated_spans(whole.select("uid", "text"), length, crowd)
+    given = whole.join(spans, "uid", "left").select("text", F.col("spans").alias("runs"), "rest")
     kind = given.schema["rest"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

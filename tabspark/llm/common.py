@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Write ``df`` to the shared scratch folder in buckets of ``key`` and read it back.
+
+    Joins on the key then leave these rows where they are.
+    """
+    name = f"tabspark_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option(
+        "path", scratch_path(df.sparkSession, name)
+    ).option("compression", "zstd").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
     """Column names like ``wanted`` that do not clash with ``taken``, whatever the case."""
     used = {c.lower() for c in taken}
