@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from tabspark.operators.leaderboard import best_model
 from tabspark.operators.metrics import mean_of, regression_metrics, to_long
 from tabspark.operators.scale import Scaler, fit_scaler
+from tabspark.plans.lad import LeastAbsolute
 
 # Seeds of the run and of the three ensemble members, rounds of patience.
 SEED = 29
@@ -66,38 +67,6 @@ class Patience:
         return model if kept == len(losses) else estimator.copy().setMaxIter(kept).fit(fit)
 
 
-@dataclass(frozen=True)
-class LeastAbsolute:
-    """A linear model of least absolute error, by reweighted least squares.
-
-    A row weighs the inverse of its last error, errors below the share ``floor`` of
-    their mean counting as that. The best model met is kept; the rounds end when one
-    improves the mean error by less than the share ``least``.
-    """
-
-    rounds: int = 30
-    floor: float = 1e-4
-    least: float = 1e-7
-
-    def __call__(self, estimator: LinearRegression, rows: DataFrame) -> LinearRegressionModel:
-        rows = rows.select(estimator.getFeaturesCol(), estimator.getLabelCol())
-        gap = F.abs(F.col(estimator.getLabelCol()) - F.col("prediction"))
-        weighted = estimator.copy().setWeightCol("row_weight")
-        best, lowest, model = None, float("inf"), estimator.fit(rows)
-        for _ in range(self.rounds):
-            scored = model.transform(rows)
-            error = scored.agg(F.avg(gap)).first()[0]
-            if error < lowest * (1 - self.least):
-                best, lowest = model, error
-            else:
-                break
-            if error == 0:
-                break
-            weight = 1 / F.greatest(gap, F.lit(self.floor * error))
-            model = weighted.fit(scored.withColumn("row_weight", weight).drop("prediction"))
-        return best
-
-
 @dataclass(frozen=True)
 class Experiment:
     """One rung: which features, scaled or not, which estimator.

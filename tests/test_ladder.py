@@ -9,7 +9,6 @@ from tabspark.plans.ladder import (
     Experiment,
     Fitted,
     Ladder,
-    LeastAbsolute,
     Patience,
     absolute_error_ladder,
     assembled,
@@ -20,6 +19,7 @@ from tabspark.plans.ladder import (
     objective_history,
     seed_ensemble,
 )
+from tabspark.plans.lad import LeastAbsolute
 from tabspark.sources import load_model, save_model
 from tabspark.spec import medical_charges
 
@@ -155,14 +155,6 @@ def test_patience_keeps_the_best_round(train):
     assert len(Patience(3)(eager, fit).trees) == 12  # nothing to judge by
 
 
-def test_least_absolute_error_meets_the_group_medians(spark):
-    data = [(float(i % 2), float(v)) for i, v in enumerate([0, 7, 1, 8, 2, 9, 90, 10, 3, 800])]
-    df = assembled(spark.createDataFrame(data, "g double, y double"), ["g"], "y")
-    model = LeastAbsolute()(LinearRegression(), df)
-    assert model.intercept == pytest.approx(2, abs=0.05)
-    assert model.intercept + model.coefficients[0] == pytest.approx(9, abs=0.05)
-
-
 def test_linear_objective_history(spark, train):
     rung = Experiment("m", SETS["base"], LinearRegression(loss="huber", maxIter=15))
     model = fit_experiment(rung, train, "charges").model.stages[-1]

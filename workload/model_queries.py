@@ -11,7 +11,6 @@ from tabspark.plans.ladder import (
     SEED,
     Experiment,
     Ladder,
-    LeastAbsolute,
     Patience,
     assembled,
     cached,
@@ -19,6 +18,7 @@ from tabspark.plans.ladder import (
     loss_history,
     seed_ensemble,
 )
+from tabspark.plans.lad import LeastAbsolute
 from tabspark.session import scratch_path
 from tabspark.sources.store import load_model, save_model
 from tabspark.spec import Derived
@@ -136,7 +136,7 @@ def small_ladder(spec) -> Ladder:
     )
     return Ladder(
         [
-            Experiment("M1: linear, unscaled", base, LinearRegression(), fit=LeastAbsolute(5)),
+            Experiment("M1: linear, unscaled", base, LinearRegression(), fit=LeastAbsolute()),
             Experiment("M2: trees, scaled", base, trees, scale=True),
             Experiment("M3: all features + early stop", full, trees, scale=True, fit=Patience(2)),
             Experiment("BL: Linear", full, LinearRegression()),
@@ -309,7 +309,7 @@ def early_stop_patience(spark, sf_dir):
     f"""WITH {ORDER_FRAME_SQL},
   m AS (SELECT o_orderstatus, median(o_totalprice) AS m FROM frame WHERE split = 'train'
         GROUP BY o_orderstatus)
-  SELECT count(*) AS n, {rnd('avg(abs(o_totalprice - m))', 0)} AS mae
+  SELECT count(*) AS n, {rnd('avg(abs(o_totalprice - m))', 4)} AS mae
   FROM frame JOIN m USING (o_orderstatus) WHERE split = 'train'""",
 )
 def lad_status(spark, sf_dir):
@@ -318,9 +318,34 @@ def lad_status(spark, sf_dir):
     rung = Experiment("lad", tuple(spec.names), LinearRegression(), fit=LeastAbsolute())
     with cached(frame.where("split = 'train'")) as train:
         fitted = fit_experiment(rung, train, TARGET)
-    found = fitted.predict(frame.where("split = 'train'"), "p")
-    error = F.avg(F.abs(F.col(TARGET) - F.col("p")))
-    return found.agg(F.count("*").alias("n"), F.round(error, 0).alias("mae"))
+        found = fitted.predict(train, "p")
+        error = F.avg(F.abs(F.col(TARGET) - F.col("p")))
+        row = found.agg(F.count("*"), F.round(error, 4)).first()
+    return spark.createDataFrame([tuple(row)], "n bigint, mae double")
+
+
+@query(
+    "lad_slopes",
+    f"""WITH {ORDER_FRAME_SQL},
+  r AS (SELECT segment, o_totalprice AS y, c_acctbal AS x, o_totalprice / c_acctbal AS ratio,
+               abs(c_acctbal) AS w FROM frame WHERE split = 'train' AND c_acctbal <> 0),
+  h AS (SELECT *, sum(w) OVER (PARTITION BY segment ORDER BY ratio, x) AS upto,
+               sum(w) OVER (PARTITION BY segment) AS whole FROM r),
+  b AS (SELECT segment, min(ratio) AS slope FROM h WHERE upto * 2 >= whole GROUP BY segment),
+  f AS (SELECT segment, o_totalprice AS y, c_acctbal AS x FROM frame WHERE split = 'train')
+  SELECT count(*) AS n, {rnd('avg(abs(y - slope * x))', 4)} AS mae FROM f JOIN b USING (segment)""",
+)
+def lad_slopes(spark, sf_dir):
+    """Lines through the origin, one per segment: their slopes are weighted medians of y / x."""
+    frame = split_orders(spark, sf_dir).where("split = 'train'")
+    segment = ORDER_SEGMENTS.column(fold=False)
+    parts = {f"x{i}": F.when(segment == s, F.col("c_acctbal")).otherwise(0.0)
+             for i, s in enumerate(("other", "pending_lt5k", "pending_ge5k"))}
+    rung = Experiment("lad", tuple(parts), LinearRegression(fitIntercept=False), fit=LeastAbsolute())
+    with cached(frame.select(TARGET, *[x.alias(name) for name, x in parts.items()])) as train:
+        found = fit_experiment(rung, train, TARGET).predict(train, "p")
+        row = found.agg(F.count("*"), F.round(F.avg(F.abs(F.col(TARGET) - F.col("p"))), 4)).first()
+    return spark.createDataFrame([tuple(row)], "n bigint, mae double")
 
 
 @query(
