@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager, nullcontext
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import (
+    DecisionTreeRegressor,
     GBTRegressionModel,
     GBTRegressor,
     LinearRegression,
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from tabspark.operators.leaderboard import best_model
 from tabspark.operators.metrics import mean_of, regression_metrics, to_long
 from tabspark.operators.scale import Scaler, fit_scaler
+from tabspark.plans.bagging import PoissonBag
+from tabspark.plans.boosting import Plateau
 from tabspark.plans.lad import LeastAbsolute
 
 # Seeds of the run and of the three ensemble members, rounds of patience.
@@ -222,12 +225,17 @@ class Ladder:
 
 
 def seed_ensemble(name: str, features: Sequence[str], estimator: Estimator, target: str,
-                  scale: bool = False, seeds: Sequence[int] = ENSEMBLE_SEEDS) -> Ladder:
-    """Same configuration under several seeds, plus their mean as ``Ensemble``."""
+                  scale: bool = False, seeds: Sequence[int] = ENSEMBLE_SEEDS,
+                  key: str | None = None) -> Ladder:
+    """Same configuration under several seeds, plus their mean as ``Ensemble``.
+
+    With ``key`` each member is fitted on a Poisson bag of the rows by its seed.
+    """
     rungs = [
-        Experiment(f"{name} seed {s}", tuple(features), estimator.copy().setSeed(s), scale)
+        Experiment(f"{name} seed {s}", tuple(features), estimator.copy().setSeed(s), scale,
+                   fit=PoissonBag(key, s) if key else None)
         for s in seeds
-    ]
+    ]
     ladder = Ladder(rungs, target)
     return ladder.add_ensemble(f"{name} Ensemble", [r.name for r in rungs])
 
@@ -251,22 +259,36 @@ def baselines(features: Sequence[str]) -> list[Experiment]:
     ]
 
 
+def titled(number: int, of: str, experiment: Experiment) -> Experiment:
+    """The experiment under a name that tells its number, features, kind, scaling and fit."""
+    kind = type(experiment.estimator).__name__
+    parts = [kind, f"{of} features", "standardised" if experiment.scale else "as they are"]
+    if experiment.fit:
+        parts.append(type(experiment.fit).__name__)
+    return replace(experiment, name=f"M{number} {', '.join(parts)}")
+
+
 def absolute_error_ladder(sets: Mapping[str, Sequence[str]], rounds: int = 300,
                           patience: int = PATIENCE) -> list[Experiment]:
     """Rungs trained on absolute error, from linear unscaled to all features.
 
     ``sets`` maps base / basic / full to feature names. The last two stop early
-    on the rows flagged ``is_validation`` and keep their best round.
+    on the rows flagged ``is_validation`` and keep their best round; the very last
+    also halves its rate after half that patience.
     """
     trees = GBTRegressor(lossType="absolute", maxIter=rounds, maxDepth=4, stepSize=0.1, seed=SEED)
-    stop = Patience(patience)
-    base, basic, full = (tuple(sets[k]) for k in ("base", "basic", "full"))
+    tree = DecisionTreeRegressor(maxDepth=4, seed=SEED)
+    falling = Plateau(rounds=rounds, patience=patience, flat=max(1, patience // 2))
+    plan = [
+        ("base", False, LinearRegression(), LeastAbsolute()),
+        ("base", False, trees, None),
+        ("base", True, trees, None),
+        ("basic", True, trees, Patience(patience)),
+        ("full", True, tree, falling),
+    ]
     return [
-        Experiment("M1: linear, unscaled", base, LinearRegression(), fit=LeastAbsolute()),
-        Experiment("M2: trees, unscaled", base, trees),
-        Experiment("M3: trees, scaled", base, trees, scale=True),
-        Experiment("M4: scaled + 2 interactions + early stop", basic, trees, scale=True, fit=stop),
-        Experiment("M5: all features + early stop", full, trees, scale=True, fit=stop),
+        titled(i, of, Experiment("", tuple(sets[of]), estimator, scale, fit=fit))
+        for i, (of, scale, estimator, fit) in enumerate(plan, start=1)
     ]
 
 

@@ -14,6 +14,7 @@ from tabspark.operators import metrics, profile
 from tabspark.operators.encode import encode
 from tabspark.operators.split import HashSplit, fit_split
 from tabspark.operators.validate import null_audit
+from tabspark.plans.bagging import PoissonBag
 from tabspark.plans.ladder import ENSEMBLE_SEEDS, Experiment, Ladder, cached
 from tabspark.plans.scoring import Scorer
 from tabspark.sources.records import read_csv, read_keyed
@@ -78,7 +79,10 @@ def profile_table(df: DataFrame, preset: Preset, bins: int = 40) -> dict[str, Da
 
 
 def _with_ensemble(experiments: Sequence[Experiment], of: str, target: str) -> Ladder:
-    """Add the seed ensemble of one experiment; its members are no candidates of their own."""
+    """Add the seed ensemble of one experiment, each member fitted on a bag of its own seed.
+
+    Members are no candidates of their own.
+    """
     ladder = Ladder(list(experiments), target)
     base = next(e for e in experiments if e.name == of)
     members = []
@@ -86,7 +90,8 @@ def _with_ensemble(experiments: Sequence[Experiment], of: str, target: str) -> L
         name = f"Ensemble member, seed {seed}"
         members.append(name)
         estimator = base.estimator.copy().setSeed(seed)
-        ladder.experiments.append(Experiment(name, base.features, estimator, base.scale))
+        bag = PoissonBag(KEY, seed, inner=base.fit)
+        ladder.experiments.append(Experiment(name, base.features, estimator, base.scale, fit=bag))
     return ladder.add_ensemble(f"Ensemble of {of}", members)
 
 

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import (
+    DecisionTreeRegressor,
+    GBTRegressor,
+    LinearRegression,
+    RandomForestRegressor,
+)
 from pyspark.sql import functions as F
 
 from tabspark.operators import metrics
 from tabspark.operators.encode import encode, learn_spec
+from tabspark.plans.bagging import HEX, SPAN, PoissonForest, poisson_steps
+from tabspark.plans.boosting import Plateau
 from tabspark.plans.ladder import (
+    ENSEMBLE_SEEDS,
     SEED,
     Experiment,
     Ladder,
@@ -136,9 +144,9 @@ def small_ladder(spec) -> Ladder:
     )
     return Ladder(
         [
-            Experiment("M1: linear, unscaled", base, LinearRegression(), fit=LeastAbsolute()),
-            Experiment("M2: trees, scaled", base, trees, scale=True),
-            Experiment("M3: all features + early stop", full, trees, scale=True, fit=Patience(2)),
+            Experiment("M1: least absolute error", base, LinearRegression(), fit=LeastAbsolute()),
+            Experiment("M2: boosted on absolute error", base, trees, scale=True),
+            Experiment("M3: boosted with patience", full, trees, scale=True, fit=Patience(2)),
             Experiment("BL: Linear", full, LinearRegression()),
             Experiment("BL: Forest", full, forest),
             Experiment("BL: Boosting", full, boosting),
@@ -184,16 +192,6 @@ def ladder_changes(spark, sf_dir):
     )
 
 
-@query("seed_ensemble")
-def seed_ensemble_small(spark, sf_dir):
-    """Three seeds of one configuration and their mean."""
-    encoded, spec = encoded_orders(spark, sf_dir)
-    estimator = GBTRegressor(lossType="absolute", maxIter=3, maxDepth=3, subsamplingRate=0.5)
-    ladder = seed_ensemble("M6", spec.names, estimator, TARGET)
-    ladder.fit(encoded.where("split = 'train'"), parallelism=3)
-    return ladder.metrics(encoded.where("split = 'test'"))
-
-
 @query("gbt_history")
 def gbt_history(spark, sf_dir):
     """Training and validation loss per boosting round."""
@@ -269,6 +267,95 @@ def seed_ensemble_status(spark, sf_dir):
     return ladder.metrics(frame.where("split = 'test'"))
 
 
+def bags_sql(seeds: dict[str, str | int]) -> str:
+    """Columns w_… with the Poisson weights of the training rows, and each bag's means by status."""
+    def weight(seed) -> str:
+        u = f"('0x' || substr(md5('{seed}:' || o_orderkey), 1, {HEX}))::BIGINT / {SPAN!r}"
+        return " + ".join(f"CAST({u} >= {step!r} AS INTEGER)" for step in poisson_steps())
+
+    weights = ", ".join(f"{weight(seed)} AS w_{name}" for name, seed in seeds.items())
+    means = ", ".join(f"sum(w_{n} * o_totalprice) / sum(w_{n}) AS m_{n}" for n in seeds)
+    return f"""{ORDER_FRAME_SQL},
+  bags AS (SELECT o_orderstatus, o_totalprice, {weights} FROM frame WHERE split = 'train'),
+  means AS (SELECT o_orderstatus, {means} FROM bags GROUP BY o_orderstatus),
+  p AS (SELECT o_totalprice AS actual, means.* FROM frame JOIN means USING (o_orderstatus)
+        WHERE split = 'test')"""
+
+
+SEEDS = {str(seed): seed for seed in ENSEMBLE_SEEDS}
+MEMBERS_SQL = " UNION ALL ".join(
+    f"SELECT 'M6 seed {s}' AS model, actual, m_{s} AS prediction FROM p" for s in SEEDS
+)
+
+
+@query(
+    "seed_ensemble",
+    f"""WITH {bags_sql(SEEDS)}, long AS ({MEMBERS_SQL} UNION ALL
+      SELECT 'M6 Ensemble', actual, ({' + '.join(f'm_{s}' for s in SEEDS)}) / {len(SEEDS)} FROM p)
+    {metrics_sql('model', 'long')}""",
+)
+def seed_ensemble_bagged(spark, sf_dir):
+    """Three members, each boosted on a bag of its own seed, and their mean."""
+    frame, spec = status_frame(spark, sf_dir)
+    ladder = seed_ensemble("M6", spec.names, status_boosting(), TARGET, key="o_orderkey")
+    ladder.fit(frame.where("split = 'train'"), parallelism=3)
+    return ladder.metrics(frame.where("split = 'test'"))
+
+
+FOREST = {str(i): f"{SEED}:{i}" for i in range(5)}
+
+
+@query(
+    "forest_status",
+    f"""WITH {bags_sql(FOREST)}, long AS (
+      SELECT 'BL: Forest' AS model, actual, ({' + '.join(f'm_{i}' for i in FOREST)}) / 5 AS prediction FROM p)
+    {metrics_sql('model', 'long')}""",
+)
+def forest_status(spark, sf_dir):
+    """Five trees, each on a bag of its own: the mean of the bags' means by status."""
+    frame, spec = status_frame(spark, sf_dir)
+    rung = Experiment("BL: Forest", tuple(spec.names), DecisionTreeRegressor(maxDepth=3),
+                      fit=PoissonForest("o_orderkey", 5, SEED))
+    ladder = Ladder([rung], TARGET).fit(frame.where("split = 'train'"))
+    return ladder.metrics(frame.where("split = 'test'"))
+
+
+FALLING = Plateau(rounds=14, rate=0.6, flat=2, patience=7, least=1e-7, loss="squared")
+
+
+@query(
+    "rate_plateau",
+    f"""WITH RECURSIVE {ORDER_FRAME_SQL},
+  fit AS (SELECT o_orderstatus, o_totalprice AS y FROM frame WHERE split = 'train' AND NOT is_validation),
+  m AS (SELECT o_orderstatus, avg(y) - (SELECT avg(y) FROM fit) AS d FROM fit GROUP BY o_orderstatus),
+  v AS (SELECT o_totalprice - (SELECT avg(y) FROM fit) AS e, d FROM frame JOIN m USING (o_orderstatus)
+        WHERE split = 'train' AND is_validation),
+  q AS (SELECT avg(e * e) AS ee, avg(e * d) AS ed, avg(d * d) AS dd FROM v),
+  rounds AS (
+    SELECT 0 AS k, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS rate, CAST(0 AS DOUBLE) AS loss,
+      CAST('infinity' AS DOUBLE) AS best, 0 AS best_k, 0 AS stale, 0 AS waited,
+      CAST({FALLING.rate} AS DOUBLE) AS next_rate
+    UNION ALL
+    SELECT k, a, rate, loss, CASE WHEN better THEN loss ELSE best END, CASE WHEN better THEN k ELSE best_k END,
+      CASE WHEN better OR stale + 1 >= {FALLING.flat} THEN 0 ELSE stale + 1 END,
+      CASE WHEN better THEN 0 ELSE waited + 1 END,
+      CASE WHEN NOT better AND stale + 1 >= {FALLING.flat}
+           THEN greatest(rate * {FALLING.factor}, {FALLING.least_rate}) ELSE rate END
+    FROM (SELECT *, loss < best * (1 - {FALLING.least}) AS better FROM (
+      SELECT *, ee - 2 * a * ed + a * a * dd AS loss FROM (
+        SELECT k + 1 AS k, a + next_rate * (1 - a) AS a, next_rate AS rate, best, best_k, stale, waited
+        FROM rounds WHERE k < {FALLING.rounds} AND waited < {FALLING.patience}) CROSS JOIN q)))
+  SELECT CAST(k AS INTEGER) AS iteration, rate, {rnd('sqrt(loss)', 4)} AS rmse,
+    k <= (SELECT max(best_k) FROM rounds) AS kept FROM rounds WHERE k > 0""",
+)
+def rate_plateau(spark, sf_dir):
+    """Each round takes its rate of what is left of the group means; SQL follows the schedule."""
+    frame, spec = status_frame(spark, sf_dir)
+    rows = assembled(frame.where("split = 'train'"), spec.names, TARGET)
+    history = FALLING.fit(DecisionTreeRegressor(maxDepth=3), rows).history(spark)
+    return history.withColumn("rmse", F.round(F.sqrt("loss"), 4)).drop("loss")
+
+
 LOSS_SQL = """SELECT CAST(i AS INTEGER) AS iteration,
     CASE WHEN is_validation THEN 'validation' ELSE 'train' END AS split, """
 
