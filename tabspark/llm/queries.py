@@ -18,7 +18,7 @@ from tabspark.llm.mtree import exact_top_k
 from tabspark.llm.packing import pack_documents
 from tabspark.llm.prefix_trie import conversation_trie
 from tabspark.llm.registry import query
-from tabspark.llm.toxicity import learn_toxicity, score_toxicity
+from tabspark.llm.toxicity import labelled_sample, learn_toxicity, score_toxicity
 from tabspark.llm.warc import archive_folder, read_warc, write_warc
 
 
@@ -65,12 +65,12 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_language")
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of every document, learned on two folds of three."""
+    """Language of every document, learned on two folds of three; a row without id is in no fold."""
     docs = read_table(spark, sf_dir, "documents")
     model = learn_languages(docs.where(fold(3) != 1))
     found = identify_languages(docs, model)
     return found.select(
-        "doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score", "margin", "rejected"
+        "doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "margin", "rejected"
     )
 
 
@@ -132,13 +132,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_toxicity")
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxicity of every document, learned on four folds of five."""
+    """Toxicity of every document, learned on four folds of five; a row without id is in no fold."""
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
-    labelled = docs.where(fold(5) != 0).select("doc_id", "text").join(
-        labels.where("toxic IS NOT NULL").select("doc_id", "toxic"), "doc_id"
-    )
-    found = score_toxicity(docs, learn_toxicity(docs, labelled))
-    return found.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+    labelled = labelled_sample(docs, labels.where(fold(5) != 0))
+    found = score_toxicity(docs, learn_toxicity(docs, labelled, label="label"))
+    held_out = F.coalesce(fold(5) == 0, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 @query("op2_licences")

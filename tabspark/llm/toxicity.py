@@ -254,11 +254,39 @@ def restored_words(docs: DataFrame, columns: list[str], text: str, logp: np.ndar
     return docs.select(*columns, F.col(text).alias("_text")).mapInArrow(run, f"{fields}, words array<string>")
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
+                    label: str = "toxic", sample_rows: int = 15_000) -> DataFrame:
+    """(text, label) of about ``sample_rows`` labelled documents at most, without moving any text.
+
+    Ids are drawn from the labels by a hash. Their number is checked, then they are
+    broadcast to where the documents are. Repeated labels count once; ids that many
+    documents share are thinned by a hash of the text. Null ids and labels teach nothing.
+    """
+    require(docs, [key, text])
+    require(labels, [key, label])
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(
+        F.col(key).alias("labelled_id"), F.col(label).alias("label")
+    ).distinct()
+
+    def thinned(rows: DataFrame, n: int, *by: str) -> DataFrame:
+        share = int(sample_rows / n * 2**32) if n > sample_rows else 2**32
+        return rows.where(F.pmod(F.xxhash64(F.lit(5), *by), F.lit(2**32)) < share)
+
+    known = staged(thinned(known, known.count(), "labelled_id"), "labelled")
+    small = known.count() <= 4 * sample_rows
+    table = F.broadcast(known) if small else known
+    own = docs.select(F.col(key).alias("labelled_id"), F.col(text).alias("text"))
+    n = own.select("labelled_id").join(table, "labelled_id").count()
+    rows = own.join(table, "labelled_id").select("labelled_id", "text", "label")
+    return thinned(rows, n, "text", "labelled_id") if n > 2 * sample_rows else rows
+
+
 def learn_toxicity(docs: DataFrame, labelled: DataFrame, text: str = "text", label: str = "toxic",
                    sample_rows: int = 15_000, vocabulary: int = 2_000, min_docs: int = 5) -> ToxicityModel:
     """Character model from all ``docs``, weights from ``labelled`` (text and 0/1 label).
 
-    At most about ``sample_rows`` labelled rows, chosen by a hash, are fitted. The
+    Of more than twice ``sample_rows`` labelled rows, about ``sample_rows``, chosen by a hash
+    of the text, are fitted; ``labelled_sample`` draws that many beforehand. The
     features are the ``vocabulary`` words that tell the labels apart best by their
     log-likelihood ratio. Rows without a label teach nothing; if a label is missing
     altogether, the model is the constant share of the other.
@@ -270,9 +298,9 @@ def learn_toxicity(docs: DataFrame, labelled: DataFrame, text: str = "text", lab
         F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("double").alias("label")
     )
     n = rows.count()
-    if n > sample_rows:
+    if n > 2 * sample_rows:
         share = int(sample_rows / n * 2**32)
-        rows = rows.where(F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(2**32)) < share)
+        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(2**32)) < share)
     known = staged(restored_words(rows, ["label"], "text", logp), "words")
     totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = totals.get(1.0, 0), totals.get(0.0, 0)
