@@ -5,7 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tabspark.session import scratch_path
 
@@ -50,6 +51,11 @@ def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
     return out
 
 
+def id_hash(key: str, text: str) -> Column:
+    """A hash to draw rows by: of the id, or of the text where there is no id."""
+    return F.when(F.col(key).isNull(), F.xxhash64(F.col(text))).otherwise(F.xxhash64(F.col(key)))
+
+
 def require(df: DataFrame, columns: Sequence[str]) -> None:
     absent = [c for c in columns if c not in df.columns]
     if absent:

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabspark.llm.common import require
+from tabspark.llm.common import id_hash, require
 
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -63,15 +63,15 @@ def learn_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", la
                     dictionary_bytes: int = 112_640, sample_rows: int = 96) -> LanguageModel:
     """Dictionaries from about ``2 * sample_rows`` rows of each language.
 
-    The bound is ``sample_rows``: rows are chosen by a hash of their id at a rate
-    that gives twice as many on average, and the first ``sample_rows`` distinct
+    The bound is ``sample_rows``: rows are chosen by a hash of their id, or of their
+    text if they have none, at a rate that gives twice as many on average, and the first ``sample_rows`` distinct
     texts in hash order fill equal parts of the dictionary. Rows without text or
     language teach nothing; no rows give a model without languages.
     """
     require(docs, [key, text, lang])
     known = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
         F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"),
-        F.xxhash64(F.col(key)).alias("h"),
+        id_hash(key, text).alias("h"),
     )
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -86,7 +86,9 @@ def learn_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", la
     part = -(-dictionary_bytes // sample_rows)
     chosen = known.where(F.col("h") <= F.element_at(limits, F.col("lang")))
     found: dict[str, list[bytes]] = {}
-    for row in chosen.dropDuplicates(["lang", "text"]).orderBy("lang", "h", "text").toLocalIterator():
+    # of equal texts the least hash, so that the same rows are drawn at any partitioning
+    chosen = chosen.groupBy("lang", "text").agg(F.min("h").alias("h"))
+    for row in chosen.orderBy("lang", "h", "text").toLocalIterator():
         parts = found.setdefault(row["lang"], [])
         if len(parts) < sample_rows:
             parts.append(_stretch(row["text"], part, abs(row["h"])))

@@ -19,7 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabspark.llm.common import require, staged
+from tabspark.llm.common import id_hash, require, staged
 
 # Wording that licence notices use.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -174,7 +174,7 @@ def learn_licences(docs: DataFrame, key: str = "doc_id", text: str = "text", sam
                    false_alarms: float = 0.002, vocabulary: int = 30_000) -> LicenceModel:
     """Fit on template windows and on the paragraphs of about ``sample_docs`` documents.
 
-    The sample is drawn by a hash of the id; paragraphs that share three words in a
+    The sample is drawn by a hash of the id, of the text without one; paragraphs that share three words in a
     row with a template stay out of it. One window or paragraph in four is held out:
     the confidence threshold is what all but ``false_alarms`` of the held-out plain
     paragraphs stay below, one half at least.
@@ -195,7 +195,7 @@ def learn_licences(docs: DataFrame, key: str = "doc_id", text: str = "text", sam
     )
     n = docs.count()
     share = min(2**32, int(2**32 * sample_docs / n)) if n else 0
-    sample = docs.where(F.pmod(F.xxhash64(F.col(key)), F.lit(2**32)) < share)
+    sample = docs.where(F.pmod(id_hash(key, text), F.lit(2**32)) < share)
     triples = F.array(*[F.lit(s) for t in shapes.values() for x in t for s in x])
     plain = (
         paragraphs(sample, key, text)
