@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabspark.session import checkpointed
 from tabspark.spec import Category, FeatureSpec, Numeric
 
 MAX_CATEGORIES = 1_000
@@ -21,7 +22,7 @@ def learn_vocab(df: DataFrame, columns: Sequence[str],
 
     A sketch first refuses columns that are far too wide, so that the sets stay
     small. A column beyond ``max_categories`` is an error, since it cannot become
-    one table column per value; ``learn_wide_one_hot`` takes it.
+    one table column per value; ``learn_positions`` takes it.
     """
     about = df.agg(*[F.approx_count_distinct(c) for c in columns]).first()
     wide = [c for c, n in zip(columns, about) if n > 2 * max_categories]
@@ -34,19 +35,41 @@ def learn_vocab(df: DataFrame, columns: Sequence[str],
     return vocab
 
 
-def learn_wide_one_hot(df: DataFrame, columns: Sequence[str]) -> PipelineModel:
-    """Encoder of any width: per column a sparse 0/1 vector ``…_vec`` and its position ``…_at``.
+def learn_positions(df: DataFrame, column: str) -> DataFrame:
+    """(category, position, n): every value of a column in alphabetical order, numbered from 0.
 
-    Positions are alphabetical. NULL and values not met in ``df`` get all zeros and the
-    position after the last. The model holds the labels, so they have to fit the driver.
+    For any number of values: they are counted, dealt by a range sort, and numbered within
+    their range; the ranges' sizes, one row each, give the offsets. Nothing is
+    collected. NULL has no position.
     """
-    at, vec = [f"{c}_at" for c in columns], [f"{c}_vec" for c in columns]
-    indexer = StringIndexer(
-        inputCols=list(columns), outputCols=at, stringOrderType="alphabetAsc", handleInvalid="keep"
-    )
-    # the last position is that of other values
-    encoder = OneHotEncoder(inputCols=at, outputCols=vec, dropLast=True)
-    return Pipeline(stages=[indexer, encoder]).fit(df)
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("category")).agg(F.count("*").alias("n"))
+    dealt = checkpointed(counts).repartitionByRange("category").sortWithinPartitions("category")
+    dealt = checkpointed(
+        dealt.select(
+            "category", "n", F.spark_partition_id().alias("part"),
+            F.monotonically_increasing_id().bitwiseAND(2**33 - 1).alias("row"),
+        )
+    )
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("size"))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    return dealt.join(starts, "part").select("category", (F.col("start") + F.col("row")).alias("position"), "n")
+
+
+def with_position(df: DataFrame, column: str, positions: DataFrame, out: str) -> DataFrame:
+    """Rows with the position of their category; NULL for NULL and for values not met before."""
+    found = positions.select(F.col("category").alias("_category"), F.col("position").alias(out))
+    return df.join(found, F.col(column) == F.col("_category"), "left").drop("_category")
+
+
+def wide_vectors(df: DataFrame, position: str, width: int, out: str) -> DataFrame:
+    """A sparse 0/1 vector of ``width`` numbers per row; all zeros where there is no position."""
+    at = f"{out}_at"
+    placed = df.withColumn(at, F.coalesce(F.col(position), F.lit(width)).cast("double"))
+    # the encoder needs the number of positions only; its last one is that of other values
+    last = df.sparkSession.createDataFrame([(float(width),)], [at])
+    encoder = OneHotEncoder(inputCols=[at], outputCols=[out], dropLast=True).fit(last)
+    return encoder.transform(placed).drop(at)
 
 
 def learn_spec(df: DataFrame, exclude: Sequence[str] = (),

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabspark.functions import guarded_corr, nan_to_null
+from tabspark.functions import any_of, guarded_corr, nan_to_null
 from tabspark.operators.quantiles import percentiles
 from tabspark.operators.relational import lookup_join, small_table
 
@@ -112,6 +114,54 @@ def corr_with_target(df: DataFrame, target: str, columns: Sequence[str] | None =
     return row.select(F.inline(F.array(*cells))).orderBy("corr", "feature")
 
 
+def _pair_sums(x: np.ndarray) -> np.ndarray:
+    """For all pairs (a, b) over rows where both are there: n, Σa, Σaa, Σab; as four matrices."""
+    there = ~np.isnan(x)
+    full, mask = np.where(there, x, 0.0), there.astype(float)
+    return np.stack([mask.T @ mask, full.T @ mask, (full * full).T @ mask, full.T @ full])
+
+
+def corr_matrix(df: DataFrame, columns: Sequence[str] | None = None, digits: int | None = None) -> DataFrame:
+    """(a, b, n, corr): Pearson correlation of all pairs of columns, over the rows complete in both.
+
+    NULL where either column is constant there. Every task makes one matrix of sums
+    from its rows, centred at the columns' means; these are added pair by pair.
+    """
+    columns = list(columns or numeric_columns(df))
+    rows = df.select(*[nan_to_null(F.col(c)).alias(f"c_{i}") for i, c in enumerate(columns)])
+    means = rows.agg(*[F.avg(c) for c in rows.columns]).first()
+    centre = np.array([0.0 if m is None else m for m in means])
+    k = len(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            cells = [c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in batch.columns]
+            sums = _pair_sums(np.column_stack(cells) - centre)
+            total = sums if total is None else total + sums
+        if total is not None:
+            flat = [np.repeat(np.arange(k, dtype=np.int32), k), np.tile(np.arange(k, dtype=np.int32), k)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v) for v in [*flat, *(m.ravel() for m in total), total[1].T.ravel(), total[2].T.ravel()]],
+                names=["i", "j", "n", "sa", "saa", "sab", "sb", "sbb"],
+            )
+
+    sums = ["n", "sa", "saa", "sab", "sb", "sbb"]
+    parts = rows.mapInArrow(run, "i int, j int, " + ", ".join(f"{s} double" for s in sums))
+    whole = parts.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in sums])
+    n = F.nullif(F.col("n"), F.lit(0.0))
+    spread = [F.greatest(F.col(f"s{x}{x}") - F.col(f"s{x}") * F.col(f"s{x}") / n, F.lit(0.0)) for x in "ab"]
+    # what rounding leaves of a constant column's spread
+    flat = [s <= F.col(f"s{x}{x}") * 1e-14 for s, x in zip(spread, "ab")]
+    joint = F.col("sab") - F.col("sa") * F.col("sb") / n
+    r = F.when(~any_of(flat), joint / F.sqrt(F.nullif(spread[0] * spread[1], F.lit(0.0))))
+    names = F.array(*[F.lit(c) for c in columns])
+    return whole.select(
+        names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), F.col("n").cast("long").alias("n"),
+        (r if digits is None else F.round(r, digits)).alias("corr"),
+    )
+
+
 def _bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
     """1-based equal-width bin; the last one is closed, a constant column is bin 1."""
     place = F.floor((x - lo) / F.nullif(hi - lo, F.lit(0.0)) * F.lit(float(bins)))

@@ -5,11 +5,17 @@ from pyspark.sql import functions as F
 from tabspark.sources.records import records
 from tabspark.spec import RAW_RECORD
 
+# Ages at both range ends, bmi at its lower end, at the centre of the deviation and on, just
+# below and just above the threshold; no, some and most children; every region; each
+# segment more than once.
 PATIENTS = [
-    dict(age=23, sex="female", bmi=21.5, children=1, smoker="no", region="southwest"),
-    dict(age=48, sex="male", bmi=27.25, children=3, smoker="no", region="northeast"),
-    dict(age=37, sex="female", bmi=34.5, children=0, smoker="yes", region="southeast"),
-    dict(age=61, sex="male", bmi=38.0, children=2, smoker="yes", region="northwest"),
+    dict(age=18, sex="male", bmi=24.9, children=0, smoker="no", region="southeast"),
+    dict(age=100, sex="female", bmi=30.0, children=10, smoker="no", region="northwest"),
+    dict(age=40, sex="female", bmi=29.99, children=2, smoker="yes", region="northeast"),
+    dict(age=33, sex="male", bmi=30.0, children=0, smoker="yes", region="southwest"),
+    dict(age=52, sex="female", bmi=30.01, children=1, smoker="yes", region="southeast"),
+    dict(age=64, sex="male", bmi=45.5, children=4, smoker="yes", region="northwest"),
+    dict(age=27, sex="male", bmi=10.0, children=0, smoker="yes", region="northeast"),
 ]
 
 

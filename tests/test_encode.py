@@ -1,7 +1,15 @@
 import pytest
 
 from helpers import patients, rows, synthetic
-from tabspark.operators.encode import encode, learn_spec, learn_vocab, learn_wide_one_hot, one_hot
+from tabspark.operators.encode import (
+    encode,
+    learn_positions,
+    learn_spec,
+    learn_vocab,
+    one_hot,
+    wide_vectors,
+    with_position,
+)
 from tabspark.spec import medical_charges
 
 SCHEMA = "x double, c string"
@@ -30,13 +38,26 @@ def test_one_column_over_the_limit_is_named(spark):
 
 
 def test_wide_encoding_is_sparse_and_alphabetical(spark):
-    df = spark.range(3000).selectExpr("CAST(id AS STRING) c")
-    model = learn_wide_one_hot(df, ["c"])
-    labels = sorted(str(i) for i in range(3000))
-    odd = spark.createDataFrame([("17",), ("x",), (None,)], "c string")
-    known, other, missing = (r["c_vec"] for r in model.transform(odd).collect())
-    assert known.size == 3000 and list(known.indices) == [labels.index("17")]
-    assert other.numNonzeros() == missing.numNonzeros() == 0
+    df = spark.range(3000).selectExpr("CAST(id % 2999 AS STRING) c").repartition(5)
+    positions = learn_positions(df, "c")
+    labels = sorted(str(i) for i in range(2999))
+    got = rows(positions.select("position", "category", "n"), "position")
+    assert got == [(i, c, 2 if c == "0" else 1) for i, c in enumerate(labels)]
+    odd = spark.createDataFrame([(1, "17"), (2, "x"), (3, None)], "i int, c string")
+    placed = with_position(odd, "c", positions, "at")
+    assert rows(placed.select("i", "at"), "i") == [(1, labels.index("17")), (2, None), (3, None)]
+    vectors = wide_vectors(placed, "at", len(labels), "v").orderBy("i")
+    assert vectors.columns == ["i", "c", "at", "v"]
+    known, other, missing = (r["v"] for r in vectors.collect())
+    assert known.size == 2999 and list(known.indices) == [labels.index("17")]
+    assert other.numNonzeros() == missing.numNonzeros() == 0 and other.size == 2999
+
+
+def test_positions_need_no_one_machine(spark):
+    """Positions come from a range sort, not from a single partition; an empty column has none."""
+    df = spark.createDataFrame([(None,)], "c string")
+    assert learn_positions(df, "c").count() == 0
+    assert learn_positions(spark.range(0, 50).selectExpr("CAST(id AS STRING) c"), "c").count() == 50
 
 
 def test_unknown_category(spark):

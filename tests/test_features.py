@@ -11,10 +11,13 @@ from tabspark.spec import FeatureSpec, medical_charges
 # smoker_bmi, is_obese, smoker_obese, smoker_bmi_above30, age_smoker, age_squared,
 # age_bmi, bmi_deviation, bmi_squared, has_children
 GOLDEN = {
-    23: (0, 0, 0, 0, 0, 529, 494.5, 3.4, 462.25, 1),
-    48: (0, 0, 0, 0, 0, 2304, 1308, 2.35, 742.5625, 1),
-    37: (34.5, 1, 1, 4.5, 37, 1369, 1276.5, 9.6, 1190.25, 0),
-    61: (38, 1, 1, 8, 61, 3721, 2318, 13.1, 1444, 1),
+    18: (0, 0, 0, 0, 0, 324, 448.2, 0, 620.01, 0),
+    100: (0, 1, 0, 0, 0, 10000, 3000, 5.1, 900, 1),
+    40: (29.99, 0, 0, 0, 40, 1600, 1199.6, 5.09, 899.4001, 1),
+    33: (30, 1, 1, 0, 33, 1089, 990, 5.1, 900, 0),
+    52: (30.01, 1, 1, 0.01, 52, 2704, 1560.52, 5.11, 900.6001, 1),
+    64: (45.5, 1, 1, 15.5, 64, 4096, 2912, 20.6, 2070.25, 1),
+    27: (10, 0, 0, 0, 27, 729, 270, 14.9, 100, 0),
 }
 
 

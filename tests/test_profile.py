@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from helpers import rows, synthetic
 from tabspark.operators import profile
+from tabspark.operators.profile import corr_matrix
 from tabspark.operators.encode import encode
 from tabspark.spec import medical_charges
 
@@ -123,3 +124,24 @@ def test_scatter_bins_keep_every_point(raw, pdf):
 def test_null_groups_are_left_out(spark):
     df = spark.createDataFrame(pd.DataFrame(dict(g=["a", "a", None], x=[1.0, 2.0, 3.0])))
     assert rows(profile.boxplot(df, "x", ["g"]).select("g", "n")) == [("a", 2)]
+
+
+def test_correlation_matrix_by_complete_pairs(spark):
+    draw = np.random.default_rng(3)
+    x = draw.normal(1e6, 1.0, size=(400, 4))
+    x[:, 1] += x[:, 0]
+    x[draw.random(400) < 0.3, 2] = np.nan
+    x[:, 3] = 0.1
+    data = [tuple(None if np.isnan(v) else float(v) for v in row) for row in x]
+    df = spark.createDataFrame(data, "a double, b double, c double, d double").repartition(4)
+    got = {(r["a"], r["b"]): (r["n"], r["corr"]) for r in corr_matrix(df).collect()}
+    assert len(got) == 16
+    for i, p in enumerate("abc"):
+        for j, q in enumerate("abc"):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            want = np.corrcoef(x[both, i], x[both, j])[0, 1]
+            assert got[p, q] == (both.sum(), pytest.approx(want, abs=1e-9))
+    assert all(got[p, "d"][1] is None and got["d", p][1] is None for p in "abcd")
+    assert {r["n"] for r in corr_matrix(df.limit(0)).collect()} <= {0}
+    one = corr_matrix(df.limit(1), ["a"]).collect()
+    assert [(r["n"], r["corr"]) for r in one] == [(1, None)]

@@ -34,9 +34,12 @@ def test_lists_and_maps_of_any_length(spark, more):
 def test_segments(spark):
     preset = medical_charges()
     got = patients(spark).select("age", preset.segments.column().alias("s"))
-    assert dict(rows(got)) == {23: "non_smoker", 48: "non_smoker", 37: "smoker_ge30", 61: "smoker_ge30"}
+    assert dict(rows(got)) == {
+        18: "non_smoker", 100: "non_smoker", 40: "smoker_lt30", 27: "smoker_lt30",
+        33: "smoker_ge30", 52: "smoker_ge30", 64: "smoker_ge30",
+    }
     labels = got.select(preset.segments.label(F.col("s"))).distinct()
-    assert sorted(r[0] for r in labels.collect()) == ["Non-smoker", "Smoker (BMI≥30)"]
+    assert sorted(r[0] for r in labels.collect()) == ["Non-smoker", "Smoker (BMI<30)", "Smoker (BMI≥30)"]
 
 
 def test_segment_of_missing_values(spark):

@@ -135,6 +135,38 @@ def _corr_sql(c: str) -> str:
     return f'covar_pop("{c}", {y}) / nullif(stddev_pop("{c}") * stddev_pop({y}), 0)'
 
 
+MATRIX_SQL = {
+    "l_quantity": "l_quantity", "l_discount": "l_discount", "l_extendedprice": "l_extendedprice",
+    "tax": "CASE WHEN l_linenumber > 1 THEN l_tax END", "bulk": "CAST(l_quantity >= 30 AS INTEGER)",
+    "constant": "CAST(0.1 AS DOUBLE)",
+    "single": "CASE WHEN l_returnflag = 'R' AND l_linenumber > 1 THEN CAST(0.7 AS DOUBLE) END",
+}
+
+
+def _matrix_cell(a: str, b: str) -> str:
+    x, y = (f'CASE WHEN "{a}" IS NOT NULL AND "{b}" IS NOT NULL THEN CAST("{c}" AS DOUBLE) END' for c in (a, b))
+    flat = f"min({x}) = max({x}) OR min({y}) = max({y})"
+    return f"""SELECT '{a}' AS a, '{b}' AS b, count({x}) AS n,
+  {rnd(f"CASE WHEN NOT ({flat}) THEN covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0) END", 6)} AS corr
+  FROM t"""
+
+
+@query(
+    "corr_matrix",
+    "WITH t AS (SELECT " + ", ".join(f'{x} AS "{c}"' for c, x in MATRIX_SQL.items()) + " FROM lineitem) "
+    + _union(_matrix_cell(a, b) for a in MATRIX_SQL for b in MATRIX_SQL),
+)
+def corr_matrix(spark, sf_dir):
+    """All pairs, with gaps, a constant column and one that is constant where it is there."""
+    kept = F.col("l_linenumber") > 1
+    line = table(spark, sf_dir, "lineitem").select(
+        "l_quantity", "l_discount", "l_extendedprice", F.when(kept, F.col("l_tax")).alias("tax"),
+        (F.col("l_quantity") >= 30).cast("int").alias("bulk"), F.lit(0.1).alias("constant"),
+        F.when(kept & (F.col("l_returnflag") == "R"), F.lit(0.7)).alias("single"),
+    )
+    return profile.corr_matrix(line, digits=6)
+
+
 @query(
     "corr_with_target",
     f"WITH e AS ({LINE_ENCODED_SQL})"

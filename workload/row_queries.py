@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabspark.operators import relational as rel
-from tabspark.operators.encode import add_features, encode, learn_vocab, learn_wide_one_hot, one_hot
+from tabspark.operators.encode import (
+    add_features,
+    encode,
+    learn_positions,
+    learn_vocab,
+    one_hot,
+    with_position,
+)
 from tabspark.operators.profile import shape as shape_of
-from tabspark.operators.validate import error_counts, null_audit, validate
+from tabspark.operators.validate import error_counts, null_audit, routed, validate
 from tabspark.session import scratch_path
 from tabspark.sources.records import parse_json, read_csv
 from tabspark.spec import Rule
@@ -79,14 +84,13 @@ def one_hot_fixed(spark, sf_dir):
   FROM orders GROUP BY o_custkey)""",
 )
 def one_hot_wide(spark, sf_dir):
-    """A category of thousands of values as sparse vectors; their sum counts the rows of each."""
+    """A category of thousands of values: rows carry their position, which counts them."""
     keys = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("c"))
-    model = learn_wide_one_hot(keys, ["c"])
-    coded = model.transform(keys)
-    sums = coded.agg(vector_to_array(Summarizer.sum(F.col("c_vec"))).alias("n"))
-    counts = sums.select(F.posexplode("n").alias("position", "n"))
-    names = coded.select(F.col("c_at").cast("bigint").alias("position"), F.col("c").alias("category"))
-    return names.distinct().join(counts, "position").select("position", "category", "n")
+    positions = learn_positions(keys, "c")
+    counts = with_position(keys, "c", positions, "position").groupBy("position").agg(
+        F.count("*").cast("double").alias("n")
+    )
+    return counts.join(positions.drop("n"), "position").select("position", "category", "n")
 
 
 @query(
@@ -135,6 +139,79 @@ def validate_errors(spark, sf_dir):
     return checked.select("event_id", F.concat_ws("; ", "errors").alias("errors"))
 
 
+# Requests as clients send them: a field may be absent, null or of the wrong kind.
+REQUESTS_SQL = """requests AS (
+  SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN user_id END AS user_id,
+    CASE WHEN event_id % 11 <> 0 THEN value END AS value,
+    CASE WHEN event_id % 13 <> 0 THEN event_type END AS event_type,
+    CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 17 = 0 THEN 'many'
+         ELSE CAST(event_id % 90 AS VARCHAR) END AS k, event_id % 3 = 0 AS nulls FROM events)"""
+
+
+def requests(spark, sf_dir):
+    """Events as JSON text; a missing field is absent, or null in every third row."""
+    id_ = F.col("event_id")
+    fields = F.struct(
+        F.when(id_ % 7 != 0, F.col("user_id")).alias("user_id"),
+        F.when(id_ % 11 != 0, F.col("value")).alias("value"),
+        F.when(id_ % 13 != 0, F.col("event_type")).alias("event_type"),
+        F.when(id_ % 5 == 0, None).when(id_ % 17 == 0, "many")
+        .otherwise((id_ % 90).cast("string")).alias("k"),
+    )
+    kept = F.to_json(fields, {"ignoreNullFields": "false"})
+    text = F.when(id_ % 3 == 0, kept).otherwise(F.to_json(fields))
+    return table(spark, sf_dir, "events").select("event_id", text.alias("value_text"))
+
+
+@query(
+    "validate_missing",
+    f"""WITH {REQUESTS_SQL},
+  checked AS (SELECT event_id, concat_ws('; ',
+      CASE WHEN user_id IS NULL THEN 'user_id: missing' END, CASE WHEN value IS NULL THEN 'value: missing' END,
+      CASE WHEN k IS NULL THEN 'k: missing' END,
+      CASE WHEN event_type IS NULL THEN 'event_type: missing' END) AS missing,
+    concat_ws('; ', CASE WHEN user_id NOT BETWEEN 18 AND 100 THEN 'user_id: outside 18..100' END,
+      CASE WHEN value NOT BETWEEN 10 AND 70 THEN 'value: outside 10..70' END,
+      CASE WHEN k = 'many' THEN 'k: not an integer'
+           WHEN TRY_CAST(k AS BIGINT) NOT BETWEEN 0 AND 80 THEN 'k: outside 0..80' END,
+      CASE WHEN lower(event_type) NOT IN ('click', 'purchase', 'view')
+           THEN 'event_type: not one of click, purchase, view' END) AS failed FROM requests)
+  SELECT event_id, CASE WHEN missing || failed = '' THEN 'accepted' ELSE 'rejected' END AS route,
+    CASE WHEN missing <> '' THEN missing ELSE failed END AS errors FROM checked""",
+)
+def validate_missing(spark, sf_dir):
+    """Absent and null fields are reported alone, in rule order."""
+    parsed = parse_json(requests(spark, sf_dir), [r.column for r in EVENT_RULES], "value_text")
+    checked = routed(validate(parsed, EVENT_RULES, malformed="malformed"))
+    return checked.select("event_id", "route", F.concat_ws("; ", "errors").alias("errors"))
+
+
+@query(
+    "json_malformed",
+    """WITH t AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN left(props, length(props) - 1)
+      WHEN 1 THEN 'no record ' || event_id WHEN 2 THEN '' WHEN 3 THEN NULL ELSE props END AS raw FROM events),
+  r AS (SELECT *, event_id % 6 < 3 AS bad,
+          CASE WHEN event_id % 6 > 3 THEN CAST(json_extract_string(raw, '$.k') AS BIGINT) END AS k FROM t)
+  SELECT event_id, k, CASE WHEN bad THEN raw END AS malformed,
+    CASE WHEN bad THEN 'record: malformed JSON' WHEN k IS NULL THEN 'k: missing'
+         WHEN k > 80 THEN 'k: outside 0..80' ELSE '' END AS errors FROM r""",
+)
+def json_malformed(spark, sf_dir):
+    """Cut off, plain, empty and absent text on its way to quarantine, with the text kept."""
+    kind, props = F.col("event_id") % 6, F.col("props")
+    raw = (
+        F.when(kind == 0, F.left(props, F.length(props) - 1))
+        .when(kind == 1, F.concat(F.lit("no record "), F.col("event_id").cast("string")))
+        .when(kind == 2, "").when(kind == 3, None).otherwise(props)
+    )
+    events = table(spark, sf_dir, "events").select("event_id", raw.alias("raw"))
+    checked = validate(parse_json(events, ["k"], "raw"), [Rule("k", "int", 0, 80)], malformed="malformed")
+    return checked.select(
+        "event_id", F.col("k").try_cast("bigint").alias("k"), "malformed",
+        F.concat_ws("; ", "errors").alias("errors"),
+    )
+
+
 @query(
     "quarantine_counts",
     f"""WITH {EVENT_RECORDS_SQL},
@@ -194,6 +271,25 @@ def null_cells(spark, sf_dir):
     return null_audit(table(spark, sf_dir, "events"))
 
 
+@query(
+    "null_audit_missing",
+    """SELECT 'value' AS "column", count(*) FILTER (event_id % 4 < 2) AS nulls FROM events
+  UNION ALL SELECT 'user_id', count(*) FILTER (event_id % 3 = 0) FROM events
+  UNION ALL SELECT 'event_type', count(*) FILTER (event_type = 'click') FROM events
+  UNION ALL SELECT '(total)', count(*) FILTER (event_id % 4 < 2) + count(*) FILTER (event_id % 3 = 0)
+    + count(*) FILTER (event_type = 'click') FROM events""",
+)
+def null_cells_missing(spark, sf_dir):
+    """NULL and NaN both count."""
+    id_ = F.col("event_id")
+    events = table(spark, sf_dir, "events").select(
+        F.when(id_ % 4 == 0, float("nan")).when(id_ % 4 != 1, F.col("value")).alias("value"),
+        F.when(id_ % 3 != 0, F.col("user_id")).alias("user_id"),
+        F.when(F.col("event_type") != "click", F.col("event_type")).alias("event_type"),
+    )
+    return null_audit(events)
+
+
 PRIORITY = {"1-URGENT": 1, "2-HIGH": 2, "3-MEDIUM": 3, "5-LOW": 5}
 
 
