@@ -85,13 +85,9 @@ def residual_summary(df: DataFrame, by: Sequence[str] = ("model",), actual: str
     by = list(by)
     residual = nan_to_null(F.col(actual) - F.col(prediction)).alias("residual")
     res = df.select(*by, residual).where("residual IS NOT NULL")
-    moments = [F.avg("residual").alias("mean"), F.stddev_pop("residual").alias("std")]
-    middle = percentiles(res, ["residual"], [0.5], by)
-    middle = middle.select(*by, F.col("residual")[0].alias("median"))
-    summary = res.groupBy(*by).agg(*moments)
-    if not by:
-        return summary.withColumn("median", F.lit(middle.first()["median"]).cast("double"))
-    return summary.join(middle, by)
+    moments = [("mean", F.avg("residual")), ("std", F.stddev_pop("residual"))]
+    found = percentiles(res, ["residual"], [0.5], by, extras=moments)
+    return found.select(*by, "mean", "std", F.col("residual")[0].alias("median"))
 
 
 def ensemble_mean(df: DataFrame, key: Sequence[str], prediction: str = "prediction") -> DataFrame:

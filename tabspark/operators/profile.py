@@ -39,30 +39,20 @@ def _long(row: DataFrame, columns: Sequence[str], stats: Sequence[str],
     return row.select(F.inline(F.array(*structs)))
 
 
-def _moments(column: str, i: int) -> list[Column]:
+def _moments(column: str) -> dict[str, Column]:
     x = nan_to_null(F.col(column))
-    return [
-        F.count(x).alias(f"count_{i}"),
-        F.avg(x).alias(f"mean_{i}"),
-        F.stddev_samp(x).alias(f"std_{i}"),
-        F.min(x).alias(f"min_{i}"),
-        F.max(x).alias(f"max_{i}"),
-    ]
+    return {"count": F.count(x), "mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x), "max": F.max(x)}
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None,
              digits: int | None = 2) -> DataFrame:
     """count, mean, std (n−1), min, quartiles and max of each numeric column."""
     columns = list(columns or numeric_columns(df))
-    df = df.select(*columns)
     names = ["p25", "p50", "p75"]
-    quartiles = percentiles(df, columns, QUARTILES).first()  # one row
-    row = df.agg(*[a for i, c in enumerate(columns) for a in _moments(c, i)]).withColumns(
-        {
-            f"{name}_{i}": F.lit(q).cast("double")
-            for i, c in enumerate(columns)
-            for name, q in zip(names, quartiles[c])
-        }
+    moments = [(f"{stat}_{i}", x) for i, c in enumerate(columns) for stat, x in _moments(c).items()]
+    found = percentiles(df.select(*columns), columns, QUARTILES, extras=moments)  # one row
+    row = found.withColumns(
+        {f"{name}_{i}": F.col(c)[k] for i, c in enumerate(columns) for k, name in enumerate(names)}
     )
     return _long(row, columns, ["count", "mean", "std", "min", *names, "max"], digits)
 
@@ -71,7 +61,7 @@ def feature_ranges(df: DataFrame, columns: Sequence[str] | None = None,
                    digits: int | None = 2) -> DataFrame:
     """min, max, mean, std (n−1) and range of each feature."""
     columns = list(columns or numeric_columns(df))
-    row = df.agg(*[a for i, c in enumerate(columns) for a in _moments(c, i)])
+    row = df.agg(*[x.alias(f"{stat}_{i}") for i, c in enumerate(columns) for stat, x in _moments(c).items()])
     row = row.withColumns(
         {f"range_{i}": F.col(f"max_{i}") - F.col(f"min_{i}") for i in range(len(columns))}
     )

@@ -14,14 +14,17 @@ lies ∞, between −∞ and ∞ NaN.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabspark.functions import any_of, nan_to_null
-from tabspark.operators.relational import lookup_join, small_table
+from tabspark.operators.relational import local_table, lookup_join, small_table
 from tabspark.session import checkpointed
 
 INF = float("inf")
@@ -33,14 +36,25 @@ GRID = 200
 
 
 def percentiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                by: Sequence[str] = (), keep_rows: int = KEEP_ROWS) -> DataFrame:
+                by: Sequence[str] = (), keep_rows: int = KEEP_ROWS,
+                extras: Sequence[tuple[str, Column]] = ()) -> DataFrame:
     """One row per group: the ``by`` columns and, per column, an array of percentiles.
 
     Rows without a group and groups without any value are left out. NULL and NaN
-    are no values. ``keep_rows`` only decides when narrowing stops.
+    are no values. ``keep_rows`` only decides when narrowing stops. ``extras`` are named
+    aggregates over the same rows that ride along in a pass that is made anyway.
     """
     df = df.dropna(subset=list(by)) if by else df
-    return _bracketed(df, columns, probs, by, keep_rows)
+    inputs = [f"_x{i}" for i in range(len(columns))]
+    rows = df.select("*", *[nan_to_null(F.col(c)).alias(x) for c, x in zip(columns, inputs)])
+    proposed = _proposals(rows, inputs, probs, by)
+    few = small_table(proposed)
+    if few is not None:
+        return _few_groups(rows, few, columns, inputs, probs, by, keep_rows, extras)
+    found = _many_groups(rows, checkpointed(proposed), columns, inputs, probs, by, keep_rows)
+    if not extras:
+        return found
+    return found.join(rows.groupBy(*by).agg(*[x.alias(name) for name, x in extras]), list(by))
 
 
 def _hold(df: DataFrame) -> DataFrame:
@@ -93,24 +107,35 @@ def _counts(x: Column, t: str = "") -> list[Column]:
     ]
 
 
-def _first_brackets(rows: DataFrame, inputs: Sequence[str], probs: Sequence[float],
+def _proposals(rows: DataFrame, inputs: Sequence[str], probs: Sequence[float],
+               by: Sequence[str]) -> DataFrame:
+    """(by…, n_i, neg_i, pos_i, a_t, b_t…), one row per group. One pass."""
+    proposed = [F.col(f"{c}_{i}") for i in range(len(inputs)) for c in ("n", "neg", "pos")]
+    for t, (i, p) in enumerate(_targets(inputs, probs)):
+        pair = _at(F.col(f"s_{i}"), [p - MARGIN, p + MARGIN])
+        for k, bound in enumerate("ab"):
+            proposed.append(F.when(F.col(f"n_{i}") > 0, pair[k]).alias(f"{bound}{t}"))
+    return _sketches(rows, by, inputs).select(*by, *proposed)
+
+
+def _targets(inputs: Sequence[str], probs: Sequence[float]) -> list[tuple[int, float]]:
+    return [(i, p) for i in range(len(inputs)) for p in probs]
+
+
+def _all_counts(inputs: Sequence[str], probs: Sequence[float]) -> list[Column]:
+    return [c for t, (i, _) in enumerate(_targets(inputs, probs)) for c in _counts(F.col(inputs[i]), str(t))]
+
+
+def _first_brackets(rows: DataFrame, first: DataFrame, inputs: Sequence[str], probs: Sequence[float],
                     by: Sequence[str]) -> DataFrame:
     """(by…, t, p, n, lo…, hi…), one row per group, input and percentile.
 
     [lo, hi] holds the ranks floor(p·(n−1)) and ceil(p·(n−1)); *_lt and *_le
-    count the rows below and up to a bound. Two passes over the table.
+    count the rows below and up to a bound. One pass over the table.
     """
-    targets = [(i, p) for i in range(len(inputs)) for p in probs]
-    proposed = [F.col(f"{c}_{i}") for i in range(len(inputs)) for c in ("n", "neg", "pos")]
-    for t, (i, p) in enumerate(targets):
-        pair = _at(F.col(f"s_{i}"), [p - MARGIN, p + MARGIN])
-        for k, bound in enumerate("ab"):
-            proposed.append(F.when(F.col(f"n_{i}") > 0, pair[k]).alias(f"{bound}{t}"))
-    first = _hold(_sketches(rows, by, inputs).select(*by, *proposed))
-    counts = [c for t, (i, _) in enumerate(targets) for c in _counts(F.col(inputs[i]), str(t))]
-    counted = _bind(_bind(rows, first, by).groupBy(*by).agg(*counts), first, by)
+    counted = _bind(_bind(rows, first, by).groupBy(*by).agg(*_all_counts(inputs, probs)), first, by)
     brackets = []
-    for t, (i, p) in enumerate(targets):
+    for t, (i, p) in enumerate(_targets(inputs, probs)):
         n = F.col(f"n_{i}")
         got = {name: F.col(f"{name}{t}") for name in ("a", "a_lt", "a_le", "b", "b_lt", "b_le")}
         brackets.append(
@@ -126,6 +151,129 @@ def _first_brackets(rows: DataFrame, inputs: Sequence[str], probs: Sequence[floa
     return _hold(_accepted(state, by))
 
 
+# --- few groups: brackets on the driver ------------------------------------------
+
+
+@dataclass
+class Bracket:
+    """[lo, hi] around a wanted place, and how many values lie below and up to its ends."""
+
+    p: float
+    n: int
+    lo: float
+    lo_le: int
+    hi: float
+    hi_lt: int
+
+    @property
+    def place(self) -> float:
+        return self.p * (self.n - 1)
+
+    @property
+    def between(self) -> int:
+        return max(self.hi_lt - self.lo_le, 0)
+
+    def at(self, rank: int, inside: Sequence[tuple[float, int]]) -> float:
+        """The value of a rank; ``inside`` has the values between the ends and their counts."""
+        if rank < self.lo_le:
+            return self.lo
+        if rank >= self.hi_lt:
+            return self.hi
+        upto = self.lo_le
+        for value, count in inside:
+            upto += count
+            if upto > rank:
+                return value
+        raise AssertionError("a rank is inside its bracket")
+
+    def value(self, inside: Sequence[tuple[float, int]]) -> float:
+        low, high = math.floor(self.place), math.ceil(self.place)
+        below, above = self.at(low, inside), self.at(high, inside)
+        part = self.place - low
+        # infinities times zero would be NaN
+        return below if part == 0 or below == above else below * (1 - part) + above * part
+
+
+def _bracket(row: Row, t: int, i: int, p: float) -> Bracket:
+    """Proposed ends where the counts show that the wanted ranks stay inside, else the widest."""
+    out = Bracket(p, row[f"n_{i}"], -INF, row[f"neg_{i}"], INF, row[f"n_{i}"] - row[f"pos_{i}"])
+    if row[f"a_lt{t}"] <= math.floor(out.place):
+        out.lo, out.lo_le = row[f"a{t}"], row[f"a_le{t}"]
+    if row[f"b_le{t}"] > math.ceil(out.place):
+        out.hi, out.hi_lt = row[f"b{t}"], row[f"b_lt{t}"]
+    return out
+
+
+def _few_groups(rows: DataFrame, first: DataFrame, columns: Sequence[str], inputs: Sequence[str],
+                probs: Sequence[float], by: Sequence[str], keep_rows: int,
+                extras: Sequence[tuple[str, Column]]) -> DataFrame:
+    """Three passes: sketches (``first``), counts with the extras, values inside the brackets.
+
+    If more than ``keep_rows`` values lie inside, they are narrowed on Spark as for many groups.
+    """
+    spark, targets = rows.sparkSession, _targets(inputs, probs)
+    names = [name for name, _ in extras]
+    more = [x.alias(f"_extra_{name}") for name, x in extras]
+    counted = _bind(rows, first, by).groupBy(*by).agg(*_all_counts(inputs, probs), *more).collect()
+    proposals = {tuple(r[c] for c in by): r.asDict() for r in first.collect()}
+    groups: dict[tuple, dict[int, Bracket]] = {}
+    aside: dict[tuple, list] = {}
+    for row in counted:
+        key = tuple(row[c] for c in by)
+        known = proposals[key] | row.asDict()
+        aside[key] = [row[f"_extra_{name}"] for name in names]
+        groups[key] = {t: _bracket(known, t, i, p) for t, (i, p) in enumerate(targets) if known[f"n_{i}"]}
+    fields = [rows.schema[c] for c in by]
+    brackets = [b for found in groups.values() for b in found.values()]
+    if sum(b.between for b in brackets) > keep_rows:
+        found = _many_groups(rows, first, columns, inputs, probs, by, keep_rows)
+        if not extras:
+            return found
+        return found.join(_local(spark, fields, aside, extras, rows), list(by)) if by else found.withColumns(
+            {name: F.lit(v) for name, v in zip(names, aside[()])}
+        )
+    inside: dict[tuple, list[tuple[float, int]]] = {}
+    if any(b.between for b in brackets):
+        ends = [(*key, *[x for t in range(len(targets)) for x in _ends(found.get(t))]) for key, found in groups.items()]
+        cells = [T.StructField(f"{end}{t}", T.DoubleType()) for t in range(len(targets)) for end in ("lo", "hi")]
+        wide = local_table(spark, ends, T.StructType([*fields, *cells]))
+        near = _within(_bind(rows, wide, by), inputs, len(probs), by)
+        for row in near.groupBy(*by, "t", "value").agg(F.count("*").alias("k")).collect():
+            inside.setdefault((*[row[c] for c in by], row["t"]), []).append((row["value"], row["k"]))
+    m, out = len(probs), []
+    for key, found in groups.items():
+        if by and not found:
+            continue
+        values = [
+            [found[t].value(sorted(inside.get((*key, t), []))) if t in found else None
+             for t in range(i * m, (i + 1) * m)]
+            for i in range(len(columns))
+        ]
+        out.append((*key, *values, *aside[key]))
+    arrays = [T.StructField(c, T.ArrayType(T.DoubleType())) for c in columns]
+    return local_table(spark, out, T.StructType([*fields, *arrays, *_extra_fields(rows, extras)]))
+
+
+def _ends(bracket: Bracket | None) -> tuple[float | None, float | None]:
+    """Ends to look between; none where nothing lies there."""
+    return (bracket.lo, bracket.hi) if bracket and bracket.between else (None, None)
+
+
+def _extra_fields(rows: DataFrame, extras: Sequence[tuple[str, Column]]) -> list[T.StructField]:
+    if not extras:
+        return []
+    return rows.agg(*[x.alias(name) for name, x in extras]).schema.fields
+
+
+def _local(spark: SparkSession, fields: list, aside: dict[tuple, list], extras: Sequence[tuple[str, Column]],
+           rows: DataFrame) -> DataFrame:
+    schema = T.StructType([*fields, *_extra_fields(rows, extras)])
+    return local_table(spark, [(*key, *values) for key, values in aside.items()], schema)
+
+
+# --- any number of groups ---------------------------------------------------------
+
+
 def _place() -> Column:
     return F.col("p") * (F.col("n") - 1)
 
@@ -157,14 +305,18 @@ def _between(rows: DataFrame, state: DataFrame, inputs: Sequence[str], m: int,
             for end in ("lo", "hi")
         ]
     )
+    return _within(_bind(rows, _hold(wide), by), inputs, m, by)
+
+
+def _within(bound: DataFrame, inputs: Sequence[str], m: int, by: Sequence[str]) -> DataFrame:
+    """(by…, t, value) of the values strictly between lo_t and hi_t of their row."""
     tests, cells = [], []
-    for t in range(n_targets):
+    for t in range(len(inputs) * m):
         x = F.col(inputs[t // m])
         test = (x > F.col(f"lo{t}")) & (x < F.col(f"hi{t}"))
         tests.append(test)
         cells.append(F.when(test, F.struct(F.lit(t).alias("t"), x.alias("value"))))
-    near = _bind(rows, _hold(wide), by).where(any_of(tests))
-    return near.select(*by, F.inline(F.array_compact(F.array(*cells))))
+    return bound.where(any_of(tests)).select(*by, F.inline(F.array_compact(F.array(*cells))))
 
 
 def _narrowed(near: DataFrame, state: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -194,13 +346,10 @@ def _narrowed(near: DataFrame, state: DataFrame, key: Sequence[str]) -> DataFram
     return _hold(_accepted(counted, key[:-1]))
 
 
-def _bracketed(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-               by: Sequence[str], keep_rows: int) -> DataFrame:
-    inputs = [f"x_{i}" for i in range(len(columns))]
-    rows = df.select(*by, *[nan_to_null(F.col(c)).alias(x) for c, x in zip(columns, inputs)])
+def _many_groups(rows: DataFrame, first: DataFrame, columns: Sequence[str], inputs: Sequence[str],
+                 probs: Sequence[float], by: Sequence[str], keep_rows: int) -> DataFrame:
     key, m = [*by, "t"], len(probs)
-
-    state = _first_brackets(rows, inputs, probs, by)
+    state = _first_brackets(rows, first, inputs, probs, by)
     near = _between(rows, state, inputs, m, by)
     if (state.agg(F.max(F.expr(BETWEEN))).first()[0] or 0) > keep_rows:
         near = checkpointed(near)

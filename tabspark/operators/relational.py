@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 SMALL_ROWS = 20_000
 SALTS = 64
@@ -15,12 +17,19 @@ SALTS = 64
 def small_table(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame | None:
     """``df`` as a driver-side relation if it has at most ``limit`` rows, else None.
 
-    Catalyst knows the size of the result, so broadcasting it is safe.
+    Catalyst knows the rows of the result, so broadcasting it is safe and reading it
+    again starts no job.
     """
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    rows = df.limit(limit + 1).toArrow()
+    return None if rows.num_rows > limit else df.sparkSession.createDataFrame(rows, df.schema)
+
+
+def local_table(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType) -> DataFrame:
+    """A few rows that stand on the driver, as a relation that Catalyst knows."""
+    cells = zip(*rows) if rows else [()] * len(schema)
+    kinds = to_arrow_schema(schema)
+    columns = [pa.array(list(column), field.type) for column, field in zip(cells, kinds)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=kinds), schema)
 
 
 def lookup_join(facts: DataFrame, table: DataFrame, keys: Sequence[str], salts: int = SALTS,
