@@ -1,6 +1,8 @@
 """Deleting repeated runs of lines by a distributed suffix array.
 
-Lines become fingerprints, documents sequences of them. The suffixes of all sequences
+Lines become fingerprints, documents sequences of them. A run that repeats has no line
+that occurs only once, so sequences are cut at those lines, and pieces with too few
+words for a run are left out. The suffixes of all sequences
 are sorted by prefix doubling: a suffix's rank after a round is the number of suffixes
 that are smaller in their first 1, 2, 4, … lines; suffixes whose rank is theirs alone
 drop out. Neighbours in the finished array have a longest common prefix; an interval
@@ -79,6 +81,41 @@ def fingerprints(docs: DataFrame, text: str, uid: str, order: str) -> DataFrame:
     return staged(rows.mapInArrow(run, schema), "fingerprints")
 
 
+def repeated_pieces(sequences: DataFrame, min_words: int) -> DataFrame:
+    """(uid, pos, doc, base, high, low): pieces without lines that occur once, of ``min_words`` or more.
+
+    ``doc`` is the row a piece comes from, ``base`` the line it begins with there.
+    """
+    lines = sequences.select("uid", "pos", F.posexplode(F.arrays_zip("high", "low", "words")).alias("line", "f"))
+    lines = lines.select("uid", "pos", "line", "f.*")
+    often = lines.groupBy("high", "low").agg(F.count("*").alias("n")).where("n > 1").select("high", "low")
+    kept = lines.join(often, ["high", "low"], "left_semi").groupBy("uid", "pos").agg(
+        F.array_sort(F.collect_list(F.struct("line", "high", "low", "words"))).alias("kept")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for doc, pos, found in zip(*(batch.column(i) for i in range(3))):
+                cells = found.values
+                line, high, low, words = (cells.field(i).to_numpy() for i in range(4))
+                edges = np.flatnonzero(np.diff(line) != 1) + 1
+                for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(line)]):
+                    if words[a:b].sum() >= min_words:
+                        row = (doc.as_py(), pos.as_py(), int(line[a]), high[a:b], low[a:b])
+                        for column, value in zip(out, row):
+                            column.append(value)
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()),
+                 pa.array(out[3], longs), pa.array(out[4], longs)],
+                names=["doc", "pos", "base", "high", "low"],
+            )
+
+    pieces = kept.mapInArrow(run, "doc long, pos long, base int, high array<long>, low array<long>")
+    return staged(pieces.withColumn("uid", F.monotonically_increasing_id()), "pieces")
+
+
 def first_ranks(sequences: DataFrame) -> tuple[DataFrame, int]:
     """(uid, line, r, size, class): rank and number of suffixes that begin with the same line."""
     lines = sequences.select("uid", F.posexplode(F.arrays_zip("high", "low")).alias("line", "f"))
@@ -291,18 +328,23 @@ def repeats(rows: pd.DataFrame, carried: pd.DataFrame) -> pd.DataFrame:
     return found[found["lines"] > 0]
 
 
-def repeated_runs(sequences: DataFrame, chunk: int = CHUNK) -> DataFrame | None:
-    """(uid, line, lines) of every suffix that begins with a copy of an earlier run."""
+def repeated_runs(sequences: DataFrame, min_words: int, chunk: int = CHUNK) -> DataFrame | None:
+    """(uid, line, lines) of every suffix that begins with a copy of an earlier run.
+
+    Left out are those of pieces with fewer than ``min_words`` words.
+    """
+    sequences = repeated_pieces(sequences, min_words)
     ranks, borders = suffix_array(sequences)
     if borders is None:
         return None
-    place = F.struct("pos", "uid", "line")
+    place = F.struct("pos", "doc", "at")
     live = (
-        ranks.join(sequences.select("uid", "pos", F.size("high").alias("n")), "uid")
-        .select("r", "size", "class", "pos", "uid", "line", (F.col("n") - F.col("line")).alias("rest"))
+        ranks.join(sequences.select("uid", "pos", "doc", "base", F.size("high").alias("n")), "uid")
+        .select("r", "size", "class", "pos", "doc", (F.col("base") + F.col("line")).alias("at"), "uid", "line",
+                (F.col("n") - F.col("line")).alias("rest"))
     )
-    groups = live.groupBy("r", "size", "class").agg(F.min(place).alias("p"))
-    groups = staged(groups.select("r", "size", "class", "p.pos", "p.uid", "p.line"), "groups")
+    groups = live.groupBy("r", "size", "class").agg(F.min(F.struct("pos", "doc", "at", "uid", "line")).alias("p"))
+    groups = staged(groups.select("r", "size", "class", "p.*"), "groups")
     borders = staged(borders, "borders")
     lcps = staged(common_prefixes(groups, borders, sequences), "lcps")
     nexts = lcps.select(F.col("r").alias("end"), F.col("lcp").alias("next_lcp"))
@@ -310,7 +352,8 @@ def repeated_runs(sequences: DataFrame, chunk: int = CHUNK) -> DataFrame | None:
         groups.join(lcps, "r", "left")
         .join(nexts, F.col("r") + F.col("size") == F.col("end"), "left")
         .where("lcp IS NOT NULL OR next_lcp IS NOT NULL")
-        .select("r", "class", "pos", "uid", "line", F.coalesce("lcp", F.lit(0)).alias("lcp"),
+        .select("r", "class", "pos", F.col("doc").alias("uid"), F.col("at").alias("line"),
+                F.coalesce("lcp", F.lit(0)).alias("lcp"),
                 F.coalesce("next_lcp", F.lit(0)).alias("next_lcp"),
                 F.floor(F.col("r") / chunk).alias("chunk"))
     )
@@ -322,10 +365,10 @@ def repeated_runs(sequences: DataFrame, chunk: int = CHUNK) -> DataFrame | None:
         .applyInPandas(repeats, "uid long, line int, lines long")
     )
     # suffixes of one rank copy the earliest of them up to their ends
-    firsts = groups.where("size > 1").select("r", F.struct("pos", "uid", "line").alias("first"))
+    firsts = groups.where("size > 1").select("r", place.alias("first"))
     ties = (
         live.where("size > 1").join(firsts, "r").where(place != F.col("first"))
-        .select("uid", "line", F.col("rest").cast("long").alias("lines"))
+        .select(F.col("doc").alias("uid"), F.col("at").alias("line"), F.col("rest").cast("long").alias("lines"))
     )
     return found.union(ties)
 
@@ -355,7 +398,7 @@ def delete_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "tex
     require(docs, [key, text])
     uid, order, runs = free_names([*docs.columns, deleted or ""], "row_uid", "row_order", "row_runs")
     rows = staged(numbered(docs, key, uid, order), "rows")
-    found = repeated_runs(fingerprints(rows, text, uid, order), chunk)
+    found = repeated_runs(fingerprints(rows, text, uid, order), min_words, chunk)
     kind = "array<struct<line:int,lines:long>>"
     if found is None:
         joined = rows.withColumn(runs, F.lit(None).cast(kind))
