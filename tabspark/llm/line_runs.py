@@ -27,12 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabspark.llm.common import blocks, free_names, require, staged
+from tabspark.llm.common import blocks, bucketed, free_names, require, staged
 
 #: suffixes of the array in one task, those with a rank of their own included
 CHUNK = 100_000
 #: lines whose fingerprints are sorted in one task
 BUCKET_LINES = 200_000
+#: bytes of texts in one bucket, and most buckets
+BUCKET = 32_000_000
+BUCKETS = 50_000
 #: parts into which the followers of a very common line are dealt
 PARTS = 64
 STAIRS = "class long, chunk long, side string, low long, steps array<struct<l:long,o:long,u:long,i:long>>"
@@ -89,7 +92,8 @@ def repeated_pieces(sequences: DataFrame, min_words: int) -> DataFrame:
     lines = sequences.select("uid", "pos", F.posexplode(F.arrays_zip("high", "low", "words")).alias("line", "f"))
     lines = lines.select("uid", "pos", "line", "f.*")
     often = lines.groupBy("high", "low").agg(F.count("*").alias("n")).where("n > 1").select("high", "low")
-    kept = lines.join(often, ["high", "low"], "left_semi").groupBy("uid", "pos").agg(
+    # distinct lines grow with the data, so they are merged and never broadcast
+    kept = lines.join(often.hint("merge"), ["high", "low"], "left_semi").groupBy("uid", "pos").agg(
         F.array_sort(F.collect_list(F.struct("line", "high", "low", "words"))).alias("kept")
     )
 
@@ -397,7 +401,8 @@ def delete_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "tex
     """
     require(docs, [key, text])
     uid, order, runs = free_names([*docs.columns, deleted or ""], "row_uid", "row_order", "row_runs")
-    rows = staged(numbered(docs, key, uid, order), "rows")
+    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    rows = bucketed(numbered(docs, key, uid, order), uid, min(blocks(size, BUCKET), BUCKETS))
     found = repeated_runs(fingerprints(rows, text, uid, order), min_words, chunk)
     kind = "array<struct<line:int,lines:long>>"
     if found is None:
