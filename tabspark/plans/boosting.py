@@ -79,9 +79,10 @@ class Plateau:
     Takes a tree regressor. Rows flagged in ``flag`` are judged only, the others fitted.
     For ``loss="squared"`` a round's tree is fitted on the errors. For ``"absolute"`` it is
     fitted on their signs, and a leaf adds the median error of its rows (from a sketch of
-    ``accuracy``). The rounds start from the mean or the median. Without flagged rows
-    all rounds stay at the first rate. Sums are kept per row; every ``cut`` rounds
-    they are written to the checkpoint folder.
+    ``accuracy``). The rounds start from the mean or the median; with ``whole_first`` the
+    first tree is fitted on the errors and added whole, as Spark's own boosting does, and
+    rates begin with the second. Without flagged rows all rounds stay at the first rate. Sums are kept per
+    row; every ``cut`` rounds they are written to the checkpoint folder.
     """
 
     rounds: int = 300
@@ -95,6 +96,7 @@ class Plateau:
     flag: str = "is_validation"
     accuracy: int = 10_000
     cut: int = 10
+    whole_first: bool = False
 
     def __post_init__(self) -> None:
         if self.loss not in ("absolute", "squared"):
@@ -120,7 +122,7 @@ class Plateau:
         trees, terms, done = [], [], []
         for i in range(self.rounds):
             tree, term = self._round(estimator, state, i)
-            rate = schedule.rate
+            rate = 1.0 if self.whole_first and i == 0 else schedule.rate
             terms.append(f"{rate!r}D * {term}")
             trees.append(tree)
             added = tree.transform(state).withColumn(SUM, F.col(SUM) + F.expr(terms[-1]))
@@ -153,7 +155,8 @@ class Plateau:
         tree = estimator.copy().setLabelCol(TARGET).setPredictionCol(names[0])
         if self.loss == "squared":
             return tree.fit(fit.withColumn(TARGET, gap)), f"`{names[0]}`"
-        model = tree.setLeafCol(names[1]).fit(fit.withColumn(TARGET, F.signum(gap)))
+        aim = gap if self.whole_first and i == 0 else F.signum(gap)
+        model = tree.setLeafCol(names[1]).fit(fit.withColumn(TARGET, aim))
         leaves = model.transform(fit).groupBy(names[1]).agg(F.percentile_approx(gap, 0.5, self.accuracy))
         cells = ", ".join(f"{leaf!r}D, {float(median)!r}D" for leaf, median in sorted(map(tuple, leaves.collect())))
         return model, f"coalesce(element_at(map({cells}), `{names[1]}`), 0D)"

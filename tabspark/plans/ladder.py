@@ -278,8 +278,8 @@ def absolute_error_ladder(sets: Mapping[str, Sequence[str]], rounds: int = 300,
     """
     trees = GBTRegressor(lossType="absolute", maxIter=rounds, maxDepth=4, stepSize=0.1, seed=SEED)
     tree = DecisionTreeRegressor(maxDepth=4, seed=SEED)
-    # a rate that falls by itself may begin high
-    falling = Plateau(rounds=rounds, rate=0.5, patience=patience, flat=max(1, patience // 2))
+    # the other rungs' boosting adds its first tree whole too, so the two compare
+    falling = Plateau(rounds=rounds, patience=patience, flat=max(1, patience // 2), whole_first=True)
     plan = [
         ("base", False, LinearRegression(), LeastAbsolute()),
         ("base", False, trees, None),

@@ -55,6 +55,16 @@ def test_squared_rounds_shrink_the_gap_to_the_group_means(spark):
     assert [r["iteration"] for r in history] == [1, 2, 3, 4] and sum(r["kept"] for r in history) == found.kept
 
 
+@pytest.mark.parametrize("loss, middle", [("squared", np.mean), ("absolute", np.median)])
+def test_a_whole_first_tree_reaches_the_groups_at_once(spark, loss, middle):
+    df, data = groups(spark, flagged=False)
+    plan = Plateau(rounds=2, rate=0.1, loss=loss, whole_first=True)
+    found = plan.fit(DecisionTreeRegressor(maxDepth=3), df)
+    want = {g: middle([y for k, y, _ in data if k == g]) for g in (0.0, 1.0, 2.0)}
+    assert dict(found.model.transform(df).select("g", "prediction").distinct().collect()) == pytest.approx(want)
+    assert [rate for _, rate, _ in found.rounds] == [1.0, 0.1]
+
+
 def test_absolute_rounds_reach_the_group_medians(spark):
     df, data = groups(spark)
     found = Plateau(rounds=3, rate=1.0, patience=9).fit(DecisionTreeRegressor(maxDepth=3), df)
