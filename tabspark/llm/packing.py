@@ -37,6 +37,9 @@ LONG_RUN = 100_000
 class Capacity:
     """What a sequence holds: tokens, documents, attention cost (sum of squared lengths).
 
+    Without a bound on documents or attention, what the tokens allow anyway is the
+    capacity: as many documents as tokens, the cost of one document that fills the
+    sequence. So every share counts in the score, and neither costs a sequence.
     ``weights`` weigh the three shares in the score of a bin; ``rule`` is ``dot``
     (largest weighted dot product of the piece and what is left) or ``norm``
     (smallest weighted norm of what is left after placing).
@@ -45,9 +48,17 @@ class Capacity:
     tokens: int = 1024
     documents: int | None = None
     attention: int | None = None
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0)
     rule: str = "norm"
 
+    def bounds(self) -> np.ndarray:
+        documents, attention = self.documents, self.attention
+        return np.array([
+            self.tokens,
+            self.tokens if documents is None else documents,
+            self.tokens**2 if attention is None else attention,
+        ], dtype=np.float64)
+
 
 def long_run(text: str) -> bool:
     return len(text) >= LONG_RUN and any(m.end() - m.start() >= LONG_RUN for m in SPACES.finditer(text))
@@ -144,11 +155,7 @@ def best_fit(histogram: dict[int, int], capacity: Capacity) -> list[tuple[int, d
     the state the score prefers, one piece per bin, until its pieces are used up.
     A piece over a capacity by itself gets a sequence of its own.
     """
-    most = np.array([
-        capacity.tokens,
-        capacity.documents or np.iinfo(np.int64).max // 4,
-        capacity.attention or np.iinfo(np.int64).max // 4,
-    ], dtype=np.float64)
+    most = capacity.bounds()
     weight = np.array(capacity.weights, dtype=np.float64)
     left = np.zeros((0, 3))
     count = np.zeros(0, np.int64)

@@ -1,15 +1,18 @@
 import gzip
 import hashlib
 import io
+import math
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tabspark.llm.packing import Capacity, best_fit, cut, pack_documents
+from tabspark.llm.queries import op3_packing
 from tabspark.llm.warc import (
     ArchiveError,
     archive_folder,
@@ -81,6 +84,30 @@ def test_pieces_are_whole_and_sequences_gapless(spark, odd_docs, no_docs):
     assert pack_documents(odd_docs).count() > 10 and pack_documents(no_docs).count() == 0
 
 
+def test_the_query_holds_all_three_capacities(spark):
+    """Over the query's own rows; sequences stay within half a percent of what the tokens need."""
+    rows = op3_packing(spark, "/root/testdata/sf0.01").select("sequence_id", "length")
+    length = F.col("length")
+    filled = rows.groupBy("sequence_id").agg(
+        F.sum(length).alias("tokens"), F.count("*").alias("documents"), F.sum(length * length).alias("attention")
+    )
+    got = filled.agg(F.max("tokens"), F.max("documents"), F.max("attention"), F.sum("tokens"), F.count("*")).first()
+    limits = Capacity().bounds()
+    assert (np.array(got[:3]) <= limits).all() and (Capacity().weights > np.zeros(3)).all()
+    assert got[4] <= 1.005 * math.ceil(got[3] / limits[0])
+
+
+def test_weights_decide_between_sequences():
+    """The 30 fits beside the 70 and beside both 33s; the number of documents left tips it."""
+    histogram = {70: 1, 33: 2, 30: 1}
+
+    def packed(*weights):
+        return sorted(sorted(inside.items()) for _, inside in best_fit(histogram, Capacity(100, 10, 10_000, weights)))
+
+    assert packed(1, 0, 0) == packed(1, 1, 1) == [[(30, 1), (70, 1)], [(33, 2)]]
+    assert packed(1, 10, 0) == [[(30, 1), (33, 2)], [(70, 1)]]
+
+
 def test_packing_encodes_long_white_space(spark):
     """Two million spaces or newlines in a row overflow the faster library's stack."""
     texts = [" " * 2_000_000 + "oak", "elm" + "\n" * 2_000_000, "fir"]
