@@ -1,8 +1,9 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tabspark.llm.kd_search import approximate_neighbours, chi_square_cdf
+from tabspark.llm.kd_search import Part, approximate_neighbours, box_gaps, build_index, chi_square_cdf, leaves, shadows, upper_levels
 from tabspark.llm.mtree import exact_top_k
 
 
@@ -61,6 +62,60 @@ def test_neighbours_reach_the_recall(vectors):
         assert scores == sorted(scores, reverse=True) and q not in [i for i, _ in rows]
 
 
+def test_clustered_neighbours_are_found_among_few(spark):
+    """Cells and the stopping test leave most vectors alone; a hot vector is dealt in parts."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(40, 16))
+    v = centres[rng.integers(0, 40, 4000)] + 0.1 * rng.normal(size=(4000, 16))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    v[1000:2400] = v[1000]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    index = build_index(df, shard_rows=300, page_rows=16)
+    assert index.cells.count() > 6 and index.cells.agg(F.max("parts")).first()[0] > 1
+    assert index.pages.agg(F.sum(F.size("ids"))).first()[0] == 4000
+    out = approximate_neighbours(df, every=40, k=10, shard_rows=300, page_rows=16)
+    found, expected = results(out), brute(df, 40, 10, lambda x: x)
+    hits = sum(len({i for i, _ in found[q]} & {i for i, _ in rows}) for q, rows in expected.items()
+               if not 1000 <= q < 2400)
+    wanted = sum(len(rows) for q, rows in expected.items() if not 1000 <= q < 2400)
+    assert hits >= 0.9 * wanted and set(found) == set(expected)
+    # equal vectors tie, so for them only the scores are told apart
+    assert all(found[q][-1][1] == pytest.approx(rows[-1][1]) for q, rows in expected.items() if 1000 <= q < 2400)
+    assert out.select("query_id", "verified").distinct().agg(F.avg("verified")).first()[0] < 2000
+
+
+def test_projected_neighbours_come_nearest_first():
+    v = np.random.default_rng(2).normal(size=(500, 6))
+    points = shadows(v, 1.0, 60.0, 4, 5)
+    pages = [(6, ids, v[ids].ravel(), points[ids].min(axis=0), points[ids].max(axis=0)) for ids in leaves(points, 20)]
+    part = Part((1.0, 60.0, 4, 5), pd.DataFrame(pages, columns=["dim", "ids", "v", "low", "high"]))
+    at = shadows(v[:1], 1.0, 0.0, 4, 5)[0]
+    rows, far, limits = zip(*part.neighbours(at))
+    order, gaps = np.concatenate(rows), np.concatenate(far)
+    assert (np.diff(gaps) >= 0).all() and sorted(part.ids[order]) == list(range(500))
+    assert all((f <= limit).all() for f, limit in zip(far, limits)) and limits[-1] == np.inf
+    # everything found where nothing may be left out
+    scores, ids, verified = part.search(v[0], at, 0, 5, -np.inf, 1.1)
+    exact = sorted(((-float((v[0] * x).sum()), i) for i, x in enumerate(v) if i), key=lambda t: t)[:5]
+    assert ids.tolist() == [i for _, i in exact] and verified == 500
+
+
+def test_upper_levels_keep_equal_points_together():
+    points = np.repeat(np.random.default_rng(4).normal(size=(50, 4)), 20, axis=0)
+    tree = upper_levels(points, 100)
+    cells = tree.cells(points)
+    assert len(set(cells)) == len(tree.axis) + 1 > 5
+    assert all(len(set(cells[i : i + 20])) == 1 for i in range(0, 1000, 20))
+    assert upper_levels(np.ones((500, 4)), 100) is None and upper_levels(points, 1000) is None
+    assert box_gaps(np.zeros((1, 2)), np.ones((1, 2)), np.array([3.0, 0.5])).tolist() == [4.0]
+
+
+def test_neighbours_of_vectors_near_the_limits_of_doubles(spark):
+    rows = [(i * 20, [10.0 ** (290 + i), 1.0, -(10.0 ** (200 + i))]) for i in range(8)] + [(7, [1e-300, 0.0, 0.0])]
+    df = approximate_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3)
+    assert df.where("rank <= 3 AND NOT isnan(score)").count() == 24
+
+
 def test_no_vectors_give_no_rows(vectors):
     empty = vectors.where("vec_id = -1")
     assert exact_top_k(empty).count() == 0
