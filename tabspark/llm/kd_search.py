@@ -30,8 +30,8 @@ SAMPLE_ROWS = 65_536
 #: cells at most, about, so that their boxes stay below 3 MB; beyond it cells grow
 MAX_CELLS = 16_384
 #: neighbours verified between two stopping tests, and pages opened at a time
-BATCHES = (32, 32, 64, 128, 256)
-OPENED = (2, 4, 8, 16)
+BATCHES = (64, 128, 256, 512)
+OPENED = (2, 6, 12, 24)
 
 
 @dataclass(frozen=True)
@@ -224,11 +224,11 @@ class Part:
     def __init__(self, index_like: tuple, pages: pd.DataFrame) -> None:
         self.unit, self.norm2, self.m, seed = index_like
         dim = int(pages["dim"].iloc[0])
-        sizes = np.array([len(i) for i in pages["ids"]])
-        self.ends = np.cumsum(sizes)
-        self.starts = self.ends - sizes
+        ends = np.cumsum([len(i) for i in pages["ids"]])
+        self.rows = np.split(np.arange(ends[-1]), ends[:-1])
         self.ids = np.concatenate(list(pages["ids"]))
         self.v = np.concatenate(list(pages["v"])).reshape(-1, dim)
+        self.short = (self.v / self.unit).astype(np.float32)
         self.points = shadows(self.v, self.unit, self.norm2, self.m, seed)
         self.low, self.high = matrix(pages["low"]), matrix(pages["high"])
 
@@ -243,49 +243,73 @@ class Part:
         done, turn = 0, 0
         while done < len(order):
             step = OPENED[min(turn, len(OPENED) - 1)]
-            pages = order[done : done + step]
-            new = np.concatenate([np.arange(self.starts[p], self.ends[p]) for p in pages])
+            new = np.concatenate([self.rows[p] for p in order[done : done + step]])
+            gap = self.points[new] - shadow
             rows = np.concatenate([rows, new])
-            far = np.concatenate([far, ((self.points[new] - shadow) ** 2).sum(axis=1)])
+            far = np.concatenate([far, np.einsum("ij,ij->i", gap, gap)])
             done, turn = done + step, turn + 1
-            limit = gaps[order[done]] if done < len(order) else np.inf
-            ready = np.flatnonzero(far <= limit)
-            ready = ready[np.argsort(far[ready], kind="stable")]
-            yield rows[ready], far[ready], limit
-            rest = far > limit
-            rows, far = rows[rest], far[rest]
+            limit = float(gaps[order[done]]) if done < len(order) else np.inf
+            near = far <= limit
+            ready, at = rows[near], far[near]
+            by = np.argsort(at, kind="stable")
+            yield ready[by], at[by], limit
+            rows, far = rows[~near], far[~near]
 
     def search(self, q: np.ndarray, shadow: np.ndarray, own: int, k: int, least: float,
-               certainty: float) -> tuple[np.ndarray, np.ndarray, int]:
-        """(scores, ids, vectors verified): the ``k`` best found that beat or meet ``least``."""
+               times: float) -> tuple[np.ndarray, np.ndarray, int]:
+        """(scores, ids, vectors verified): the ``k`` best found that beat or meet ``least``.
+
+        ``times`` is the chi-square quantile of the wanted certainty.
+        """
         scaled = q / self.unit
         base = float(scaled @ scaled) + self.norm2
+        short = scaled.astype(np.float32)
+        slack = 1e-6 * len(q) * (base + 1)
         scores, ids, verified, turn = np.zeros(0), np.zeros(0, np.int64), 0, 0
-
-        def closed(gap: float) -> bool:
-            return gap > 0 and bool(chance(gap, base, least, self.unit, self.m) >= certainty)
-
+        reach, bar = ends(least, base, self.unit, times), least / self.unit / self.unit - slack
         for rows, far, limit in self.neighbours(shadow):
             at = 0
             while at < len(rows):
-                if closed(far[at]):
+                stop = min(at + BATCHES[min(turn, len(BATCHES) - 1)], int(np.searchsorted(far, reach)))
+                if stop <= at:
                     return scores, ids, verified
-                size = BATCHES[min(turn, len(BATCHES) - 1)]
-                batch = rows[at : at + size]
-                at, turn, verified = at + size, turn + 1, verified + len(batch)
+                batch = rows[at:stop]
+                verified, at, turn = verified + len(batch), stop, turn + 1
+                # a short product rules most out; the others get the exact one
+                batch = batch[self.short[batch] @ short >= bar]
                 batch = batch[self.ids[batch] != own]
+                if not len(batch):
+                    continue
                 exact = products(self.v[batch], q)
-                good = exact >= least
-                if good.any():
-                    scores = np.concatenate([scores, exact[good]])
-                    ids = np.concatenate([ids, self.ids[batch[good]]])
-                    best = top_rows(scores, ids, k)
-                    scores, ids = scores[best], ids[best]
-                    if len(scores) == k:
-                        least = max(least, scores[-1])
-            if closed(limit):
+                scores, ids = np.concatenate([scores, exact]), np.concatenate([ids, self.ids[batch]])
+                best = top_rows(scores, ids, k)
+                scores, ids = scores[best], ids[best]
+                if len(scores) == k and scores[-1] > least:
+                    least = float(scores[-1])
+                    reach, bar = ends(least, base, self.unit, times), least / self.unit / self.unit - slack
+            if limit >= reach:
                 break
-        return scores, ids, verified
+        good = scores >= least
+        return scores[good], ids[good], verified
+
+
+def ends(least: float, base: float, unit: float, times: float) -> float:
+    """The squared projected distance at which the search for more than ``least`` ends."""
+    if not np.isfinite(least):
+        return np.inf
+    return times * max(base - 2 * (least / unit / unit), 1e-300)
+
+
+def quantile(certainty: float, degrees: int) -> float:
+    """Where the chi-square distribution reaches ``certainty``; infinite from 1 on."""
+    if certainty >= 1:
+        return np.inf
+    low, high = 0.0, 1400.0
+    for _ in range(80):
+        middle = (low + high) / 2
+        below = chi_square_cdf(np.array([middle]), degrees)[0] < certainty
+        low, high = (middle, high) if below else (low, middle)
+    return high
 
 
 def products(v: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -295,14 +319,6 @@ def products(v: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(out), -np.inf, out)
 
 
-def chance(gaps, base: float, least: float, unit: float, m: int):
-    """The probability that a vector as near as the k-th best has been met before ``gaps``."""
-    if not np.isfinite(least):
-        return np.zeros_like(gaps, dtype=float)
-    radius = max(base - 2 * (least / unit / unit), 1e-300)
-    return chi_square_cdf(np.asarray(gaps, dtype=float) / radius, m)
-
-
 def search_index(index: KdIndex, queries: DataFrame, k: int, certainty: float = 0.95,
                  block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score, verified) of the ``k`` nearest found for (id, v, dim) rows.
@@ -312,6 +328,7 @@ def search_index(index: KdIndex, queries: DataFrame, k: int, certainty: float =
     query's id are no candidates, nor are vectors of another length.
     """
     upper, unit, norm2, m, seed = index.upper, index.unit, index.norm2, index.directions, index.seed
+    times = quantile(certainty, m)
 
     def routes(first: bool):
         """Each query with the cells to visit: the nearest one, or all others still open."""
@@ -324,14 +341,13 @@ def search_index(index: KdIndex, queries: DataFrame, k: int, certainty: float =
                     if tree is None:
                         where.append([0] if first else [])
                         continue
-                    q = v[None, :] / unit
                     gaps = box_gaps(tree.low, tree.high, shadows(v[None, :], unit, 0.0, m, seed)[0])
                     nearest = int(np.argmin(gaps))
                     if first:
                         where.append([nearest])
                         continue
-                    seen = chance(gaps, float((q * q).sum()) + norm2, least, unit, m)
-                    left = np.flatnonzero((seen < certainty) & np.isfinite(gaps))
+                    q = v / unit
+                    left = np.flatnonzero((gaps < ends(least, float(q @ q) + norm2, unit, times)) & np.isfinite(gaps))
                     where.append(left[left != nearest].tolist())
                 yield batch.assign(cell=where).explode("cell").dropna(subset=["cell"]).astype({"cell": "int32"})
 
@@ -345,7 +361,7 @@ def search_index(index: KdIndex, queries: DataFrame, k: int, certainty: float =
         below = shadows(v, unit, 0.0, m, seed)
         out = []
         for q, shadow, own, least in zip(v, below, asked["id"].to_numpy(), asked["least"].to_numpy()):
-            scores, ids, verified = part.search(q, shadow, own, k, least, certainty)
+            scores, ids, verified = part.search(q, shadow, own, k, least, times)
             out.append(pd.DataFrame({"query_id": own, "vec_id": ids, "score": scores, "verified": 0}))
             out.append(pd.DataFrame({"query_id": [own], "vec_id": None, "score": None, "verified": verified}))
         return pd.concat(out).astype({"vec_id": "Int64", "score": "Float64"})

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tabspark.llm.kd_search import Part, approximate_neighbours, box_gaps, build_index, chi_square_cdf, leaves, shadows, upper_levels
+from tabspark.llm.kd_search import Part, approximate_neighbours, box_gaps, build_index, chi_square_cdf, leaves, quantile, shadows, upper_levels
 from tabspark.llm.mtree import exact_top_k
 
 
@@ -95,7 +95,7 @@ def test_projected_neighbours_come_nearest_first():
     assert (np.diff(gaps) >= 0).all() and sorted(part.ids[order]) == list(range(500))
     assert all((f <= limit).all() for f, limit in zip(far, limits)) and limits[-1] == np.inf
     # everything found where nothing may be left out
-    scores, ids, verified = part.search(v[0], at, 0, 5, -np.inf, 1.1)
+    scores, ids, verified = part.search(v[0], at, 0, 5, -np.inf, quantile(1, 4))
     exact = sorted(((-float((v[0] * x).sum()), i) for i, x in enumerate(v) if i), key=lambda t: t)[:5]
     assert ids.tolist() == [i for _, i in exact] and verified == 500
 
@@ -130,3 +130,4 @@ def test_huge_components_do_not_crash(spark):
 
 def test_chi_square():
     assert chi_square_cdf(np.array([0.0, 2.0, 1e6]), 2) == pytest.approx([0, 1 - np.exp(-1), 1])
+    assert quantile(1 - np.exp(-1), 2) == pytest.approx(2) and quantile(1, 8) == np.inf
