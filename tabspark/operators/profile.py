@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tabspark.functions import any_of, guarded_corr, nan_to_null
 from tabspark.operators.quantiles import percentiles
-from tabspark.operators.relational import lookup_join, small_table
+from tabspark.operators.relational import counted_hot_keys, held_once, lookup_join
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -161,27 +161,39 @@ def _bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
 def histogram(df: DataFrame, value: str, bins: int = 40, by: Sequence[str] = ()) -> DataFrame:
     """(by…, bin, low, high, n), empty bins included; each group has its own range.
 
-    Rows without a group are left out.
+    Rows without a group are left out. Any number of groups takes two passes over the
+    rows: one for the ranges and the rows of each group, which tell the hot ones, one
+    that counts.
     """
     by = list(by)
     df = df.dropna(subset=by) if by else df
     rows = df.select(*by, nan_to_null(F.col(value)).alias("x")).where("x IS NOT NULL")
     lo, hi = F.col("lo"), F.col("hi")
-    bounds = rows.groupBy(*by).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    if by:
-        small = small_table(bounds)
-        frame = bounds if small is None else small
-        placed = lookup_join(rows, frame, by)
-    else:
-        edge = bounds.first()  # one row
+    bounds = rows.groupBy(*by).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("rows"))
+    place = _bin(F.col("x"), lo, hi, bins).alias("bin")
+    if not by:
+        edge = bounds.drop("rows").first()  # one row
         placed = rows.withColumns({k: F.lit(edge[k]).cast("double") for k in ("lo", "hi")})
-        frame = bounds.sparkSession.createDataFrame([edge], bounds.schema)
-    counts = placed.groupBy(*by, _bin(F.col("x"), lo, hi, bins).alias("bin")).agg(
-        F.count("*").alias("n")
-    )
+        frame = bounds.sparkSession.createDataFrame([edge], bounds.drop("rows").schema)
+        counts = placed.groupBy(place).agg(F.count("*").alias("n"))
+        slots = frame.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
+        return _edged(slots.join(counts, "bin", "left"), by, bins)
+    frame, small = held_once(bounds)
+    hot = None if small else counted_hot_keys(frame, by, F.col("rows"), rows.schema)
+    placed = lookup_join(rows, frame.drop("rows"), by, hot=hot)
+    counts = placed.groupBy(*by, "lo", "hi", place).agg(F.count("*").alias("n"))
+    # a group's filled bins meet in one row, at most one entry per bin
+    filled = F.map_from_entries(F.collect_list(F.struct("bin", "n")))
+    slots = counts.groupBy(*by, "lo", "hi").agg(filled.alias("filled"))
+    slots = slots.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
+    return _edged(slots.withColumn("n", F.try_element_at("filled", "bin")), by, bins)
+
+
+def _edged(slots: DataFrame, by: Sequence[str], bins: int) -> DataFrame:
+    """(by…, bin, low, high, n) from (by…, lo, hi, bin, n)."""
+    lo, hi = F.col("lo"), F.col("hi")
     width = (hi - lo) / F.lit(float(bins))
-    slots = frame.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
-    return slots.join(counts, [*by, "bin"], "left").select(
+    return slots.select(
         *by,
         "bin",
         (lo + (F.col("bin") - 1) * width).alias("low"),

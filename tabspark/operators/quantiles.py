@@ -24,14 +24,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabspark.functions import any_of, nan_to_null
-from tabspark.operators.relational import local_table, lookup_join, small_table
+from tabspark.operators.relational import (
+    MERGERS,
+    HotKeys,
+    counted_hot_keys,
+    held_once,
+    local_table,
+    lookup_join,
+    small_table,
+)
 from tabspark.session import checkpointed
 
 INF = float("inf")
 KEEP_ROWS = 200_000
 SKETCH_K = 4_096
 MARGIN = 0.0026  # twice the rank error of a sketch of that size
-MERGERS = 512
 GRID = 200
 
 
@@ -59,14 +66,13 @@ def percentiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
 
 def _hold(df: DataFrame) -> DataFrame:
     """Keep one row per group: on the driver if few, else in the checkpoint folder."""
-    small = small_table(df)
-    return checkpointed(df) if small is None else small
+    return held_once(df)[0]
 
 
-def _bind(rows: DataFrame, table: DataFrame, by: Sequence[str]) -> DataFrame:
+def _bind(rows: DataFrame, table: DataFrame, by: Sequence[str], hot: HotKeys | None = None) -> DataFrame:
     """Attach each group's parameters; the only row of an ungrouped table as literals."""
     if by:
-        return lookup_join(rows, table, by)
+        return lookup_join(rows, table, by, hot=hot)
     row = table.first()
     literals = {f.name: F.lit(row[f.name]).cast(f.dataType) for f in table.schema.fields}
     return rows.withColumns(literals)
@@ -127,13 +133,16 @@ def _all_counts(inputs: Sequence[str], probs: Sequence[float]) -> list[Column]:
 
 
 def _first_brackets(rows: DataFrame, first: DataFrame, inputs: Sequence[str], probs: Sequence[float],
-                    by: Sequence[str]) -> DataFrame:
+                    by: Sequence[str], hot: HotKeys | None) -> DataFrame:
     """(by…, t, p, n, lo…, hi…), one row per group, input and percentile.
 
     [lo, hi] holds the ranks floor(p·(n−1)) and ceil(p·(n−1)); *_lt and *_le
     count the rows below and up to a bound. One pass over the table.
     """
-    counted = _bind(_bind(rows, first, by).groupBy(*by).agg(*_all_counts(inputs, probs)), first, by)
+    bound = _bind(rows, first, by, hot)
+    # a group has one row on either side, so none is hot there
+    once = HotKeys(tuple(by), ())
+    counted = _bind(bound.groupBy(*by).agg(*_all_counts(inputs, probs)), first, by, once)
     brackets = []
     for t, (i, p) in enumerate(_targets(inputs, probs)):
         n = F.col(f"n_{i}")
@@ -295,7 +304,7 @@ BETWEEN = "greatest(hi_lt - lo_le, 0)"
 
 
 def _between(rows: DataFrame, state: DataFrame, inputs: Sequence[str], m: int,
-             by: Sequence[str]) -> DataFrame:
+             by: Sequence[str], hot: HotKeys | None) -> DataFrame:
     """(by…, t, value) of the rows strictly inside a bracket. One pass."""
     n_targets = len(inputs) * m
     wide = state.groupBy(*by).agg(
@@ -305,7 +314,7 @@ def _between(rows: DataFrame, state: DataFrame, inputs: Sequence[str], m: int,
             for end in ("lo", "hi")
         ]
     )
-    return _within(_bind(rows, _hold(wide), by), inputs, m, by)
+    return _within(_bind(rows, _hold(wide), by, hot), inputs, m, by)
 
 
 def _within(bound: DataFrame, inputs: Sequence[str], m: int, by: Sequence[str]) -> DataFrame:
@@ -319,9 +328,9 @@ def _within(bound: DataFrame, inputs: Sequence[str], m: int, by: Sequence[str])
     return bound.where(any_of(tests)).select(*by, F.inline(F.array_compact(F.array(*cells))))
 
 
-def _narrowed(near: DataFrame, state: DataFrame, key: Sequence[str]) -> DataFrame:
+def _narrowed(near: DataFrame, state: DataFrame, key: Sequence[str], hot: HotKeys | None) -> DataFrame:
     """One more round on the kept rows: propose closer bounds, count, accept."""
-    inside = lookup_join(near, state, key).where(INSIDE).select(*key, "value")
+    inside = lookup_join(near, state, key, hot=hot).where(INSIDE).select(*key, "value")
     grid = _at(F.col("s_0"), [i / GRID for i in range(GRID + 1)])
 
     def pick(rank: Column, step: int) -> Column:
@@ -337,7 +346,7 @@ def _narrowed(near: DataFrame, state: DataFrame, key: Sequence[str]) -> DataFram
     )
     proposed = _hold(proposed)
     counts = (
-        lookup_join(near, proposed, key).where(INSIDE).groupBy(*key).agg(*_counts(F.col("value")))
+        lookup_join(near, proposed, key, hot=hot).where(INSIDE).groupBy(*key).agg(*_counts(F.col("value")))
     )
     full = {
         c: F.coalesce(F.col(c), F.lit(0)) + F.col("lo_le") for c in ("a_lt", "a_le", "b_lt", "b_le")
@@ -349,16 +358,18 @@ def _narrowed(near: DataFrame, state: DataFrame, key: Sequence[str]) -> DataFram
 def _many_groups(rows: DataFrame, first: DataFrame, columns: Sequence[str], inputs: Sequence[str],
                  probs: Sequence[float], by: Sequence[str], keep_rows: int) -> DataFrame:
     key, m = [*by, "t"], len(probs)
-    state = _first_brackets(rows, first, inputs, probs, by)
-    near = _between(rows, state, inputs, m, by)
+    known = sum((F.col(f"n_{i}") for i in range(len(inputs))), F.lit(0))
+    hot = counted_hot_keys(first, by, known, rows.schema) if by else None
+    state = _first_brackets(rows, first, inputs, probs, by, hot)
+    near = _between(rows, state, inputs, m, by, hot)
     if (state.agg(F.max(F.expr(BETWEEN))).first()[0] or 0) > keep_rows:
         near = checkpointed(near)
         while state.agg(F.max(F.expr(BETWEEN))).first()[0] > keep_rows:
-            state = _narrowed(near, state, key)
+            state = _narrowed(near, state, key, hot)
 
     w = W.partitionBy(*key).orderBy("value").rowsBetween(W.unboundedPreceding, 0)
     ranked = (
-        lookup_join(near, state, key)
+        lookup_join(near, state, key, hot=hot)
         .where(INSIDE)
         .groupBy(*key, "value")
         .agg(F.count("*").alias("rows"))
@@ -392,6 +403,9 @@ def _many_groups(rows: DataFrame, first: DataFrame, columns: Sequence[str], inpu
     def cell(t: int) -> Column:
         return F.max(F.when(F.col("t") == t, F.col("found")))
 
-    return found.groupBy(*by).agg(
-        *[F.array(*[cell(i * m + j) for j in range(m)]).alias(c) for i, c in enumerate(columns)]
+    # read by joins and reports, so reckoned once
+    return _hold(
+        found.groupBy(*by).agg(
+            *[F.array(*[cell(i * m + j) for j in range(m)]).alias(c) for i, c in enumerate(columns)]
+        )
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,8 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tabspark.session import checkpointed
+
 SMALL_ROWS = 20_000
 SALTS = 64
+#: a key is hot if it holds more than one in so many rows; so there are fewer hot keys than that
+HOT_SHARE = 1_000
+TRACKED = 8_192  # of a frequent-items sketch, whose error is then below half of that share
+MERGERS = 512
 
 
 def small_table(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame | None:
@@ -32,24 +39,77 @@ def local_table(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType
     return spark.createDataFrame(pa.Table.from_arrays(columns, schema=kinds), schema)
 
 
+def held_once(df: DataFrame) -> tuple[DataFrame, bool]:
+    """``df`` evaluated once: on the driver if it is small (True), else in the checkpoint folder."""
+    kept = checkpointed(df)
+    small = small_table(kept)
+    return (kept, False) if small is None else (small, True)
+
+
+@dataclass(frozen=True)
+class HotKeys:
+    """Hashes of the few keys that hold a large share of the rows."""
+
+    keys: tuple[str, ...]
+    hashes: tuple[int, ...]
+
+    def test(self, kinds: T.StructType) -> Column:
+        return _key_hash(self.keys, kinds).isin(list(self.hashes))
+
+
+def _key_hash(keys: Sequence[str], kinds: T.StructType) -> Column:
+    """Hash of the keys in the types of ``kinds``; equal keys of another type hash alike."""
+    return F.xxhash64(*[F.col(k).try_cast(kinds[k].dataType) for k in keys])
+
+
+def frequent_keys(facts: DataFrame, keys: Sequence[str]) -> HotKeys:
+    """Hot keys by a frequent-items sketch of one pass, merged per source partition first."""
+    hashed = facts.select(
+        _key_hash(keys, facts.schema).alias("h"), (F.spark_partition_id() % MERGERS).alias("m")
+    )
+    parts = hashed.groupBy("m").agg(
+        F.count("*").alias("n"), F.expr(f"approx_top_k_accumulate(h, {TRACKED})").alias("s")
+    )
+    # by a constant, since sketches of no rows cannot be combined
+    row = parts.groupBy(F.lit(0).alias("all")).agg(
+        F.sum("n").alias("n"),
+        F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {TRACKED}), {2 * HOT_SHARE})").alias("top"),
+    ).first()
+    top = row["top"] if row else []
+    return HotKeys(tuple(keys), tuple(r["item"] for r in top if r["count"] * HOT_SHARE > row["n"]))
+
+
+def counted_hot_keys(counts: DataFrame, keys: Sequence[str], rows: Column, kinds: T.StructType) -> HotKeys:
+    """Hot keys where the ``rows`` of every key are known already."""
+    total = counts.agg(F.sum(rows)).first()[0] or 0
+    hot = counts.where(rows * HOT_SHARE > total).select(_key_hash(keys, kinds)).collect()
+    return HotKeys(tuple(keys), tuple(r[0] for r in hot))
+
+
 def lookup_join(facts: DataFrame, table: DataFrame, keys: Sequence[str], salts: int = SALTS,
-                limit: int = SMALL_ROWS) -> DataFrame:
+                limit: int = SMALL_ROWS, *, hot: HotKeys | None = None) -> DataFrame:
     """Inner join to a one-row-per-key table that does not need even keys.
 
-    A table of checked size is broadcast. A larger one is replicated ``salts``
-    times and joined on (key, salt), so that rows of one hot key spread over
-    ``salts`` tasks. The salt is a hash of the row and of the partition it comes
-    from: equal rows spread too, and a retried task repeats it.
+    A table of checked size is broadcast. A larger one is joined on (key, salt), where
+    only hot keys have more than one salt: their rows spread over ``salts`` tasks and
+    their row of the table is repeated as often, all others move once. Hot keys are
+    found by a sketch unless the caller knows them (by ``keys`` or some of them). The salt
+    is a hash of the row and of the partition it comes from: equal rows spread too, and a
+    retried task repeats it.
     """
     small = small_table(table, limit)
     if small is not None:
         return facts.join(F.broadcast(small), list(keys))
-    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    hashed = [f.name for f in facts.schema if "map<" not in f.dataType.simpleString()]
+    kinds = facts.schema
+    hot = frequent_keys(facts, keys) if hot is None else hot
+    if not hot.hashes:
+        return facts.join(table, list(keys))
+    hashed = [f.name for f in kinds if "map<" not in f.dataType.simpleString()]
     salt = F.pmod(F.xxhash64(F.spark_partition_id(), *hashed), F.lit(salts)).cast("int")
+    copies = F.sequence(F.lit(0), F.when(hot.test(kinds), salts - 1).otherwise(0))
     return (
-        facts.withColumn("_salt", salt)
-        .join(table.withColumn("_salt", copies), [*keys, "_salt"])
+        facts.withColumn("_salt", F.when(hot.test(kinds), salt).otherwise(0))
+        .join(table.withColumn("_salt", F.explode(copies)), [*keys, "_salt"])
         .drop("_salt")
     )
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import rows, synthetic
-from tabspark.operators import profile
+from tabspark.operators import profile, relational
 from tabspark.operators.profile import corr_matrix
 from tabspark.operators.encode import encode
 from tabspark.spec import medical_charges
@@ -85,6 +85,37 @@ def test_histogram_edge_cases(spark):
     assert [r["n"] for r in out] == [2, 0, 0, 0]
 
 
+def counted_reads(df):
+    """``df`` with a counter of the rows that are read from it."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(run, df.schema), seen
+
+
+@pytest.mark.parametrize("limit", [20_000, 10])
+def test_histogram_of_many_groups_reads_twice(spark, monkeypatch, limit):
+    """One group holds a third of the rows; within the driver's limit or beyond it."""
+    monkeypatch.setattr(relational.small_table, "__defaults__", (limit,))
+    monkeypatch.setattr(relational.lookup_join, "__defaults__", (8, limit))
+    df = spark.range(9000).selectExpr(
+        "IF(id % 3 = 0, 'hot', CAST(id % 700 AS STRING)) AS g", "CAST((id * 7919) % 4001 AS DOUBLE) AS x"
+    )
+    data = df.toPandas()
+    counted, seen = counted_reads(df)
+    got = profile.histogram(counted, "x", 5, ["g"]).toPandas()
+    assert seen.value == 2 * 9000
+    for g, part in data.groupby("g"):
+        want, edges = np.histogram(part.x, bins=5)
+        mine = got[got.g == g].sort_values("bin")
+        assert mine.n.tolist() == want.tolist() and mine.low.tolist() == pytest.approx(edges[:-1].tolist())
+    assert len(got) == 5 * data.g.nunique()
+
+
 def test_boxplot(raw, pdf):
     out = {r["region"]: r for r in profile.boxplot(raw, "charges", ["region"]).collect()}
     n_out = 0

@@ -84,6 +84,32 @@ def test_lookup_join_both_ways(spark, limit):
     assert ("_salt" in plan) == (limit == 0)
 
 
+def test_only_hot_keys_are_salted(spark, monkeypatch):
+    """One key of a third of all rows among thousands of rare ones, in another integer type."""
+    facts = spark.range(30_000).selectExpr("IF(id % 3 = 0, -1, CAST(id AS INT)) AS g", "id")
+    table = facts.select(F.col("g").cast("long").alias("g")).distinct().withColumn("t", F.col("g") * 2)
+    hot = rel.frequent_keys(facts, ["g"])
+    counts = table.join(facts.groupBy("g").count(), "g")
+    assert rel.counted_hot_keys(counts, ["g"], F.col("count"), facts.schema) == hot
+    assert facts.where(hot.test(facts.schema)).select("g").distinct().collect() == [(-1,)]
+    assert table.where(hot.test(facts.schema)).count() == 1
+    out = rel.lookup_join(facts, table, ["g"], salts=8, limit=10)
+    assert out.count() == 30_000 and out.where("t <> g * 2").count() == 0
+    even = facts.where("g >= 0")
+    assert rel.frequent_keys(even, ["g"]).hashes == ()
+    assert "_salt" not in rel.lookup_join(even, table, ["g"], limit=10).columns
+    assert rel.lookup_join(even, table, ["g"], limit=10).count() == 20_000
+    assert rel.lookup_join(facts.limit(0), table, ["g"], limit=10).count() == 0
+
+
+def test_minus_zero_and_nan_are_hot_alike(spark):
+    values = [0.0, -0.0] * 50 + [float("nan")] * 50
+    facts = spark.createDataFrame([(v,) for v in values], "g double").repartition(3)
+    table = spark.createDataFrame([(-0.0, 1), (float("nan"), 2)], "g double, t int")
+    out = rel.lookup_join(facts, table, ["g"], salts=8, limit=0)
+    assert rows(out.groupBy("t").count(), "t") == [(1, 100), (2, 50)]
+
+
 def test_equal_rows_of_a_hot_key_spread_over_salts(spark):
     facts = spark.range(2000, numPartitions=40).selectExpr("1 AS g", "map('k', 1) AS m", "'same' AS v")
     table = spark.createDataFrame([(1, "t")], "g int, t string")

@@ -213,6 +213,12 @@ def histogram_by(spark, sf_dir):
     return _edges(profile.histogram(table(spark, sf_dir, "events"), "value", 30, ["event_type"]))
 
 
+@query("histogram_many_groups", "WITH " + histogram_sql("lineitem", "l_extendedprice", 5, "l_orderkey"))
+def histogram_many_groups(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem")
+    return _edges(profile.histogram(line, "l_extendedprice", 5, ["l_orderkey"]))
+
+
 def boxplot_sql(source: str, value: str, by: str) -> str:
     return f"""q AS (SELECT {by}, quantile_cont({value}, 0.25) AS q1, quantile_cont({value}, 0.5) AS median,
          quantile_cont({value}, 0.75) AS q3 FROM {source} GROUP BY {by}),
