@@ -25,11 +25,11 @@ def shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("rows")).withColumn("columns", F.lit(len(df.columns)))
 
 
-def _long(row: DataFrame, columns: Sequence[str], stats: Sequence[str],
-          digits: int | None) -> DataFrame:
-    """One wide row of ``{stat}_{i}`` cells → one row per column."""
+def long_rows(row: DataFrame, columns: Sequence[str], stats: Sequence[str],
+              digits: int | None, tag: str = "") -> DataFrame:
+    """One wide row of ``{stat}_{tag}{i}`` cells → one row per column."""
     def cell(stat: str, i: int) -> Column:
-        x = F.col(f"{stat}_{i}")
+        x = F.col(f"{stat}_{tag}{i}")
         return x if stat == "count" or digits is None else F.round(x, digits)
 
     structs = [
@@ -39,7 +39,7 @@ def _long(row: DataFrame, columns: Sequence[str], stats: Sequence[str],
     return row.select(F.inline(F.array(*structs)))
 
 
-def _moments(column: str) -> dict[str, Column]:
+def moments(column: str) -> dict[str, Column]:
     x = nan_to_null(F.col(column))
     return {"count": F.count(x), "mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x), "max": F.max(x)}
 
@@ -49,44 +49,40 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None,
     """count, mean, std (n−1), min, quartiles and max of each numeric column."""
     columns = list(columns or numeric_columns(df))
     names = ["p25", "p50", "p75"]
-    moments = [(f"{stat}_{i}", x) for i, c in enumerate(columns) for stat, x in _moments(c).items()]
-    found = percentiles(df.select(*columns), columns, QUARTILES, extras=moments)  # one row
+    extras = [(f"{stat}_{i}", x) for i, c in enumerate(columns) for stat, x in moments(c).items()]
+    found = percentiles(df.select(*columns), columns, QUARTILES, extras=extras)  # one row
     row = found.withColumns(
         {f"{name}_{i}": F.col(c)[k] for i, c in enumerate(columns) for k, name in enumerate(names)}
     )
-    return _long(row, columns, ["count", "mean", "std", "min", *names, "max"], digits)
+    return long_rows(row, columns, ["count", "mean", "std", "min", *names, "max"], digits)
 
 
 def feature_ranges(df: DataFrame, columns: Sequence[str] | None = None,
                    digits: int | None = 2) -> DataFrame:
     """min, max, mean, std (n−1) and range of each feature."""
     columns = list(columns or numeric_columns(df))
-    row = df.agg(*[x.alias(f"{stat}_{i}") for i, c in enumerate(columns) for stat, x in _moments(c).items()])
+    row = df.agg(*[x.alias(f"{stat}_{i}") for i, c in enumerate(columns) for stat, x in moments(c).items()])
     row = row.withColumns(
         {f"range_{i}": F.col(f"max_{i}") - F.col(f"min_{i}") for i in range(len(columns))}
     )
-    return _long(row, columns, ["min", "max", "mean", "std", "range"], digits)
+    return long_rows(row, columns, ["min", "max", "mean", "std", "range"], digits)
 
 
-def target_summary(df: DataFrame, target: str) -> DataFrame:
+def target_moments(target: str) -> dict[str, Column]:
     """NaN is missing, as everywhere."""
     y = F.when(~F.isnan(target), F.col(target))
-    return df.agg(
-        F.avg(y).alias("mean"),
-        F.stddev_samp(y).alias("std"),
-        F.min(y).alias("min"),
-        F.max(y).alias("max"),
-    )
+    return {"mean": F.avg(y), "std": F.stddev_samp(y), "count": F.count(y), "min": F.min(y), "max": F.max(y)}
+
+
+def target_summary(df: DataFrame, target: str) -> DataFrame:
+    found = target_moments(target)
+    return df.agg(*[found[s].alias(s) for s in ("mean", "std", "min", "max")])
 
 
 def segment_profile(df: DataFrame, segment: str, target: str) -> DataFrame:
-    """``count`` is the number of targets there are; NaN is missing."""
-    y = F.when(~F.isnan(target), F.col(target))
-    return df.groupBy(segment).agg(
-        F.avg(y).alias("mean"),
-        F.stddev_samp(y).alias("std"),
-        F.count(y).alias("count"),
-    )
+    """``count`` is the number of targets there are."""
+    found = target_moments(target)
+    return df.groupBy(segment).agg(*[found[s].alias(s) for s in ("mean", "std", "count")])
 
 
 def corr_with_target(df: DataFrame, target: str, columns: Sequence[str] | None = None,
@@ -95,11 +91,16 @@ def corr_with_target(df: DataFrame, target: str, columns: Sequence[str] | None =
     columns = [c for c in (columns or numeric_columns(df)) if c != target]
     y = nan_to_null(F.col(target))
     row = df.agg(
-        *[guarded_corr(nan_to_null(F.col(c)), y).alias(f"c_{i}") for i, c in enumerate(columns)]
+        *[guarded_corr(nan_to_null(F.col(c)), y).alias(f"corr_{i}") for i, c in enumerate(columns)]
     )
+    return corr_rows(row, columns, digits)
+
+
+def corr_rows(row: DataFrame, columns: Sequence[str], digits: int | None = None) -> DataFrame:
+    """One wide row of ``corr_{i}`` cells → one row per feature, ascending."""
     cells = []
     for i, c in enumerate(columns):
-        r = F.col(f"c_{i}") if digits is None else F.round(f"c_{i}", digits)
+        r = F.col(f"corr_{i}") if digits is None else F.round(f"corr_{i}", digits)
         cells.append(F.struct(F.lit(c).alias("feature"), r.alias("corr")))
     return row.select(F.inline(F.array(*cells))).orderBy("corr", "feature")
 
@@ -152,7 +153,7 @@ def corr_matrix(df: DataFrame, columns: Sequence[str] | None = None, digits: int
     )
 
 
-def _bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
+def place(x: Column, lo: Column, hi: Column, bins: int) -> Column:
     """1-based equal-width bin; the last one is closed, a constant column is bin 1."""
     place = F.floor((x - lo) / F.nullif(hi - lo, F.lit(0.0)) * F.lit(float(bins)))
     return F.least(F.coalesce(place, F.lit(0)) + 1, F.lit(bins)).cast("int")
@@ -170,26 +171,26 @@ def histogram(df: DataFrame, value: str, bins: int = 40, by: Sequence[str] = ())
     rows = df.select(*by, nan_to_null(F.col(value)).alias("x")).where("x IS NOT NULL")
     lo, hi = F.col("lo"), F.col("hi")
     bounds = rows.groupBy(*by).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("rows"))
-    place = _bin(F.col("x"), lo, hi, bins).alias("bin")
+    at = place(F.col("x"), lo, hi, bins).alias("bin")
     if not by:
         edge = bounds.drop("rows").first()  # one row
         placed = rows.withColumns({k: F.lit(edge[k]).cast("double") for k in ("lo", "hi")})
         frame = bounds.sparkSession.createDataFrame([edge], bounds.drop("rows").schema)
-        counts = placed.groupBy(place).agg(F.count("*").alias("n"))
+        counts = placed.groupBy(at).agg(F.count("*").alias("n"))
         slots = frame.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
-        return _edged(slots.join(counts, "bin", "left"), by, bins)
+        return edged(slots.join(counts, "bin", "left"), by, bins)
     frame, small = held_once(bounds)
     hot = None if small else counted_hot_keys(frame, by, F.col("rows"), rows.schema)
     placed = lookup_join(rows, frame.drop("rows"), by, hot=hot)
-    counts = placed.groupBy(*by, "lo", "hi", place).agg(F.count("*").alias("n"))
+    counts = placed.groupBy(*by, "lo", "hi", at).agg(F.count("*").alias("n"))
     # a group's filled bins meet in one row, at most one entry per bin
     filled = F.map_from_entries(F.collect_list(F.struct("bin", "n")))
     slots = counts.groupBy(*by, "lo", "hi").agg(filled.alias("filled"))
     slots = slots.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
-    return _edged(slots.withColumn("n", F.try_element_at("filled", "bin")), by, bins)
+    return edged(slots.withColumn("n", F.try_element_at("filled", "bin")), by, bins)
 
 
-def _edged(slots: DataFrame, by: Sequence[str], bins: int) -> DataFrame:
+def edged(slots: DataFrame, by: Sequence[str], bins: int) -> DataFrame:
     """(by…, bin, low, high, n) from (by…, lo, hi, bin, n)."""
     lo, hi = F.col("lo"), F.col("hi")
     width = (hi - lo) / F.lit(float(bins))
@@ -213,7 +214,7 @@ def scatter_bins(df: DataFrame, x: str, y: str, cls: str, bins: int = 50) -> Dat
     edge = rows.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     x0, x1, y0, y1 = (F.lit(e).cast("double") for e in edge)
     return rows.groupBy(
-        cls, _bin(F.col("x"), x0, x1, bins).alias("x_bin"), _bin(F.col("y"), y0, y1, bins).alias("y_bin")
+        cls, place(F.col("x"), x0, x1, bins).alias("x_bin"), place(F.col("y"), y0, y1, bins).alias("y_bin")
     ).agg(F.count("*").alias("n"))
 
 

@@ -113,19 +113,25 @@ def error_counts(df: DataFrame, errors: str = "errors") -> DataFrame:
     )
 
 
-def null_audit(df: DataFrame) -> DataFrame:
-    """(column, nulls) for every column and ``(total)``, in one pass.
-
-    NaN counts as null, as missing cells of a numeric frame do.
-    """
+def null_cells(df: DataFrame) -> list[Column]:
+    """Per column, whether a cell is missing. NaN is, as in a numeric frame."""
     def empty(f: T.StructField) -> Column:
         x = F.col(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             return x.isNull() | F.isnan(x)
         return x.isNull()
 
-    counts = df.agg(*[F.count_if(empty(f)).alias(f.name) for f in df.schema.fields])
-    total = sum((F.col(c) for c in df.columns), F.lit(0))
-    cells = [F.struct(F.lit(c).alias("column"), F.col(c).alias("nulls")) for c in df.columns]
+    return [empty(f) for f in df.schema.fields]
+
+
+def null_rows(counts: DataFrame) -> DataFrame:
+    """One wide row of counts → (column, nulls) for every column and ``(total)``."""
+    total = sum((F.col(c) for c in counts.columns), F.lit(0))
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).alias("nulls")) for c in counts.columns]
     cells.append(F.struct(F.lit("(total)").alias("column"), total.alias("nulls")))
     return counts.select(F.inline(F.array(*cells)))
+
+
+def null_audit(df: DataFrame) -> DataFrame:
+    """(column, nulls) for every column and ``(total)``, in one pass."""
+    return null_rows(df.agg(*[F.count_if(x).alias(c) for c, x in zip(df.columns, null_cells(df))]))

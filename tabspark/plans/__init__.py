@@ -7,6 +7,7 @@ from tabspark.plans.ladder import (
     loss_history,
     seed_ensemble,
 )
+from tabspark.plans.report import profile_table
 from tabspark.plans.scoring import Scorer
 from tabspark.plans.study import Study, ingest_csv, run_study
 
@@ -21,6 +22,7 @@ __all__ = [
     "baselines",
     "ingest_csv",
     "loss_history",
+    "profile_table",
     "run_study",
     "seed_ensemble",
 ]

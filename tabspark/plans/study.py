@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabspark.operators import leaderboard as ranks
-from tabspark.operators import metrics, profile
+from tabspark.operators import metrics
 from tabspark.operators.encode import encode
 from tabspark.operators.split import HashSplit, fit_split
-from tabspark.operators.validate import null_audit
 from tabspark.plans.bagging import PoissonBag
 from tabspark.plans.ladder import ENSEMBLE_SEEDS, Experiment, Ladder, cached
+from tabspark.plans.report import profile_table
 from tabspark.plans.scoring import Scorer
 from tabspark.sources.records import read_csv, read_keyed
 from tabspark.spec import Preset
@@ -58,26 +58,6 @@ def ingest_csv(spark: SparkSession, csv: str, table: str, schema: T.StructType)
     return read_keyed(spark, table, KEY)
 
 
-def profile_table(df: DataFrame, preset: Preset, bins: int = 40) -> dict[str, DataFrame]:
-    """What is looked at before fitting."""
-    y, rule = preset.target, preset.segments
-    encoded = encode(df, preset.feature_sets["base"], keep=[y])
-    categories = [c.name for c in preset.features.categories]
-    return {
-        "shape": profile.shape(df),
-        "nulls": null_audit(df),
-        "describe": profile.describe(df, [n.name for n in preset.features.numerics] + [y]),
-        "ranges": profile.feature_ranges(encoded.drop(y)),
-        "target": profile.target_summary(df, y),
-        "segments": profile.segment_profile(df.withColumn("segment", rule.column()), "segment", y),
-        "correlations": profile.corr_with_target(encoded, y),
-        "histogram": profile.histogram(df, y, bins),
-        "histogram_by_flag": profile.histogram(df, y, 30, [rule.flag]),
-        "boxplot": profile.boxplot(df, y, [categories[-1]]),
-        "scatter": profile.scatter_bins(df, rule.x, y, rule.flag),
-    }
-
-
 def _with_ensemble(experiments: Sequence[Experiment], of: str, target: str) -> Ladder:
     """Add the seed ensemble of one experiment, each member fitted on a bag of its own seed.
 

@@ -49,6 +49,18 @@ def synthetic(spark, n=3000):
     return raw.withColumn("charges", F.round(charges, 2))
 
 
+def counted_reads(df):
+    """``df`` with a counter of the rows that are read from it."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(run, df.schema), seen
+
+
 def rows(df, *order):
     out = df.orderBy(*order) if order else df
     return [tuple(r) for r in out.collect()]

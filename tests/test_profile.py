@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import rows, synthetic
+from helpers import counted_reads, rows, synthetic
 from tabspark.operators import profile, relational
 from tabspark.operators.profile import corr_matrix
 from tabspark.operators.encode import encode
@@ -85,18 +85,6 @@ def test_histogram_edge_cases(spark):
     assert [r["n"] for r in out] == [2, 0, 0, 0]
 
 
-def counted_reads(df):
-    """``df`` with a counter of the rows that are read from it."""
-    seen = df.sparkSession.sparkContext.accumulator(0)
-
-    def run(batches):
-        for batch in batches:
-            seen.add(batch.num_rows)
-            yield batch
-
-    return df.mapInArrow(run, df.schema), seen
-
-
 @pytest.mark.parametrize("limit", [20_000, 10])
 def test_histogram_of_many_groups_reads_twice(spark, monkeypatch, limit):
     """One group holds a third of the rows; within the driver's limit or beyond it."""
