@@ -120,9 +120,25 @@ def encoded_columns(spec: FeatureSpec, fold: bool = True,
     return out
 
 
+def model_columns(spec: FeatureSpec, fold: bool = True, unknown: str = "error") -> dict[str, Column]:
+    """All features as double, as models take them in training and in scoring.
+
+    The inputs are widened before they are multiplied, so products of large integers do not overflow.
+    """
+    wide = {n: x.cast("double") for n, x in encoded_columns(spec, fold, unknown).items()}
+    return {n: x.cast("double") for n, x in spec.derive(wide).items()}
+
+
+def model_frame(df: DataFrame, spec: FeatureSpec, keep: Sequence[str | Column] = (), fold: bool = True,
+                unknown: str = "error") -> DataFrame:
+    """``keep`` and all features of the spec as double, from raw columns, in one projection."""
+    columns = model_columns(spec, fold, unknown)
+    return df.select(*keep, *[columns[n].alias(n) for n in spec.names])
+
+
 def encode(df: DataFrame, spec: FeatureSpec, keep: Sequence[str] = (), fold: bool = True,
            unknown: str = "error") -> DataFrame:
-    """``keep`` and all features of the spec, from raw columns, in one projection."""
+    """``keep`` and all features of the spec in the types of the inputs, from raw columns, in one projection."""
     columns = spec.derive(encoded_columns(spec, fold, unknown))
     return df.select(*keep, *[columns[n].alias(n) for n in spec.names])
 

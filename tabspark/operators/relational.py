@@ -187,21 +187,26 @@ def segment_by(rules: Sequence[tuple[Column, str]], default: str | None = None)
     return out.otherwise(F.lit(default).cast("string"))
 
 
-def restrict_to_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+def restrict_to_ids(df: DataFrame, ids: DataFrame, key: str, in_place: bool = False) -> DataFrame:
     """Rows whose id is in ``ids``. Prefer a ``split`` column where one exists.
 
-    Repeated ids are merged before the shuffle: a semi join cannot split them.
+    Repeated ids are merged before the shuffle: a semi join cannot split them. ``in_place``
+    asks for a merge of both sides as they lie, for tables bucketed by the id.
     """
-    return df.join(ids.select(key).distinct(), key, "left_semi")
+    wanted = ids.select(key).distinct()
+    return df.join(wanted.hint("merge") if in_place else wanted, key, "left_semi")
 
 
 def column_for_ids(df: DataFrame, ids: DataFrame, key: str, column: str) -> DataFrame:
     return restrict_to_ids(df.select(key, column), ids, key)
 
 
-def attach_predictions(df: DataFrame, predictions: DataFrame, key: str) -> DataFrame:
-    """Align predictions by id; the ids are unique on both sides."""
-    return df.join(predictions, key)
+def attach_predictions(df: DataFrame, predictions: DataFrame, key: str, in_place: bool = False) -> DataFrame:
+    """Align predictions by id; the ids are unique on both sides.
+
+    ``in_place`` asks for a merge of both sides as they lie, for tables bucketed by the id.
+    """
+    return df.join(predictions.hint("merge") if in_place else predictions, key)
 
 
 def first_n(df: DataFrame, key: str, n: int) -> DataFrame:

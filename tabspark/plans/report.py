@@ -45,9 +45,10 @@ def _within(name: str, *slices: str) -> Column:
     return F.when(F.col("slice").isin(*slices), F.col(name))
 
 
-def profile_table(df: DataFrame, preset: Preset, bins: int = 40, fold: bool = True) -> dict[str, DataFrame]:
+def profile_table(df: DataFrame, preset: Preset, bins: int = 40, fold: bool = True,
+                  digits: int | None = 2) -> dict[str, DataFrame]:
     """Named reports on the raw table; equal to the operators of the same name one by one."""
-    separate = _Separate(df, preset, bins, fold)
+    separate = _Separate(df, preset, bins, fold, digits)
     features = preset.feature_sets["base"].encoded_names
     numerics = [*(n.name for n in preset.features.numerics), preset.target]
     rows = separate.rows(numerics, features)
@@ -88,8 +89,8 @@ def profile_table(df: DataFrame, preset: Preset, bins: int = 40, fold: bool = Tr
     return {
         "shape": whole.select("rows", F.lit(len(df.columns)).alias("columns")),
         "nulls": null_rows(whole.select(*[F.col(f"null_{i}").alias(c) for i, c in enumerate(df.columns)])),
-        "describe": profile.long_rows(described, numerics, stats, 2, "d"),
-        "ranges": profile.long_rows(ranged, features, ["min", "max", "mean", "std", "range"], 2, "f"),
+        "describe": profile.long_rows(described, numerics, stats, digits, "d"),
+        "ranges": profile.long_rows(ranged, features, ["min", "max", "mean", "std", "range"], digits, "f"),
         "target": whole.select(*["mean", "std", "min", "max"]),
         "segments": found.where(F.col("slice") == SEGMENT).select(_group("segment"), "mean", "std", "count"),
         "correlations": profile.corr_rows(whole, features),
@@ -103,8 +104,9 @@ def profile_table(df: DataFrame, preset: Preset, bins: int = 40, fold: bool = Tr
 class _Separate:
     """The columns of a preset in the roles of the reports, and the reports one by one."""
 
-    def __init__(self, df: DataFrame, preset: Preset, bins: int, fold: bool) -> None:
-        self.df, self.preset, self.bins, self.fold = df, preset, bins, fold
+    def __init__(self, df: DataFrame, preset: Preset, bins: int = 40, fold: bool = True,
+                 digits: int | None = 2) -> None:
+        self.df, self.preset, self.bins, self.fold, self.digits = df, preset, bins, fold, digits
         self.category = preset.features.categories[-1].name
 
     def rows(self, numerics: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -131,8 +133,8 @@ class _Separate:
         return {
             "shape": profile.shape(df),
             "nulls": null_audit(df),
-            "describe": profile.describe(df, [*(n.name for n in p.features.numerics), y]),
-            "ranges": profile.feature_ranges(encoded.drop(y)),
+            "describe": profile.describe(df, [*(n.name for n in p.features.numerics), y], self.digits),
+            "ranges": profile.feature_ranges(encoded.drop(y), digits=self.digits),
             "target": profile.target_summary(df, y),
             "segments": profile.segment_profile(segmented, "segment", y),
             "correlations": profile.corr_with_target(encoded, y),

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabspark.functions import any_of
-from tabspark.operators.encode import encoded_columns
+from tabspark.operators.encode import model_columns
 from tabspark.operators.scale import Scaler
 from tabspark.operators.validate import coerce, validate
 from tabspark.plans.dense import DenseNet
@@ -72,10 +72,8 @@ class Scorer:
                 "_known": F.lit(trained) & ~any_of([F.col(n).isNull() for n in numerics]),
             }
         )
-        # as double, so that products of large integers do not overflow
-        inputs = encoded_columns(self.spec, not lenient, "zeros")
-        features = self.spec.derive({n: x.cast("double") for n, x in inputs.items()})
-        ready = {n: features[n].cast("double") for n in self.spec.names}
+        features = model_columns(self.spec, not lenient, "zeros")
+        ready = {n: features[n] for n in self.spec.names}
         if self.scaler and trained and not isinstance(self.model, DenseNet):
             ready = {n: self.scaler.column(n, x) for n, x in ready.items()}
         rows = self._predict(

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tabspark.operators import leaderboard as ranks
 from tabspark.operators import metrics
-from tabspark.operators.encode import encode
+from tabspark.operators.encode import model_frame
 from tabspark.operators.split import HashSplit, fit_split
 from tabspark.plans.bagging import PoissonBag
 from tabspark.plans.ladder import ENSEMBLE_SEEDS, Experiment, Ladder, cached
@@ -84,7 +84,7 @@ def run_study(df: DataFrame, preset: Preset, experiments: Sequence[Experiment],
     split = fit_split(df.select(KEY), KEY)
     segment: Column = preset.segments.column().alias("segment")
     keep = [KEY, F.col(y).cast("double").alias(y), "split", "is_validation", segment]
-    encoded = encode(split.apply(df), preset.features, keep)
+    encoded = model_frame(split.apply(df), preset.features, keep)
     if ensemble_of:
         ladder = _with_ensemble(experiments, ensemble_of, y)
     else:

@@ -4,6 +4,7 @@ from tabspark.sources.store import (
     load_model,
     load_scaler,
     load_spec,
+    save_bucketed,
     save_model,
     save_scaler,
     save_spec,
@@ -19,6 +20,7 @@ __all__ = [
     "read_keyed",
     "read_parquet",
     "records",
+    "save_bucketed",
     "save_model",
     "save_scaler",
     "save_spec",

@@ -25,7 +25,7 @@ def test_reports_equal_the_single_operators_in_four_passes(spark):
     counted, seen = counted_reads(df)
     found = profile_table(counted, PRESET)
     passes = seen.value / 1200
-    same(found, _Separate(df, PRESET, 40, True).reports())
+    same(found, _Separate(df, PRESET).reports())
     assert passes <= 4 and seen.value / 1200 == passes  # what is read of the reports later is no pass
 
 
@@ -37,9 +37,9 @@ def test_gaps_and_infinities(spark):
         "bmi": F.when(F.col("row_id") % 7 == 0, None).otherwise(F.col("bmi")),
         "smoker": F.when(F.col("row_id") % 11 == 0, None).otherwise(F.col("smoker")),
     })
-    same(profile_table(df, PRESET), _Separate(df, PRESET, 40, True).reports())
+    same(profile_table(df, PRESET), _Separate(df, PRESET).reports())
     no_target = df.withColumn("charges", F.lit(None).cast("double"))
-    same(profile_table(no_target, PRESET), _Separate(no_target, PRESET, 40, True).reports())
+    same(profile_table(no_target, PRESET), _Separate(no_target, PRESET).reports())
 
 
 def test_without_rows(spark):

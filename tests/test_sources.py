@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import types as T
 
 from helpers import PATIENTS, rows, synthetic
+from tabspark.operators.relational import attach_predictions, restrict_to_ids
 from tabspark.operators.scale import fit_scaler
 from tabspark.session import checkpointed, scratch_path, scratch_root
 from tabspark.sources import (
@@ -12,6 +13,7 @@ from tabspark.sources import (
     read_csv,
     read_parquet,
     records,
+    save_bucketed,
     save_scaler,
     save_spec,
 )
@@ -99,3 +101,19 @@ def test_scratch_folder_comes_from_the_session(spark):
     assert named is None or root == named.rstrip("/")
     assert scratch_path(spark, "a") != scratch_path(spark, "a")
     assert checkpointed(spark.range(3)).count() == 3
+
+
+def test_bucketed_tables_join_in_place(spark, tmp_path):
+    """No exchange in either join; the same rows as by a shuffle; a repeated and an absent id."""
+    df = spark.range(500).selectExpr("id", "id * 2 AS v")
+    ids = spark.createDataFrame([(3,), (3,), (900,), (None,)], "id long")
+    left = save_bucketed(df, "bucketed_rows", str(tmp_path / "rows"), "id", 4)
+    right = save_bucketed(df.selectExpr("id", "v + 1 AS p"), "bucketed_p", str(tmp_path / "p"), "id", 4)
+    wanted = save_bucketed(ids, "bucketed_ids", str(tmp_path / "ids"), "id", 4)
+    attached = attach_predictions(left, right, "id", in_place=True)
+    found = restrict_to_ids(left, wanted, "id", in_place=True)
+    for out in (attached, found):
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert attached.where("p = v + 1").count() == 500
+    assert [tuple(r) for r in found.collect()] == [(3, 6)]
+    assert len(list((tmp_path / "rows").glob("*.parquet"))) == 4

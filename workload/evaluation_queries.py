@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tabspark.operators import leaderboard as ranks
 from tabspark.operators import metrics, profile
 from tabspark.operators.relational import attach_predictions, lookup_join, union_rows
 from tabspark.session import scratch_path
-from tabspark.sources.store import append_metrics
+from tabspark.sources.store import append_metrics, save_bucketed
 from workload.frames import (
     LINE_SEGMENT_SQL,
     LINE_SEGMENTS,
@@ -19,7 +21,7 @@ from workload.frames import (
     table,
 )
 from workload.profile_queries import boxplot_sql, histogram_sql, rounded_box, scatter_sql
-from workload.registry import query, rnd
+from workload.registry import ORACLE, query, rnd
 
 SEGMENT_CODES = ["other", "pending_ge5k", "pending_lt5k"]
 
@@ -189,6 +191,24 @@ def attached_predictions(spark, sf_dir):
     )
 
 
+@query("attach_predictions_in_place", ORACLE["attach_predictions"])
+def attached_in_place(spark, sf_dir):
+    """Both tables written once, bucketed by id; the join moves no row."""
+    predicted = predicted_orders(spark, sf_dir).where(TEST).select("o_orderkey", "p_linear")
+    source = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    run = uuid.uuid4().hex
+    kept = [
+        save_bucketed(df, f"{name}_{run}", scratch_path(spark, name), "o_orderkey", 8)
+        for name, df in (("orders", source), ("predicted", predicted))
+    ]
+    joined = attach_predictions(*kept, "o_orderkey", in_place=True)
+    gap = F.abs(F.col("o_totalprice") - F.col("p_linear"))
+    return joined.select(
+        "o_orderkey", "o_orderstatus", F.round("p_linear", 4).alias("prediction"),
+        F.round(gap, 4).alias("abs_error"),
+    )
+
+
 @query(
     "segment_pivot",
     f"""WITH {ORDER_LONG_SQL}, m AS ({SEGMENT_SQL})

@@ -11,7 +11,7 @@ from pyspark.ml.regression import (
 from pyspark.sql import functions as F
 
 from tabspark.operators import metrics
-from tabspark.operators.encode import encode, learn_spec
+from tabspark.operators.encode import learn_spec, model_frame
 from tabspark.plans.bagging import HEX, SPAN, PoissonForest, poisson_steps
 from tabspark.plans.boosting import Plateau
 from tabspark.plans.ladder import (
@@ -130,7 +130,7 @@ def encoded_orders(spark, sf_dir):
     )
     segment = ORDER_SEGMENTS.column(fold=False).alias("segment")
     kept = ["o_orderkey", TARGET, "split", "is_validation", segment]
-    return encode(frame, spec, keep=kept, fold=False), spec
+    return model_frame(frame, spec, keep=kept, fold=False), spec
 
 
 def small_ladder(spec) -> Ladder:
@@ -214,7 +214,7 @@ def status_frame(spark, sf_dir):
     )
     spec = learn_spec(frame.select("o_orderstatus"))
     kept = ["o_orderkey", TARGET, "split", "is_validation"]
-    return encode(frame, spec, keep=kept, fold=False), spec
+    return model_frame(frame, spec, keep=kept, fold=False), spec
 
 
 def status_boosting(**params) -> GBTRegressor:

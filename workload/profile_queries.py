@@ -8,20 +8,23 @@ from tabspark.operators import profile
 from tabspark.operators.encode import encode, learn_spec
 from tabspark.operators.scale import fit_scaler
 from tabspark.operators.split import threshold_split
+from tabspark.plans.report import profile_table
 from tabspark.session import scratch_path
 from tabspark.sources.store import load_scaler, load_spec, save_scaler, save_spec
+from tabspark.spec import Preset
 from workload.frames import (
     LINE_BASE,
     LINE_ENCODED_SQL,
     LINE_SEGMENT_SQL,
     LINE_SEGMENTS,
+    LINE_SPEC,
     ORDER_FRAME_SQL,
     order_frame,
     order_split,
     split_orders,
     table,
 )
-from workload.registry import query, rnd
+from workload.registry import ORACLE, query, rnd
 
 NUMERICS = ["l_linenumber", "l_quantity", "l_discount", "l_tax", "l_extendedprice"]
 # Compared digits: prices carry more rounding noise in their sums than small values.
@@ -280,6 +283,67 @@ def scatter_bins(spark, sf_dir):
     return profile.scatter_bins(line, "l_quantity", "l_extendedprice", "l_returnflag", 50)
 
 
+# --- all reports at once ------------------------------------------------------
+
+LINE_PRESET = Preset(LINE_SPEC, (), LINE_SEGMENTS, "l_extendedprice", {"base": LINE_BASE})
+LINE_NULLS = ["l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_extendedprice", "l_returnflag", "l_linestatus"]
+EDGES = {"low": 4, "high": 4}
+BOXES = {c: 6 for c in ("q1", "median", "q3", "whisker_low", "whisker_high")}
+MOMENTS = {"mean": 4, "std": 4}
+#: report → its keys, its values with the digits compared (None: as they are), its SQL
+REPORTS = {
+    "shape": ([], {"rows": None, "columns": None}, f"SELECT count(*) AS rows, {len(LINE_NULLS)} AS columns FROM lineitem"),
+    "nulls": (["column"], {"nulls": None}, _union(
+        [f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS nulls FROM lineitem" for c in LINE_NULLS]
+        + ["SELECT '(total)', " + " + ".join(f"count(*) - count({c})" for c in LINE_NULLS) + " FROM lineitem"]
+    )),
+    "describe": (["column"], {"count": None, "mean": 4, "std": 4, "min": None, "p25": 4, "p50": 4, "p75": 4, "max": None},
+                 f"SELECT * FROM ({ORACLE['describe']}) WHERE \"column\" <> 'l_tax'"),
+    "ranges": (["column"], {"min": None, "max": None, "mean": 6, "std": 6, "range": 6}, ORACLE["feature_ranges"]),
+    "target": ([], {"mean": 4, "std": 4, "min": None, "max": None}, ORACLE["target_summary"]),
+    "segments": (["segment"], {**MOMENTS, "count": None}, ORACLE["segment_profile"]),
+    "correlations": (["feature"], {"corr": 6}, ORACLE["corr_with_target"]),
+    "histogram": (["bin"], {**EDGES, "n": None}, ORACLE["histogram"]),
+    "histogram_by_flag": (["l_returnflag", "bin"], {**EDGES, "n": None},
+                          "WITH " + histogram_sql("lineitem", "l_extendedprice", 30, "l_returnflag")),
+    "boxplot": (["l_returnflag"], {**BOXES, "n_outliers": None, "n": None},
+                "WITH " + boxplot_sql("lineitem", "l_extendedprice", "l_returnflag")),
+    "scatter": (["l_returnflag", "x_bin", "y_bin"], {"n": None}, ORACLE["scatter_bins"]),
+}
+
+
+def _stacked_sql(name: str) -> str:
+    keys, values, sql = REPORTS[name]
+    item = "concat_ws('|', " + ", ".join(f'"{k}"' for k in keys) + ")" if keys else "''"
+    cells = ", ".join(
+        (f'CAST("{v}" AS DOUBLE)' if d is None else rnd(f'CAST("{v}" AS DOUBLE)', d)) + f' AS "{v}"'
+        for v, d in values.items()
+    )
+    return f"""SELECT '{name}' AS report, item, stat, value FROM (
+  UNPIVOT (SELECT {item} AS item, {cells} FROM ({sql})) ON COLUMNS(* EXCLUDE (item)) INTO NAME stat VALUE value)"""
+
+
+def _stacked(name: str, report):
+    keys, values, _ = REPORTS[name]
+    cells = [
+        (F.col(v).cast("double") if d is None else F.round(v, d) + F.lit(0.0)).alias(v) for v, d in values.items()
+    ]
+    item = F.concat_ws("|", *keys) if keys else F.lit("")
+    wide = report.select(F.lit(name).alias("report"), item.alias("item"), *cells)
+    return wide.unpivot(["report", "item"], list(values), "stat", "value").where("value IS NOT NULL")
+
+
+@query("profile_table", _union(_stacked_sql(name) for name in REPORTS))
+def profile_reports(spark, sf_dir):
+    """Eleven reports from four passes, stacked as (report, item, stat, value)."""
+    line = table(spark, sf_dir, "lineitem").select(*LINE_NULLS)
+    found = profile_table(line, LINE_PRESET, fold=False, digits=None)
+    first, *rest = [_stacked(name, report) for name, report in found.items()]
+    for part in rest:
+        first = first.unionAll(part)
+    return first
+
+
 # --- split, scale, parameter tables -------------------------------------------
 
 

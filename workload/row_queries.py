@@ -11,14 +11,15 @@ from tabspark.operators.encode import (
     encode,
     learn_positions,
     learn_vocab,
+    model_frame,
     one_hot,
     with_position,
 )
 from tabspark.operators.profile import shape as shape_of
 from tabspark.operators.validate import error_counts, null_audit, routed, validate
 from tabspark.session import scratch_path
-from tabspark.sources.records import parse_json, read_csv
-from tabspark.spec import Rule
+from tabspark.sources.records import parse_json, read_csv, records
+from tabspark.spec import Category, Derived, FeatureSpec, Numeric, Rule
 from workload.frames import (
     EVENT_RECORDS_SQL,
     EVENT_RULES,
@@ -33,7 +34,7 @@ from workload.frames import (
     order_frame,
     table,
 )
-from workload.registry import query
+from workload.registry import query, rnd
 
 ENCODED_LIST = ", ".join(f'"{n}"' for n in LINE_BASE.encoded_names)
 ORDER_SQL = "orders o JOIN customer c ON o.o_custkey = c.c_custkey"
@@ -57,6 +58,30 @@ def features_basic(spark, sf_dir):
     return add_features(encode(table(spark, sf_dir, "lineitem"), LINE_BASE, fold=False), basic)
 
 
+LARGE_SPEC = FeatureSpec(
+    (Numeric("part", "int"), Numeric("line", "bigint")), (Category("flag", ("A", "N", "R")),)
+).with_derived(
+    [Derived("part_squared", "power2", ("part",)), Derived("line_squared", "power2", ("line",)),
+     Derived("line_part", "interact", ("line", "part")), Derived("returned_line", "interact", ("flag_R", "line"))]
+)
+
+
+@query(
+    "features_large_ints",
+    """WITH t AS (SELECT CAST(l_partkey + 50000 AS DOUBLE) AS part,
+    CAST(l_orderkey + 5000000000 AS DOUBLE) AS line, CAST(l_returnflag = 'R' AS DOUBLE) AS r FROM lineitem)
+  SELECT part * part AS part_squared, line * line AS line_squared, line * part AS line_part,
+    r * line AS returned_line FROM t""",
+)
+def features_large_ints(spark, sf_dir):
+    """Products beyond the range of their integer inputs, as models take them."""
+    line = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_partkey") + 50_000).cast("int").alias("part"),
+        (F.col("l_orderkey").cast("bigint") + 5_000_000_000).alias("line"), F.col("l_returnflag").alias("flag"),
+    )
+    return model_frame(line, LARGE_SPEC, fold=False).select(*[d.name for d in LARGE_SPEC.derived])
+
+
 @query("one_hot", f"SELECT * FROM ({LINE_ENCODED_SQL})")
 def one_hot_learned(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem").select(
@@ -435,6 +460,31 @@ def csv_roundtrip(spark, sf_dir):
     return read_csv(spark, path, CSV_SCHEMA)
 
 
+URGENCY = [
+    dict(priority="1-URGENT", days=1, weight=2.5),
+    dict(priority="2-HIGH", days=3, weight=1.5),
+    dict(priority="5-LOW", days=None),
+]
+URGENCY_SCHEMA = T.StructType(
+    [T.StructField("priority", T.StringType()), T.StructField("days", T.IntegerType()),
+     T.StructField("weight", T.DoubleType())]
+)
+
+
+@query(
+    "inline_records",
+    f"""WITH u(priority, days, weight) AS (VALUES ('1-URGENT', 1, CAST(2.5 AS DOUBLE)), ('2-HIGH', 3, 1.5), ('5-LOW', NULL, NULL))
+  SELECT priority, days, weight, count(*) AS n, {rnd('avg(o_totalprice) * weight', 4)} AS weighted
+  FROM orders JOIN u ON o_orderpriority = priority GROUP BY priority, days, weight""",
+)
+def inline_records(spark, sf_dir):
+    """Records as a caller types them, one with a null and one field left out, met with all orders."""
+    typed = records(spark, URGENCY, URGENCY_SCHEMA)
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("priority"), "o_totalprice")
+    weighted = F.round(F.avg("o_totalprice") * F.col("weight"), 4).alias("weighted")
+    return orders.join(typed, "priority").groupBy("priority", "days", "weight").agg(F.count("*").alias("n"), weighted)
+
+
 @query(
     "json_ingest",
     """WITH r AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
