@@ -11,6 +11,7 @@ Everything runs as DataFrame expressions and Spark ML transformers in the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -123,6 +124,8 @@ class LicenceModel:
     labels: tuple[str, ...]
     threshold: float
     shapes: dict[str, tuple[tuple[str, ...], ...]]
+    #: documents whose hash is below it were drawn for the fit
+    share: int = 0
 
 
 def template_table(spark: SparkSession) -> DataFrame:
@@ -140,12 +143,23 @@ def once(df: DataFrame, *keep: str | Column, **made: Column) -> DataFrame:
     return df.select(*keep, F.inline(F.array(row)))
 
 
-def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, paragraph, w): the words of every line that has some, numbered from 0."""
+def drawn(key: str, text: str, share: int) -> Column:
+    """Whether a document belongs to the sample of the fit."""
+    return F.pmod(id_hash(key, text), F.lit(2**32)) < share
+
+
+def held_out() -> Column:
+    """One paragraph in four, by its words; the fit has none of them."""
+    return F.pmod(F.xxhash64("w"), F.lit(4)) == 0
+
+
+def paragraphs(docs: DataFrame, key: str, text: str, share: int = 0) -> DataFrame:
+    """(key, drawn, paragraph, w): the words of every line that has some, numbered from 0."""
     lines = docs.select(
-        F.col(key).alias("key"), F.posexplode(F.split(F.col(text), "\n")).alias("paragraph", "text")
-    )
-    return once(lines, "key", "paragraph", w=words_of(F.col("text"))).where(F.size("w") > 0)
+        F.col(key).alias("key"), drawn(key, text, share).alias("drawn"),
+        F.posexplode(F.split(F.col(text), "\n")).alias("paragraph", "text"),
+    )
+    return once(lines, "key", "drawn", "paragraph", w=words_of(F.col("text"))).where(F.size("w") > 0)
 
 
 def clues(model: LicenceModel) -> list[str]:
@@ -195,11 +209,9 @@ def learn_licences(docs: DataFrame, key: str = "doc_id", text: str = "text", sam
     )
     n = docs.count()
     share = min(2**32, int(2**32 * sample_docs / n)) if n else 0
-    sample = docs.where(F.pmod(id_hash(key, text), F.lit(2**32)) < share)
-    triples = F.array(*[F.lit(s) for t in shapes.values() for x in t for s in x])
     plain = (
-        paragraphs(sample, key, text)
-        .where(~F.arrays_overlap(shapes_of(F.col("w")), triples))
+        paragraphs(docs.where(drawn(key, text, share)), key, text)
+        .where(~F.arrays_overlap(shapes_of(F.col("w")), _triples(shapes)))
         .select(F.lit(NONE).alias("family"), "w")
         .distinct()
     )
@@ -209,7 +221,7 @@ def learn_licences(docs: DataFrame, key: str = "doc_id", text: str = "text", sam
         windows.union(plain).select(
             (F.array_position(names, F.col("family")) - 1).cast("double").alias("label"),
             features_of(F.col("w")).alias("terms"),
-            (F.pmod(F.xxhash64("w"), F.lit(4)) == 0).alias("held_out"),
+            held_out().alias("held_out"),
             F.when(F.col("family") == NONE, 1.0).otherwise(4.0).alias("weight"),
         ),
         "licence_rows",
@@ -225,11 +237,32 @@ def learn_licences(docs: DataFrame, key: str = "doc_id", text: str = "text", sam
     best = F.array_max(F.slice(vector_to_array("probability"), 2, len(classes)))
     cut = scored.agg(F.percentile_approx(best, 1 - false_alarms, 10_000)).first()[0]
     return LicenceModel(encoder, classifier, classes, max(0.5, cut or 0.0),
-                        {k: tuple(v) for k, v in shapes.items()})
+                        {k: tuple(v) for k, v in shapes.items()}, share)
+
+
+def _triples(shapes: Mapping[str, Sequence[Sequence[str]]]) -> Column:
+    return F.array(*[F.lit(s) for t in shapes.values() for x in t for s in x])
+
+
+def corpus_threshold(notices: DataFrame, docs: DataFrame, text: str, false_alarms: float) -> float:
+    """The confidence that all but ``false_alarms`` of the plain paragraphs stay below; one half at least.
+
+    Counted over the distinct lines of all documents. ``notices`` are the scored paragraphs whose
+    likeliest class is a family; any other one is below one half anyway.
+    """
+    lines = docs.select(F.explode(F.split(F.col(text), "\n")).alias("line")).where("trim(line) <> ''")
+    n = lines.agg(F.approx_count_distinct(F.xxhash64("line"), 0.01)).first()[0]
+    plain = notices.where("_plain AND NOT _fitted").groupBy("_words").agg(F.max("probability").alias("best"))
+    alarms, scored = int(false_alarms * n), plain.count()
+    if scored <= alarms:
+        return 0.5
+    # half a rank below, so that rounding cannot reach the next one
+    cut = plain.agg(F.percentile_approx("best", (scored - alarms - 0.5) / scored, 10_000)).first()[0]
+    return max(0.5, cut)
 
 
 def scan_licences(docs: DataFrame, model: LicenceModel, key: str = "doc_id", text: str = "text",
-                  confirm: float = 0.6) -> DataFrame:
+                  confirm: float = 0.6, false_alarms: float | None = None) -> DataFrame:
     """(key, paragraph, licence, predicted, probability, similarity) of each notice.
 
     ``licence`` is the predicted family where the model is confident and the best
@@ -237,15 +270,17 @@ def scan_licences(docs: DataFrame, model: LicenceModel, key: str = "doc_id", tex
     ``unknown``. A paragraph is a line; it is listed if its likeliest class is a
     family. Texts that are null, empty or without a notice have no row; repeated
     rows and paragraphs are listed each. An empty table gives an empty result.
+    The model's threshold comes from held-out paragraphs of its sample; with ``false_alarms``
+    it comes from all paragraphs of ``docs`` that were not fitted, in the same pass that scores them.
     """
     require(docs, [key, text])
-    found = paragraphs(docs, key, text)
+    found = paragraphs(docs, key, text, model.share)
     words = clues(model)
     bias = model.classifier.interceptVector.toArray()
     if bias[0] >= bias[1:].max():
         clue = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
         found = found.where(F.arrays_overlap("w", clue))
-    found = once(found, "key", "paragraph", "w", terms=features_of(F.col("w")))
+    found = once(found, "key", "drawn", "paragraph", "w", terms=features_of(F.col("w")))
     scored = model.classifier.transform(model.encoder.transform(found)).where("prediction > 0")
     names = F.array(*[F.lit(x) for x in model.labels])
     predicted = F.element_at(names, F.col("prediction").cast("int") + 1)
@@ -255,10 +290,16 @@ def scan_licences(docs: DataFrame, model: LicenceModel, key: str = "doc_id", tex
         best = F.greatest(*[_overlap(F.col("shapes"), t) for t in (*templates, templates[0])])
         likeness = F.when(F.col("predicted") == family, best).otherwise(likeness)
     listed = once(
-        scored, F.col("key").alias(key), "paragraph",
+        scored, F.col("key").alias(key), "paragraph", F.xxhash64("w").alias("_words"),
+        (F.col("drawn") & ~held_out()).alias("_fitted"),
         predicted=predicted, probability=p, shapes=shapes_of(F.col("w")),
     ).withColumn("similarity", likeness)
-    sure = (F.col("probability") >= model.threshold) & (F.col("similarity") >= confirm)
+    threshold = model.threshold
+    if false_alarms is not None:
+        plain = ~F.arrays_overlap("shapes", _triples(model.shapes))
+        listed = staged(listed.withColumn("_plain", plain).drop("shapes"), "licence_notices")
+        threshold = corpus_threshold(listed, docs, text, false_alarms)
+    sure = (F.col("probability") >= threshold) & (F.col("similarity") >= confirm)
     return listed.select(
         key, "paragraph", F.when(sure, F.col("predicted")).otherwise(UNKNOWN).alias("licence"),
         "predicted", "probability", "similarity",

@@ -144,7 +144,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every licence notice in the documents."""
     docs = read_table(spark, sf_dir, "documents")
-    return scan_licences(docs, learn_licences(docs))
+    return scan_licences(docs, learn_licences(docs), false_alarms=0.002)
 
 
 LEVELS = 8

@@ -1,5 +1,6 @@
 import math
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tabspark.llm.jaccard_join import JoinRule, keep_one_of_each, similar_documents
 from tabspark.llm.language import identify_languages, keep_identified, learn_languages
-from tabspark.llm.licences import learn_licences, scan_licences
+from tabspark.llm.licences import corpus_threshold, learn_licences, scan_licences
 from tabspark.llm.line_runs import delete_repeated_lines
 from tabspark.llm.mixing import first_step, mix_sources, poisson_steps, steps_length
 from tabspark.llm.toxicity import (
@@ -285,3 +286,29 @@ def test_licences(spark, prose, no_docs):
     odd = spark.createDataFrame([(1, "Licensed under the terms of the warranty of oak pine elm")], docs.schema)
     assert {r["licence"] for r in scan_licences(odd, model).collect()} <= {"unknown"}
     assert scan_licences(no_docs, model).count() == 0
+
+
+def test_licence_threshold_from_all_paragraphs(spark, prose, no_docs):
+    """The stated share of distinct plain lines, by brute force; repeated lines count once."""
+    plain = [f"{a} reserved under the {b} terms" for a in ("seats", "rooms", "rights") for b in ("mit", "apache", "gnu", "hotel")]
+    rows = [(i, "\n".join(prose(i * 5 + k, 30) for k in range(3))) for i in range(40)]
+    rows += [(100 + i, text) for i, text in enumerate(plain)] + [(200 + i, plain[0]) for i in range(50)]
+    rows += [(300, "Released under the MIT License."), (301, None), (302, " \n\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = replace(learn_licences(docs.where("doc_id < 40")), share=0)
+    scored = {r["doc_id"]: r for r in scan_licences(docs, model).where("doc_id >= 100 AND paragraph = 0").collect()}
+    best = sorted((scored[100 + i]["probability"] for i in range(len(plain)) if 100 + i in scored), reverse=True)
+    assert len(best) >= 4 and best[2] > 0.5
+    n = len({line for _, text in rows for line in (text or "").split("\n") if line.strip()})
+    notices = scan_licences(docs, model).select(
+        "probability", F.when(F.col("doc_id") >= 200, 100).otherwise(F.col("doc_id")).alias("_words"),
+        ((F.col("doc_id") >= 100) & (F.col("doc_id") < 300)).alias("_plain"), F.lit(False).alias("_fitted"),
+    )
+    for alarms in (0, 1, 2):
+        assert corpus_threshold(notices, docs, "text", (alarms + 0.5) / n) == max(0.5, best[alarms])
+    assert corpus_threshold(notices, docs, "text", 1.0) == 0.5
+    sure = scan_licences(docs, model, false_alarms=1.0).where("licence <> 'unknown'").collect()
+    assert [(r["doc_id"], r["licence"]) for r in sure] == [(300, "mit")]
+    assert scan_licences(no_docs, model, false_alarms=0.002).count() == 0
+    clash = docs.withColumn("words", F.lit(1)).withColumn("drawn", F.lit("x")).withColumn("line", F.lit(2))
+    assert scan_licences(clash, model, false_alarms=1.0).count() == scan_licences(docs, model).count()
