@@ -1,13 +1,23 @@
+import hashlib
 import math
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
-from helpers import rows
-from tabspark.plans.bagging import PoissonBag, PoissonForest, poisson_count, poisson_steps
+from helpers import counted_reads, rows
+from tabspark.plans.bagging import (
+    HEX,
+    SPAN,
+    PoissonBag,
+    PoissonForest,
+    drawn,
+    poisson_count,
+    poisson_steps,
+)
 from tabspark.plans.boosting import Plateau, Schedule
 from tabspark.plans.ladder import Experiment, assembled, fit_experiment
 from tabspark.sources import load_model, save_model
@@ -138,3 +148,25 @@ def test_forest_is_the_mean_of_its_trees(spark):
     assert len({round(m.predict(df.first()["features"]), 9) for m in single}) == 3
     for r in forest.transform(df).limit(20).collect():
         assert r["prediction"] == pytest.approx(sum(m.predict(r["features"]) for m in single) / 3)
+
+
+def test_bags_hash_each_row_twice_at_most(spark):
+    """Once to drop it, once to weigh it; as many times as the hash reaches a step of the distribution."""
+    ids = spark.range(500)
+    for rate in (0.0, 0.3, 1.0, 4.0):
+        bag = drawn(ids, "id", "29:1", rate)
+        steps = poisson_steps(rate)
+        place = [int(hashlib.md5(f"29:1:{i}".encode()).hexdigest()[:HEX], 16) / SPAN for i in range(500)]
+        wanted = [(i, float(sum(u >= step for step in steps))) for i, u in enumerate(place)]
+        assert rows(bag, "id") == [(i, n) for i, n in wanted if n]
+        assert bag._jdf.queryExecution().optimizedPlan().toString().count("md5(") <= 2
+
+
+def test_a_bag_is_reckoned_once(spark):
+    """However often an estimator reads it; it gets what its parameters name."""
+    df, _ = groups(spark)
+    df = df.withColumn("id", F.monotonically_increasing_id()).where("NOT is_validation").persist()
+    counted, seen = counted_reads(df.drop("features"))
+    rows_ = VectorAssembler(inputCols=["g"], outputCol="features").transform(counted)
+    PoissonBag("id", 3)(DecisionTreeRegressor(maxDepth=3), rows_)
+    assert seen.value == df.count()
