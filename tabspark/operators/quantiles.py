@@ -47,21 +47,27 @@ def percentiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
                 extras: Sequence[tuple[str, Column]] = ()) -> DataFrame:
     """One row per group: the ``by`` columns and, per column, an array of percentiles.
 
-    Rows without a group and groups without any value are left out. NULL and NaN
-    are no values. ``keep_rows`` only decides when narrowing stops. ``extras`` are named
-    aggregates over the same rows that ride along in a pass that is made anyway.
+    Rows without a group are left out, and without ``extras`` groups without any value.
+    NULL and NaN are no values. ``keep_rows`` only decides when narrowing stops. ``extras`` are
+    named aggregates over the same rows that ride along in a pass that is made anyway.
     """
     df = df.dropna(subset=list(by)) if by else df
     inputs = [f"_x{i}" for i in range(len(columns))]
     rows = df.select("*", *[nan_to_null(F.col(c)).alias(x) for c, x in zip(columns, inputs)])
-    proposed = _proposals(rows, inputs, probs, by)
+    valued = _valued(rows, inputs)
+    proposed = _proposals(valued, inputs, probs, by)
     few = small_table(proposed)
     if few is not None:
         return _few_groups(rows, few, columns, inputs, probs, by, keep_rows, extras)
-    found = _many_groups(rows, checkpointed(proposed), columns, inputs, probs, by, keep_rows)
+    found = _many_groups(valued, checkpointed(proposed), columns, inputs, probs, by, keep_rows)
     if not extras:
         return found
-    return found.join(rows.groupBy(*by).agg(*[x.alias(name) for name, x in extras]), list(by))
+    return found.join(rows.groupBy(*by).agg(*[x.alias(name) for name, x in extras]), list(by), "right")
+
+
+def _valued(rows: DataFrame, inputs: Sequence[str]) -> DataFrame:
+    """The rows that have a value in some column; the others are for extras only."""
+    return rows.where(any_of([F.col(x).isNotNull() for x in inputs]))
 
 
 def _hold(df: DataFrame) -> DataFrame:
@@ -223,22 +229,27 @@ def _few_groups(rows: DataFrame, first: DataFrame, columns: Sequence[str], input
     spark, targets = rows.sparkSession, _targets(inputs, probs)
     names = [name for name, _ in extras]
     more = [x.alias(f"_extra_{name}") for name, x in extras]
-    counted = _bind(rows, first, by).groupBy(*by).agg(*_all_counts(inputs, probs), *more).collect()
+    valued = _valued(rows, inputs)
+    if by and extras:
+        bound = rows.join(F.broadcast(first), list(by), "left")
+    else:
+        bound = _bind(rows if extras else valued, first, by)
+    counted = bound.groupBy(*by).agg(*_all_counts(inputs, probs), *more).collect()
     proposals = {tuple(r[c] for c in by): r.asDict() for r in first.collect()}
     groups: dict[tuple, dict[int, Bracket]] = {}
     aside: dict[tuple, list] = {}
     for row in counted:
         key = tuple(row[c] for c in by)
-        known = proposals[key] | row.asDict()
+        known = proposals.get(key, {}) | row.asDict()
         aside[key] = [row[f"_extra_{name}"] for name in names]
-        groups[key] = {t: _bracket(known, t, i, p) for t, (i, p) in enumerate(targets) if known[f"n_{i}"]}
+        groups[key] = {t: _bracket(known, t, i, p) for t, (i, p) in enumerate(targets) if known.get(f"n_{i}")}
     fields = [rows.schema[c] for c in by]
     brackets = [b for found in groups.values() for b in found.values()]
     if sum(b.between for b in brackets) > keep_rows:
-        found = _many_groups(rows, first, columns, inputs, probs, by, keep_rows)
+        found = _many_groups(valued, first, columns, inputs, probs, by, keep_rows)
         if not extras:
             return found
-        return found.join(_local(spark, fields, aside, extras, rows), list(by)) if by else found.withColumns(
+        return found.join(_local(spark, fields, aside, extras, rows), list(by), "right") if by else found.withColumns(
             {name: F.lit(v) for name, v in zip(names, aside[()])}
         )
     inside: dict[tuple, list[tuple[float, int]]] = {}
@@ -246,12 +257,12 @@ def _few_groups(rows: DataFrame, first: DataFrame, columns: Sequence[str], input
         ends = [(*key, *[x for t in range(len(targets)) for x in _ends(found.get(t))]) for key, found in groups.items()]
         cells = [T.StructField(f"{end}{t}", T.DoubleType()) for t in range(len(targets)) for end in ("lo", "hi")]
         wide = local_table(spark, ends, T.StructType([*fields, *cells]))
-        near = _within(_bind(rows, wide, by), inputs, len(probs), by)
+        near = _within(_bind(valued, wide, by), inputs, len(probs), by)
         for row in near.groupBy(*by, "t", "value").agg(F.count("*").alias("k")).collect():
             inside.setdefault((*[row[c] for c in by], row["t"]), []).append((row["value"], row["k"]))
     m, out = len(probs), []
     for key, found in groups.items():
-        if by and not found:
+        if by and not found and not extras:
             continue
         values = [
             [found[t].value(sorted(inside.get((*key, t), []))) if t in found else None

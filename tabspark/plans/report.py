@@ -1,9 +1,11 @@
 """Everything that is looked at before fitting, from four passes over the table.
 
 Each row stands in several slices: the whole table, its segment, its flag and its
-category. One run of the exact percentiles over (slice, key) answers the summaries, the
-box quartiles and, as aggregates that ride along, ranges, moments, correlations and null
-counts. Its bounds then place every row in the histograms, the scatter grid and beyond
+category. In the whole table it also stands once per column, so that an aggregate has one
+value to deal with however many columns there are: one of them all grows too long for the
+JVM to compile. One run of the exact percentiles over (slice, key, item) answers the
+summaries, the box quartiles and, as aggregates that ride along, ranges, moments,
+correlations and null counts. Its bounds then place every row in the histograms, the scatter grid and beyond
 or between the box fences in one more pass. The reports are slices of these two results.
 """
 
@@ -25,6 +27,7 @@ from tabspark.spec import Preset
 WHOLE, SEGMENT, FLAG, BOX, SCATTER = "whole", "segment", "flag", "box", "scatter"
 FLAG_BINS, SCATTER_BINS = 30, 50
 BY = ["slice", "key"]
+ROW = "row"  # the item of a slice as such; the others are columns
 
 
 def _as_key(x: Column) -> Column:
@@ -41,8 +44,11 @@ def _sliced(df: DataFrame, keys: dict[str, Column]) -> DataFrame:
     return df.select("*", F.inline(F.array(*slices)))
 
 
-def _within(name: str, *slices: str) -> Column:
-    return F.when(F.col("slice").isin(*slices), F.col(name))
+def _listed(found: DataFrame, tag: str, names: Sequence[str]) -> DataFrame:
+    """The columns of one kind by ``name``, in their order."""
+    at = F.substr("item", F.lit(2)).cast("int")
+    some = found.where((F.col("slice") == WHOLE) & F.col("item").startswith(tag) & (F.col("item") != ROW))
+    return some.orderBy(at).withColumn("name", F.array(*[F.lit(n) for n in names])[at])
 
 
 def profile_table(df: DataFrame, preset: Preset, bins: int = 40, fold: bool = True,
@@ -53,47 +59,49 @@ def profile_table(df: DataFrame, preset: Preset, bins: int = 40, fold: bool = Tr
     numerics = [*(n.name for n in preset.features.numerics), preset.target]
     rows = separate.rows(numerics, features)
     y, x = nan_to_null(F.col("_y")), nan_to_null(F.col("_x"))
-    # a column without gaps keeps groups whose values are all missing
-    asked = [f"_d{i}" for i in range(len(numerics))] + ["_row"]
-    kept = {c: _within(c, WHOLE) for c in asked[:-2]} | {asked[-2]: _within("_y", WHOLE, BOX)}
     moments = {
         "rows": F.count("*"),
-        **{f"{s}_d{i}": m for i in range(len(numerics)) for s, m in profile.moments(f"_m{i}").items()},
-        **{f"{s}_f{i}": m for i in range(len(features)) for s, m in profile.moments(f"_f{i}").items()},
-        **{f"corr_{i}": profile.guarded_corr(nan_to_null(F.col(f"_f{i}")), y) for i in range(len(features))},
+        **{f"v_{s}": m for s, m in profile.moments("v").items()},
+        "corr": profile.guarded_corr(nan_to_null(F.col("v")), y),
         **profile.target_moments("_y"),
         **{f"null_{i}": F.count_if(F.col(f"_null{i}")) for i in range(len(df.columns))},
         "y_lo": F.min(F.when(x.isNotNull(), y)), "y_hi": F.max(F.when(x.isNotNull(), y)),
         "x_lo": F.min(F.when(y.isNotNull(), x)), "x_hi": F.max(F.when(y.isNotNull(), x)),
         "lo": F.min(y), "hi": F.max(y),
     }
-    facts = _sliced(rows, separate.keys(WHOLE, SEGMENT, FLAG, BOX)).withColumns(
-        {f"_m{i}": F.col(f"_d{i}") for i in range(len(numerics))} | {"_row": F.lit(1.0)}
-    )
     found = percentiles(
-        facts.withColumns(kept), asked, profile.QUARTILES, BY,
+        _items(rows, separate, len(numerics), len(features)), ["q"], profile.QUARTILES, ["at"],
         extras=[(f"e_{name}", m) for name, m in moments.items()],
     )
-    found, _ = held_once(found.withColumnsRenamed({f"e_{name}": name for name in moments}))
+    part = F.split("at", "/", 3)
+    found = found.withColumns({c: part[i] for i, c in enumerate(["slice", "item", "key"])}).drop("at")
+    each, _ = held_once(found.withColumnsRenamed({f"e_{name}": name for name in moments}))
+    found = each.where(F.col("item") == ROW)
     whole = found.where(F.col("slice") == WHOLE)
     if whole.isEmpty():  # a table without rows
         return separate.reports()
-    box = found.where(F.col("slice") == BOX).where(F.col(asked[-2]).isNotNull())
-    bounds = _bounds(found, box, asked[-2])
+    box = found.where(F.col("slice") == BOX).where(F.col("q").isNotNull())
+    bounds = _bounds(found, box, "q")
     tallies = _tallies(rows, bounds, separate, bins)
-    quartiles = {f"{n}_d{i}": F.col(f"_d{i}")[k] for i in range(len(numerics)) for k, n in enumerate(("p25", "p50", "p75"))}
-    described = whole.withColumns(quartiles)
+    quartiles = {n: F.col("q")[k] for k, n in enumerate(("v_p25", "v_p50", "v_p75"))}
+    described = _listed(each, "d", numerics).withColumns(quartiles)
     stats = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
-    ranged = whole.withColumns({f"range_f{i}": F.col(f"max_f{i}") - F.col(f"min_f{i}") for i in range(len(features))})
+    listed = _listed(each, "f", features)
+    ranged = listed.withColumn("v_range", F.col("v_max") - F.col("v_min"))
+
+    def cells(names: Sequence[str]) -> list[Column]:
+        exact = [n if digits is None else "count" for n in names]
+        return [F.col(f"v_{n}").alias(n) if n in exact else F.round(f"v_{n}", digits).alias(n) for n in names]
+
     rule, category = preset.segments, separate.category
     return {
         "shape": whole.select("rows", F.lit(len(df.columns)).alias("columns")),
         "nulls": null_rows(whole.select(*[F.col(f"null_{i}").alias(c) for i, c in enumerate(df.columns)])),
-        "describe": profile.long_rows(described, numerics, stats, digits, "d"),
-        "ranges": profile.long_rows(ranged, features, ["min", "max", "mean", "std", "range"], digits, "f"),
+        "describe": described.select(F.col("name").alias("column"), *cells(stats)),
+        "ranges": ranged.select(F.col("name").alias("column"), *cells(["min", "max", "mean", "std", "range"])),
         "target": whole.select(*["mean", "std", "min", "max"]),
         "segments": found.where(F.col("slice") == SEGMENT).select(_group("segment"), "mean", "std", "count"),
-        "correlations": profile.corr_rows(whole, features),
+        "correlations": listed.select(F.col("name").alias("feature"), "corr").orderBy("corr", "feature"),
         "histogram": _histogram(tallies, bounds, WHOLE, bins, None),
         "histogram_by_flag": _histogram(tallies, bounds, FLAG, FLAG_BINS, rule.flag),
         "boxplot": _boxplot(tallies, bounds, category),
@@ -101,6 +109,30 @@ def profile_table(df: DataFrame, preset: Preset, bins: int = 40, fold: bool = Tr
     }
 
 
+def _items(rows: DataFrame, separate: _Separate, numerics: int, features: int) -> DataFrame:
+    """(at, v, q) and the target's columns: each row per slice and, in the whole, per column.
+
+    ``at`` is slice/item/key, one text since it is looked up and grouped by; ``v`` is the value of a column, ``q`` what quartiles are asked of.
+    """
+    def item(of: str, key: Column, name: str = ROW, v: Column | None = None, q: Column | None = None) -> Column:
+        none = F.lit(None).cast("double")
+        return F.struct(
+            F.concat(F.lit(f"{of}/{name}/"), _as_key(key)).alias("at"),
+            (none if v is None else v).alias("v"), (none if q is None else q).alias("q"),
+        )
+
+    keys = separate.keys(WHOLE, SEGMENT, FLAG, BOX)
+    target = nan_to_null(F.col("_y"))
+    items = [item(of, key, q=target if of == BOX else None) for of, key in keys.items()]
+    for i in range(numerics):
+        d = nan_to_null(F.col(f"_d{i}"))
+        items.append(item(WHOLE, keys[WHOLE], f"d{i}", d, d))
+    for i in range(features):
+        items.append(item(WHOLE, keys[WHOLE], f"f{i}", nan_to_null(F.col(f"_f{i}"))))
+    kept = [c for c in rows.columns if c in ("_y", "_x") or c.startswith("_null")]
+    return rows.select(*kept, F.inline(F.array(*items)))
+
+
 class _Separate:
     """The columns of a preset in the roles of the reports, and the reports one by one."""
 
