@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tabspark.operators import relational
 from tabspark.operators.quantiles import percentiles
@@ -64,3 +65,13 @@ def test_infinities_are_values(spark, low, high, keep_rows):
         part = p - np.floor(p)
         want = a if a == b or part == 0 else a * (1 - part) + b * part
         assert found == pytest.approx(want), (p, got)
+
+
+@pytest.mark.parametrize("keep_rows", [0, 200_000])
+def test_extras_reach_groups_without_values(spark, keep_rows):
+    """Such rows are left out of the passes for percentiles, not of the aggregates beside them."""
+    df = spark.sql("SELECT id % 3 AS g, IF(id % 3 = 2, NULL, CAST(id AS DOUBLE)) AS v FROM range(60)")
+    found = percentiles(df, ["v"], [0.5], ["g"], keep_rows, extras=[("n", F.count("*"))])
+    got = {r["g"]: (r["v"] and r["v"][0], r["n"]) for r in found.collect()}
+    assert got == {0: (28.5, 20), 1: (29.5, 20), 2: (None, 20)}
+    assert {r["g"] for r in percentiles(df, ["v"], [0.5], ["g"], keep_rows).collect()} == {0, 1}

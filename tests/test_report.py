@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import counted_reads, synthetic
+from tabspark.plans import report
 from tabspark.plans.report import _Separate, profile_table
 from tabspark.spec import medical_charges
 
@@ -45,3 +46,17 @@ def test_gaps_and_infinities(spark):
 def test_without_rows(spark):
     found = profile_table(synthetic(spark, 10).limit(0), PRESET)
     assert found["shape"].first()["rows"] == 0 and found["boxplot"].count() == 0
+
+
+def test_no_aggregate_grows_with_the_columns(spark, monkeypatch):
+    """One value per row and few terms, null counts aside; eleven features and four numerics would make 90."""
+    asked, real = [], report.percentiles
+
+    def seen(df, columns, probs, by=(), extras=()):
+        asked.append((list(columns), [name for name, _ in extras if "null_" not in name]))
+        return real(df, columns, probs, by, extras=extras)
+
+    monkeypatch.setattr(report, "percentiles", seen)
+    profile_table(synthetic(spark, 60), PRESET)
+    (columns, extras), = asked
+    assert len(columns) == 1 and len(extras) < 25
